@@ -1 +1,8 @@
 """Session-telemetry analytics as plain DataFrame -> DataFrame functions."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

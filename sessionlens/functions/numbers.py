@@ -7,7 +7,7 @@ ordinary double arithmetic, so it stays inside generated code.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def clamp01(value: Column) -> Column:
@@ -34,6 +34,29 @@ def round_exact(value: Column, digits: int = 2) -> Column:
     return F.when(value < 0, -rounded).otherwise(rounded)
 
 
+def with_means(frame: DataFrame, means: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Add ``total / count`` columns rounded to two decimals (0 for a zero count).
+
+    Same arithmetic as ``round_exact``, but cut into staged columns: the generated
+    code stays small because nothing is repeated inside a branch.
+    """
+    c, names = F.col, list(means)
+    out = frame.withColumns({n: F.when(d > 0, t / d).otherwise(F.lit(0.0)) for n, (t, d) in means.items()})
+    out = out.withColumns({f"{n}_abs": F.abs(c(n)) for n in names})
+    out = out.withColumns({f"{n}_wide": c(f"{n}_abs") * 134217729.0 for n in names})
+    out = out.withColumns({f"{n}_high": c(f"{n}_wide") - (c(f"{n}_wide") - c(f"{n}_abs")) for n in names}
+                          | {f"{n}_whole": F.floor(c(f"{n}_abs") * 100.0).cast("double") for n in names})
+    out = out.withColumns({
+        f"{n}_beyond": (c(f"{n}_high") * 200.0 - (c(f"{n}_whole") * 2.0 + 1.0)) + (c(f"{n}_abs") - c(f"{n}_high")) * 200.0
+        for n in names})
+    out = out.withColumns({
+        n: F.when(c(f"{n}_abs") >= 8.0e12, c(n)).otherwise(F.signum(n) * (
+            (c(f"{n}_whole") + F.when(c(f"{n}_beyond") > 0, 1.0).when(c(f"{n}_beyond") < 0, 0.0)
+             .otherwise(c(f"{n}_whole") % 2.0)) / 100.0))
+        for n in names})
+    return out.drop(*(f"{n}_{part}" for n in names for part in ("abs", "wide", "high", "whole", "beyond")))
+
+
 def fixed(value: Column, digits: int = 2) -> Column:
     """Fixed-decimal text, as in ``f"{value:.2f}"``."""
     return F.format_string(f"%.{digits}f", round_exact(value, digits))
@@ -41,23 +64,13 @@ def fixed(value: Column, digits: int = 2) -> Column:
 
 def general(value: Column) -> Column:
     """Six significant digits without trailing zeros, as in ``f"{value:g}"``."""
-    size = F.abs(value)
-
-    def plain(decimals: int) -> Column:
-        return F.format_string(f"%.{decimals}f", value)
-
-    digits = F.lit(None).cast("string")
-    # the limits are the points where rounding to six digits reaches the next power of ten
-    for decimals, limit in ((0, 999999.5), (1, 99999.95), (2, 9999.995), (3, 999.9995), (4, 99.99995),
-                            (5, 9.999995), (6, 0.9999995), (7, 0.09999995), (8, 0.009999995), (9, 0.0009999995)):
-        digits = F.when(size < limit, plain(decimals)).otherwise(digits) if decimals else F.when(size < limit, plain(0))
-    trimmed = F.when(F.contains(digits, F.lit(".")), F.regexp_replace(digits, r"\.?0+$", "")).otherwise(digits)
-    power = F.regexp_replace(F.format_string("%.5e", value), r"\.?0*e", "e")
+    science = F.format_string("%.5e", value)
+    size = F.abs(science.cast("double"))  # after rounding to six digits
     return (
-        F.when(value.isNull(), None)
-        .when(value == 0, F.lit("0"))
-        .when((size >= 0.000099999950) & (size < 999999.5), trimmed)
-        .otherwise(power)
+        F.when((size >= 1.0e-3) & (size < 1.0e6), F.regexp_replace(science.cast("double").cast("string"), r"\.0$", ""))
+        .when(size == 0, F.lit("0"))
+        .when((size >= 1.0e-4) & (size < 1.0e-3), F.regexp_replace(F.format_string("%.9f", value), "0+$", ""))
+        .otherwise(F.regexp_replace(science, r"\.?0*e", "e"))
     )
 
 
