@@ -1,90 +1,90 @@
 """Number helpers with the rounding and printing rules of the data contract.
 
-``F.round`` rounds the shortest decimal form half-up, while the contract rounds
-the stored binary value half-even.  ``round_exact`` gets that result from
-ordinary double arithmetic, so it stays inside generated code.
+They build SQL text, so that a wide expression reaches the JVM in one call.
+``round`` in SQL rounds the shortest decimal form half-up, while the contract
+rounds the stored binary value half-even; ``rounded`` gets that from ordinary
+double arithmetic and stays inside generated code.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 
-def clamp01(value: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+def clamp01(value: str) -> str:
+    return f"greatest(0.0D, least(1.0D, {value}))"
 
 
-def round_exact(value: Column, digits: int = 2) -> Column:
-    """Round to ``digits`` decimals: nearest to the exact binary value, ties to even.
+def _steps(x: str) -> tuple[str, str, str]:
+    """Upper 26 bits of ``x`` (Veltkamp), whole hundredths, and the test for exactness."""
+    wide = f"({x} * 134217729.0D)"
+    return f"({wide} - ({wide} - {x}))", f"cast(floor({x} * 100.0D) as double)", f"{x} < 8.0e12D"
 
-    The distance to the midpoint is evaluated without rounding error: the value
-    is cut into two halves of 26 bits (Veltkamp), whose products with the small
-    power of ten are exact.
-    """
-    scale = 10.0 ** digits
-    x = F.abs(value.cast("double"))
-    wide = x * F.lit(134217729.0)  # 2**27 + 1
-    high = wide - (wide - x)
-    low = x - high
-    whole = F.floor(x * F.lit(scale)).cast("double")
-    beyond = (high * F.lit(2 * scale) - (whole * 2.0 + 1.0)) + low * F.lit(2 * scale)
-    step = F.when(beyond > 0, 1.0).when(beyond < 0, 0.0).otherwise(whole % 2.0)
-    # beyond 2**43 a double has no second decimal left to round
-    rounded = F.when(x < F.lit(8.0e12), (whole + step) / F.lit(scale)).otherwise(x)
-    return F.when(value < 0, -rounded).otherwise(rounded)
-
-
-def with_means(frame: DataFrame, means: dict[str, tuple[Column, Column]]) -> DataFrame:
-    """Add ``total / count`` columns rounded to two decimals (0 for a zero count).
-
-    Same arithmetic as ``round_exact``, but cut into staged columns: the generated
-    code stays small because nothing is repeated inside a branch.
+
+def _nearest(x: str, high: str, whole: str, small: str) -> str:
+    # the products with 200 are exact, so the sign against the midpoint is too
+    beyond = f"(({high} * 200.0D - ({whole} * 2.0D + 1.0D)) + ({x} - {high}) * 200.0D)"
+    step = f"case when {beyond} > 0 then 1.0D when {beyond} < 0 then 0.0D else {whole} % 2.0D end"
+    return f"case when {small} then ({whole} + {step}) / 100.0D else {x} end"
+
+
+def rounded(value: str) -> str:
+    """Two decimals: nearest to the exact binary value, ties to even."""
+    size = f"abs({value})"
+    high, whole, small = _steps(size)
+    return f"(signum({value}) * {_nearest(size, high, whole, small)})"
+
+
+def with_means(frame: DataFrame, means: dict[str, tuple[str, str]]) -> DataFrame:
+    """Add ``total / count`` rounded to two decimals (0 for a zero count).
+
+    The steps of ``rounded`` become columns of their own: nothing is repeated
+    inside a branch, which keeps the generated code small.
     """
-    c, names = F.col, list(means)
-    out = frame.withColumns({n: F.when(d > 0, t / d).otherwise(F.lit(0.0)) for n, (t, d) in means.items()})
-    out = out.withColumns({f"{n}_abs": F.abs(c(n)) for n in names})
-    out = out.withColumns({f"{n}_wide": c(f"{n}_abs") * 134217729.0 for n in names})
-    out = out.withColumns({f"{n}_high": c(f"{n}_wide") - (c(f"{n}_wide") - c(f"{n}_abs")) for n in names}
-                          | {f"{n}_whole": F.floor(c(f"{n}_abs") * 100.0).cast("double") for n in names})
-    out = out.withColumns({
-        f"{n}_beyond": (c(f"{n}_high") * 200.0 - (c(f"{n}_whole") * 2.0 + 1.0)) + (c(f"{n}_abs") - c(f"{n}_high")) * 200.0
-        for n in names})
-    out = out.withColumns({
-        n: F.when(c(f"{n}_abs") >= 8.0e12, c(n)).otherwise(F.signum(n) * (
-            (c(f"{n}_whole") + F.when(c(f"{n}_beyond") > 0, 1.0).when(c(f"{n}_beyond") < 0, 0.0)
-             .otherwise(c(f"{n}_whole") % 2.0)) / 100.0))
-        for n in names})
-    return out.drop(*(f"{n}_{part}" for n in names for part in ("abs", "wide", "high", "whole", "beyond")))
-
-
-def fixed(value: Column, digits: int = 2) -> Column:
-    """Fixed-decimal text, as in ``f"{value:.2f}"``."""
-    return F.format_string(f"%.{digits}f", round_exact(value, digits))
-
-
-def general(value: Column) -> Column:
+    out = frame.selectExpr("*", *(f"case when {n} > 0 then {t} / {n} else 0.0D end {name}_q"
+                                  for name, (t, n) in means.items()))
+    out = out.selectExpr("*", *(f"abs({name}_q) {name}_a" for name in means))
+    parts = {name: _steps(f"{name}_a") for name in means}
+    out = out.selectExpr("*", *(f"{high} {name}_h" for name, (high, _, _) in parts.items()),
+                         *(f"{whole} {name}_w" for name, (_, whole, _) in parts.items()))
+    return out.selectExpr("* except (" + ", ".join(f"{n}_{p}" for n in means for p in "qahw") + ")", *(
+        f"signum({n}_q) * {_nearest(f'{n}_a', f'{n}_h', f'{n}_w', f'{n}_a < 8.0e12D')} {n}" for n in means))
+
+
+def fixed(value: str) -> str:
+    """Text with two decimals, as in ``f"{value:.2f}"``."""
+    return f"format_string('%.2f', {rounded(value)})"
+
+
+def general(value: str) -> str:
     """Six significant digits without trailing zeros, as in ``f"{value:g}"``."""
-    science = F.format_string("%.5e", value)
-    size = F.abs(science.cast("double"))  # after rounding to six digits
+    science = f"format_string('%.5e', {value})"
+    number = f"cast({science} as double)"  # after rounding to six digits
     return (
-        F.when((size >= 1.0e-3) & (size < 1.0e6), F.regexp_replace(science.cast("double").cast("string"), r"\.0$", ""))
-        .when(size == 0, F.lit("0"))
-        .when((size >= 1.0e-4) & (size < 1.0e-3), F.regexp_replace(F.format_string("%.9f", value), "0+$", ""))
-        .otherwise(F.regexp_replace(science, r"\.?0*e", "e"))
+        f"case when {value} = 0 then '0'"
+        f" when abs({number}) >= 1.0e-3D and abs({number}) < 1.0e6D"
+        rf" then regexp_replace(cast({number} as string), '\\.0$', '')"
+        f" when abs({number}) >= 1.0e-4D and abs({number}) < 1.0e-3D"
+        f" then regexp_replace(format_string('%.9f', {value}), '0+$', '')"
+        rf" else regexp_replace({science}, '\\.?0*e', 'e') end"
     )
 
 
-def shortest(value: Column) -> Column:
+def shortest(value: str) -> str:
     """Shortest decimal text of a double, ``None`` for a missing one (``str(value)``)."""
-    size = F.abs(value)
-    plain = F.regexp_replace(F.format_string("%.6f", value), r"(\.\d)0+$|(\.\d+?)0+$", "$1$2")
     return (
-        F.when(value.isNull(), F.lit("None"))
-        .when((size >= 1.0e7) & (size < 1.0e16), plain)
-        .otherwise(value.cast("string"))
+        f"case when {value} is null then 'None'"
+        f" when abs({value}) >= 1.0e7D and abs({value}) < 1.0e16D"
+        rf" then regexp_replace(format_string('%.6f', {value}), '(\\.[0-9]+?)0+$', '$1')"
+        f" else cast({value} as string) end"
     )
 
 
-def percent(value: Column) -> Column:
+def percent(value: str) -> str:
     """Whole percent text, as in ``f"{value:.0%}"``."""
-    return F.concat(F.rint(value * 100).cast("bigint").cast("string"), F.lit("%"))
+    return f"concat(cast(cast(rint({value} * 100) as bigint) as string), '%')"
+
+
+def quoted(text: str) -> str:
+    """A string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -1,9 +1,7 @@
-"""Text helpers.  White space means the Unicode set below, not only blanks."""
+"""Text helpers as SQL text.  White space means the Unicode set below, not only blanks."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
 # Fixed value: the characters that count as white space when text is split or stripped.
 SPACE = (
     r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
@@ -11,20 +9,20 @@ SPACE = (
 )
 
 
-def is_blank(text: Column) -> Column:
+def is_blank(text: str) -> str:
     """True when nothing but white space is there."""
-    return ~F.regexp_like(text, F.lit(f"[^{SPACE}]"))
+    return f"(not regexp_like({text}, r'[^{SPACE}]'))"
 
 
-def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[^{SPACE}]+")).cast("bigint")
+def word_count(text: str) -> str:
+    return f"cast(regexp_count({text}, r'[^{SPACE}]+') as bigint)"
 
 
-def mentions(text: Column, word: str) -> Column:
+def mentions(text: str, word: str) -> str:
     """Case-insensitive substring test; missing text mentions nothing."""
-    return F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lit(word))
+    return f"contains(lower(coalesce({text}, '')), '{word}')"
 
 
-def token_estimate(text: Column) -> Column:
+def token_estimate(text: str) -> str:
     """1.3 tokens per word, rounded half-even, at least one."""
-    return F.greatest(F.lit(1).cast("bigint"), F.rint(word_count(text) * F.lit(1.3)).cast("bigint"))
+    return f"greatest(1L, cast(rint({word_count(text)} * 1.3D) as bigint))"

@@ -2,44 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from sessionlens.functions.numbers import clamp01, fixed
 from sessionlens.schema import CONFIDENCE_WEIGHTS, SEVERITY_WEIGHT
 
 
-def _mean(array: Column) -> Column:
-    total = F.aggregate(array, F.lit(0.0), lambda acc, x: acc + x)
-    return F.when(F.size(array) > 0, clamp01(total / F.size(array))).otherwise(0.0)
-
-
-def _triggered() -> Column:
-    return F.filter(F.col("rules"), lambda r: F.coalesce(r["triggered"], F.lit(False)))
-
-
-def _severity_weight(severity: Column) -> Column:
-    chosen = None
-    for name, weight in SEVERITY_WEIGHT.items():
-        test = severity == name
-        chosen = F.when(test, weight) if chosen is None else chosen.when(test, weight)
-    return chosen
-
-
-def _contributors() -> dict[str, Column]:
-    fired = _triggered()
-    linked = F.filter(F.transform("evidence", lambda e: e["rule_id"]), lambda x: x.isNotNull() & (x != ""))
-    supported = F.size(F.array_intersect(F.transform(fired, lambda r: r["rule_id"]), linked))
-    matches = F.coalesce(F.size("similar"), F.lit(0))
-    labelled = F.size(F.filter("similar", lambda m: m["failure_type"].isNotNull()))
-    return {
-        "rule_score": _mean(F.transform(fired, lambda r: F.coalesce(r["score"], F.lit(0.0)))),
-        "evidence_completeness": F.when(F.size(fired) > 0, supported / F.size(fired)).otherwise(0.0),
-        "evidence_severity": _mean(F.transform(F.filter("evidence", lambda e: e["severity"].isNotNull()),
-                                               lambda e: _severity_weight(e["severity"]))),
-        "historical_similarity": F.coalesce(F.array_max(F.transform("similar", lambda m: m["similarity_score"])),
-                                            F.lit(0.0)),
-        "historical_failure_agreement": F.when(matches > 0, labelled / matches).otherwise(0.0),
-    }
+def _mean(array: str) -> str:
+    total = f"aggregate({array}, 0.0D, (a, x) -> a + x)"
+    return f"case when size({array}) > 0 then {clamp01(f'{total} / size({array})')} else 0.0D end"
 
 
 def score_confidence(frame: DataFrame) -> DataFrame:
@@ -47,14 +18,27 @@ def score_confidence(frame: DataFrame) -> DataFrame:
 
     Needs the arrays ``rules``, ``evidence`` and ``similar``.
     """
-    names = list(CONFIDENCE_WEIGHTS)
-    parts = _contributors()
-    scored = frame.withColumn("contributors", F.struct(*(parts[n].cast("double").alias(n) for n in names)))
-    value = {n: F.col("contributors")[n] for n in names}
-    total = None
-    for name, weight in CONFIDENCE_WEIGHTS.items():
-        term = F.lit(weight) * value[name]
-        total = term if total is None else total + term
-    pieces = [F.concat(F.lit(f"{n}="), fixed(value[n])) for n in names]
-    text = F.concat(F.lit("Confidence contributors: "), F.concat_ws(", ", *pieces), F.lit("."))
-    return scored.withColumn("confidence", clamp01(total)).withColumn("confidence_text", text)
+    weights = " ".join(f"when '{name}' then {w}D" for name, w in SEVERITY_WEIGHT.items())
+    staged = frame.selectExpr(
+        "*",
+        "filter(rules, r -> r.triggered) _fired",
+        "filter(transform(evidence, e -> e.rule_id), i -> i <> '') _linked",
+        f"transform(filter(evidence, e -> e.severity is not null), e -> case e.severity {weights} end) _weights",
+        "transform(similar, m -> m.similarity_score) _near",
+        "size(filter(similar, m -> m.failure_type is not null)) _labelled",
+    ).selectExpr("*", "transform(_fired, r -> coalesce(r.score, 0.0D)) _scores")
+    parts = {
+        "rule_score": _mean("_scores"),
+        "evidence_completeness": "case when size(_fired) > 0 then size(array_intersect("
+                                 "transform(_fired, r -> r.rule_id), _linked)) / size(_fired) else 0.0D end",
+        "evidence_severity": _mean("_weights"),
+        "historical_similarity": "coalesce(array_max(_near), 0.0D)",
+        "historical_failure_agreement": "case when size(_near) > 0 then _labelled / size(_near) else 0.0D end",
+    }
+    columns = "named_struct(" + ", ".join(f"'{n}', cast({parts[n]} as double)" for n in CONFIDENCE_WEIGHTS) + ")"
+    scored = staged.selectExpr("* except (_fired, _linked, _weights, _near, _labelled, _scores)",
+                               f"{columns} contributors")
+    total = " + ".join(f"{w}D * contributors.{n}" for n, w in CONFIDENCE_WEIGHTS.items())
+    pieces = ", ', ', ".join(f"'{n}=', {fixed(f'contributors.{n}')}" for n in CONFIDENCE_WEIGHTS)
+    return scored.selectExpr("*", f"{clamp01(total)} confidence",
+                             f"concat('Confidence contributors: ', {pieces}, '.') confidence_text")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sessionlens.functions.numbers import fixed, percent
-from sessionlens.schema import RULES, SEVERITY
+from sessionlens.schema import SEVERITY
 
 # Which triggered rules decide the cause and the component; the first match wins.
 CAUSES = (
@@ -22,50 +22,35 @@ COMPONENTS = (
 )
 
 
-def _first_match(fired: Column, table) -> Column:
-    chosen = None
-    for ids, result in table:
-        test = F.arrays_overlap(fired, F.array(*(F.lit(i) for i in ids)))
-        chosen = F.when(test, result) if chosen is None else chosen.when(test, result)
-    return chosen.otherwise("unknown")
+def _first_match(table) -> str:
+    tests = " ".join(
+        f"when arrays_overlap(rules_triggered, array({', '.join(repr(i) for i in ids)})) then '{result}'"
+        for ids, result in table)
+    return f"case {tests} else 'unknown' end"
 
 
-def _worst_severity() -> Column:
-    ranks = F.transform(F.filter("evidence", lambda e: e["severity"].isNotNull()),
-                        lambda e: F.array_position(F.array(*(F.lit(s) for s in SEVERITY)), e["severity"]))
-    top = F.array_max(ranks)
-    return F.coalesce(F.element_at(F.array(*(F.lit(s) for s in SEVERITY)), F.greatest(top, F.lit(1)).cast("int")),
-                      F.lit(SEVERITY[0]))
+_ORDER = "array(" + ", ".join(f"'{s}'" for s in SEVERITY) + ")"
+_WORST = (f"element_at({_ORDER}, cast(greatest(1L, array_max(transform(filter(evidence, e -> e.severity is not null),"
+          f" e -> array_position({_ORDER}, e.severity)))) as int))")
 
-
-def reasoning_prompt() -> Column:
-    """Deterministic text that a model-backed diagnoser can consume."""
-    ids = F.array_join(F.transform("rules_triggered", lambda r: F.concat(F.lit("'"), r, F.lit("'"))), ", ")
-    return F.concat(
-        F.lit("triggered_rules=["), ids,
-        F.lit("]; evidence_count="), F.size("evidence").cast("string"),
-        F.lit("; similar_session_count="), F.size("similar").cast("string"),
-        F.lit("; confidence="), fixed(F.col("confidence")),
-        F.lit("; confidence_summary="), F.col("confidence_text"),
-    )
+# Deterministic text that a model-backed diagnoser can consume.
+_PROMPT = (
+    "concat('triggered_rules=[', array_join(transform(rules_triggered, r -> concat('\\'', r, '\\'')), ', '),"
+    " ']; evidence_count=', size(evidence), '; similar_session_count=', size(similar),"
+    f" '; confidence=', {fixed('confidence')}, '; confidence_summary=', confidence_text)"
+)
 
 
 def template_diagnoser(frame: DataFrame) -> DataFrame:
     """Fill ``diagnosis`` from rules and evidence alone."""
-    fired = F.col("rules_triggered")
-    notes = F.concat(
-        F.transform("evidence", lambda e: F.coalesce(F.nullif(e["explanation"], F.lit("")), e["description"])),
-        F.array(F.concat(F.lit("Confidence summary: "), F.col("confidence_text"))),
-    )
-    return frame.withColumn("diagnosis", F.struct(
-        _first_match(fired, CAUSES).alias("root_cause"),
-        _first_match(fired, COMPONENTS).alias("affected_component"),
-        _worst_severity().alias("severity"),
-        F.col("confidence").alias("confidence"),
-        notes.alias("evidence"),
-        fired.alias("rules_triggered"),
-        F.when(F.size("similar") > 0, F.transform("similar", lambda m: m["session_id"])).alias("similar_sessions"),
-    ))
+    return frame.selectExpr(
+        "*",
+        f"named_struct('root_cause', {_first_match(CAUSES)}, 'affected_component', {_first_match(COMPONENTS)},"
+        f" 'severity', {_WORST}, 'confidence', confidence,"
+        " 'evidence', concat(transform(evidence, e -> coalesce(nullif(e.explanation, ''), e.description)),"
+        " array(concat('Confidence summary: ', confidence_text))),"
+        " 'rules_triggered', rules_triggered,"
+        " 'similar_sessions', case when size(similar) > 0 then transform(similar, m -> m.session_id) end) diagnosis")
 
 
 def reason(frame: DataFrame, diagnoser: Callable[[DataFrame], DataFrame] = template_diagnoser) -> DataFrame:
@@ -73,60 +58,49 @@ def reason(frame: DataFrame, diagnoser: Callable[[DataFrame], DataFrame] = templ
 
     ``diagnoser`` may be any DataFrame function that adds a ``diagnosis`` column.
     """
-    fired = F.filter("rules", lambda r: F.coalesce(r["triggered"], F.lit(False)))
-    staged = frame.withColumn("rules_triggered", F.transform(fired, lambda r: r["rule_id"]))
-    return diagnoser(staged.withColumn("reasoning_prompt", reasoning_prompt()))
+    staged = frame.selectExpr("*", "transform(filter(rules, r -> r.triggered), r -> r.rule_id) rules_triggered")
+    return diagnoser(staged.selectExpr("*", f"{_PROMPT} reasoning_prompt"))
 
 
 # --- listings ---------------------------------------------------------------
 
 
-def _title(text: Column) -> Column:
-    return F.initcap(F.replace(text, F.lit("_"), F.lit(" ")))
+def _title(text: str) -> str:
+    return f"initcap(replace({text}, '_', ' '))"
 
 
 def overview(diagnosed: DataFrame) -> DataFrame:
-    d = F.col("diagnosis")
-    return diagnosed.select(
-        "session_id",
-        _title(d["root_cause"]).alias("root_cause"),
-        d["affected_component"].alias("affected_component"),
-        percent(d["confidence"]).alias("confidence"),
-        _title(d["severity"]).alias("severity"),
-        F.size(d["rules_triggered"]).cast("bigint").alias("triggered_rules"),
-    )
+    return diagnosed.selectExpr(
+        "session_id", f"{_title('diagnosis.root_cause')} root_cause",
+        "diagnosis.affected_component affected_component", f"{percent('diagnosis.confidence')} confidence",
+        f"{_title('diagnosis.severity')} severity", "cast(size(diagnosis.rules_triggered) as bigint) triggered_rules")
 
 
 def triggered_rules(diagnosed: DataFrame) -> DataFrame:
-    return (diagnosed.select("session_id", F.inline("rules")).where("triggered")
-            .select("session_id", F.col("rule_name").alias("rule"), "triggered", "score", "reason"))
+    return diagnosed.selectExpr("session_id", "inline(filter(rules, r -> r.triggered))").selectExpr(
+        "session_id", "rule_name rule", "triggered", "score", "reason")
 
 
 def match_rows(diagnosed: DataFrame) -> DataFrame:
-    return diagnosed.select("session_id", F.inline("similar").alias(
-        "match_session_id", "similarity_score", "failure_type", "summary")).select(
-        "session_id", "match_session_id", percent(F.col("similarity_score")).alias("similarity"),
-        F.coalesce("failure_type", F.lit("Unknown")).alias("failure_type"), "summary")
+    return diagnosed.selectExpr("session_id", "posexplode(similar) as (pos, m)").selectExpr(
+        "session_id", "cast(pos + 1 as bigint) rank", "m.session_id match_session_id",
+        f"{percent('m.similarity_score')} similarity", "coalesce(m.failure_type, 'Unknown') failure_type",
+        "m.summary summary")
 
 
 def stage_counts(diagnosed: DataFrame) -> DataFrame:
-    return diagnosed.select(
-        "session_id",
-        F.size("signals").cast("bigint").alias("signals"),
-        F.size("rules").cast("bigint").alias("evaluations"),
-        F.size("evidence").cast("bigint").alias("records"),
-        F.size("similar").cast("bigint").alias("matches"),
-        percent(F.col("confidence")).alias("confidence"),
-    )
+    """How many rows each stage produced for each session (needs a ``signals`` list)."""
+    return diagnosed.selectExpr(
+        "session_id", *(f"cast(size({column}) as bigint) {name}" for column, name in (
+            ("signals", "signals"), ("rules", "evaluations"), ("evidence", "records"), ("similar", "matches"))),
+        f"{percent('confidence')} confidence")
 
 
 def timeline_rows(sessions: DataFrame) -> DataFrame:
     """Timeline of nested sessions as rows; record order is kept in ``pos``."""
-    return sessions.select("session_id", F.posexplode("timeline").alias("pos", "e")).select(
-        "session_id", F.col("pos").cast("bigint").alias("pos"), F.col("e.timestamp").alias("time"),
-        F.col("e.event_type").alias("event"), F.col("e.stage").alias("stage"),
-        F.col("e.description").alias("description"), F.col("e.related_turn_id").alias("turn"),
-        F.col("e.related_call_id").alias("call"))
+    return sessions.selectExpr("session_id", "posexplode(timeline) as (pos, e)").selectExpr(
+        "session_id", "cast(pos as bigint) pos", "e.timestamp time", "e.event_type event", "e.stage stage",
+        "e.description description", "e.related_turn_id turn", "e.related_call_id call")
 
 
 def cause_counts(diagnosed: DataFrame) -> DataFrame:
@@ -135,6 +109,3 @@ def cause_counts(diagnosed: DataFrame) -> DataFrame:
     return diagnosed.groupBy(d["root_cause"].alias("root_cause"), d["affected_component"].alias("affected_component"),
                              d["severity"].alias("severity")).agg(
         F.count("*").alias("sessions"), F.avg("confidence").alias("mean_confidence"))
-
-
-assert {i for ids, _ in CAUSES + COMPONENTS for i in ids} <= {r.rule_id for r in RULES}

@@ -6,82 +6,59 @@ signal row, so evaluating all of them adds no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from sessionlens.functions.numbers import general
+from sessionlens.functions.numbers import general, quoted
 from sessionlens.operators.signals import signals_wide
 from sessionlens.schema import RULES, Rule, Thresholds
 
 
-def _limit(rule: Rule, limits: Thresholds) -> float | None:
-    return None if rule.threshold is None else float(getattr(limits, rule.threshold))
+def _limit(rule: Rule, limits: Thresholds) -> float:
+    return 1.0 if rule.threshold is None else float(getattr(limits, rule.threshold))
 
 
-def _number(value: float) -> str:
-    return f"{value:g}"
+def _triggered(rule: Rule, limit: float) -> str:
+    test = {"limit": f">= {limit}D", "retries": f">= {limit}D", "minimum": f"< {limit}D"}.get(rule.kind, "> 0")
+    return f"s.{rule.metric} {test}"
 
 
-def _score(rule: Rule, value: Column, limit: float | None) -> Column:
-    if rule.kind == "limit":
-        return F.when(value >= 2 * limit, 1.0).when(value >= limit, 0.75).otherwise(0.0)
-    if rule.kind == "count":
-        return F.when(value >= 2, 1.0).when(value > 0, 0.75).otherwise(0.0)
-    if rule.kind == "retries":
-        return F.when(value > limit, 1.0).when(value >= limit, 0.75).otherwise(0.0)
-    if rule.kind == "minimum":
-        return F.when(value == 0, 1.0).when(value < limit, 0.75).otherwise(0.0)
-    return (value > 0).cast("double")
+def _score(rule: Rule, limit: float) -> str:
+    full = {"limit": f">= {2 * limit}D", "retries": f"> {limit}D", "count": ">= 2", "minimum": "= 0"}.get(rule.kind, "> 0")
+    return f"case when s.{rule.metric} {full} then 1.0D when {_triggered(rule, limit)} then 0.75D else 0.0D end"
 
 
-def _triggered(rule: Rule, value: Column, limit: float | None) -> Column:
-    if rule.kind in ("limit", "retries"):
-        return value >= limit
-    if rule.kind == "minimum":
-        return value < limit
-    return value > 0
+def _reason(rule: Rule, limit: float) -> str:
+    if rule.kind == "flag":
+        return f"case when {_triggered(rule, limit)} then {quoted(rule.text_on)} else {quoted(rule.text_off)} end"
+    tail = {
+        "limit": f" {rule.unit}; threshold is {limit:g} {rule.unit}.",
+        "count": " failed calls.",
+        "retries": f" retries; threshold is {limit:g}.",
+        "minimum": f" transcript turns; minimum is {limit:g}.",
+    }[rule.kind]
+    return f"concat('Observed ', {general(f's.{rule.metric}')}, '{tail}')"
 
 
-def _reason(rule: Rule, value: Column, limit: float | None) -> Column:
-    seen = general(value)
-    if rule.kind == "limit":
-        tail = f" {rule.unit}; threshold is {_number(limit)} {rule.unit}."
-    elif rule.kind == "count":
-        tail = " failed calls."
-    elif rule.kind == "retries":
-        tail = f" retries; threshold is {_number(limit)}."
-    elif rule.kind == "minimum":
-        tail = f" transcript turns; minimum is {_number(limit)}."
-    else:
-        return F.when(value > 0, rule.text_on).otherwise(rule.text_off)
-    return F.concat(F.lit("Observed "), seen, F.lit(tail))
-
-
-def _observed(rule: Rule) -> Column:
-    return F.coalesce(F.col(rule.metric), F.lit(0.0))
-
-
-def rule_array(limits: Thresholds = Thresholds(), rules: tuple[Rule, ...] = RULES) -> Column:
-    """All rule results of a wide signal row, in rule order."""
-    return F.array(*(
-        F.struct(
-            F.lit(r.rule_id).alias("rule_id"),
-            F.lit(r.name).alias("rule_name"),
-            _triggered(r, _observed(r), _limit(r, limits)).alias("triggered"),
-            _score(r, _observed(r), _limit(r, limits)).alias("score"),
-            _reason(r, _observed(r), _limit(r, limits)).alias("reason"),
-        )
-        for r in rules
-    ))
+def _observed(rules: tuple[Rule, ...]) -> str:
+    """The signals that rules look at; a missing one counts as 0."""
+    metrics = dict.fromkeys(r.metric for r in rules)
+    return "named_struct(" + ", ".join(f"'{m}', coalesce({m}, 0.0D)" for m in metrics) + ")"
 
 
 def evaluate_rules(signals: DataFrame, limits: Thresholds = Thresholds(),
                    rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Add ``rules``: one result per rule; a missing signal counts as 0."""
-    return signals.withColumn("rules", rule_array(limits, rules))
+    """Add ``rules``: one result per rule, in rule order; a missing signal counts as 0."""
+    results = ", ".join(
+        f"named_struct('rule_id', '{r.rule_id}', 'rule_name', {quoted(r.name)},"
+        f" 'triggered', {_triggered(r, _limit(r, limits))}, 'score', {_score(r, _limit(r, limits))},"
+        f" 'reason', {_reason(r, _limit(r, limits))})"
+        for r in rules)
+    return (signals.selectExpr("*", f"{_observed(rules)} s")
+            .selectExpr("* except (s)", f"array({results}) rules"))
 
 
 def rule_rows(frame: DataFrame, *keys: str) -> DataFrame:
-    return frame.select(*(keys or ("session_id",)), F.inline("rules"))
+    return frame.selectExpr(*(keys or ("session_id",)), "inline(rules)")
 
 
 def evaluate_signal_rows(rows: DataFrame, limits: Thresholds = Thresholds(), key: str = "session_id") -> DataFrame:
@@ -89,45 +66,28 @@ def evaluate_signal_rows(rows: DataFrame, limits: Thresholds = Thresholds(), key
     return evaluate_rules(signals_wide(rows, key), limits)
 
 
-def _evidence_of(record: Column, observed: Column, limits: Thresholds, rules: tuple[Rule, ...]) -> Column:
-    """Evidence for one triggered rule, its context looked up by rule id."""
-    def choose(value) -> Column:
-        chosen = None
-        for rule in rules:
-            test = record["rule_id"] == rule.rule_id
-            chosen = F.when(test, value(rule)) if chosen is None else chosen.when(test, value(rule))
-        return chosen
-
-    metric = choose(lambda r: F.lit(r.metric))
-    metric = F.coalesce(metric, F.raise_error(F.concat(F.lit("unknown rule: "), record["rule_id"])).cast("string"))
-    value = F.coalesce(observed[metric], F.lit(0.0))
-    return F.struct(
-        F.concat(F.lit("evidence_"), record["rule_id"]).alias("evidence_id"),
-        record["rule_name"].alias("description"),
-        F.lit("extracted_signal").alias("source_type"),
-        metric.alias("source_id"),
-        metric.alias("metric"),
-        value.alias("observed_value"),
-        choose(lambda r: F.lit(1.0 if r.threshold is None else _limit(r, limits))).alias("expected_value"),
-        choose(lambda r: F.lit(r.severity)).alias("severity"),
-        record["score"].alias("confidence"),
-        choose(lambda r: F.lit(r.explanation)).alias("explanation"),
-        metric.alias("signal_name"),
-        value.alias("signal_value"),
-        record["rule_id"].alias("rule_id"),
-    )
-
-
 def build_evidence(frame: DataFrame, limits: Thresholds = Thresholds(), rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Add ``evidence``: one source-linked record per triggered entry of ``rules``."""
-    metrics = list(dict.fromkeys(r.metric for r in rules))
-    observed = F.map_from_arrays(F.array(*(F.lit(m) for m in metrics)), F.array(*(F.col(m) for m in metrics)))
-    staged = frame.withColumn("_observed", observed)
-    fired = F.filter("rules", lambda r: F.coalesce(r["triggered"], F.lit(False)))
-    return staged.withColumn(
-        "evidence", F.transform(fired, lambda r: _evidence_of(r, F.col("_observed"), limits, rules))
-    ).drop("_observed")
+    """Add ``evidence``: one source-linked record per triggered entry of ``rules``.
+
+    The context of a rule comes from a constant map; an unknown rule is an error.
+    """
+    context = "map(" + ", ".join(
+        f"'{r.rule_id}', named_struct('metric', '{r.metric}', 'expected', {_limit(r, limits)}D,"
+        f" 'severity', '{r.severity}', 'explanation', {quoted(r.explanation)})" for r in rules) + ")"
+    values = "map(" + ", ".join(f"'{m}', coalesce({m}, 0.0D)" for m in dict.fromkeys(r.metric for r in rules)) + ")"
+    known = frame.selectExpr(
+        "*", f"{values} _seen",
+        f"transform(filter(rules, r -> r.triggered), r -> named_struct('r', r, 'c',"
+        f" coalesce(try_element_at({context}, r.rule_id), raise_error(concat('unknown rule: ', r.rule_id))))) _fired")
+    return known.selectExpr(
+        "* except (_seen, _fired)",
+        "transform(_fired, f -> named_struct("
+        "'evidence_id', concat('evidence_', f.r.rule_id), 'description', f.r.rule_name,"
+        " 'source_type', 'extracted_signal', 'source_id', f.c.metric, 'metric', f.c.metric,"
+        " 'observed_value', _seen[f.c.metric], 'expected_value', f.c.expected, 'severity', f.c.severity,"
+        " 'confidence', f.r.score, 'explanation', f.c.explanation, 'signal_name', f.c.metric,"
+        " 'signal_value', _seen[f.c.metric], 'rule_id', f.r.rule_id)) evidence")
 
 
 def evidence_rows(frame: DataFrame, *keys: str) -> DataFrame:
-    return frame.select(*(keys or ("session_id",)), F.inline("evidence"))
+    return frame.selectExpr(*(keys or ("session_id",)), "inline(evidence)")

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sessionlens.functions.numbers import clamp01, fixed, shortest
 from sessionlens.operators.tiles import TILE_ROWS, blocks, home_only, matrix, route, squared_distances, tile_points, visit
@@ -30,65 +30,61 @@ BROADCAST_ROWS = 100_000  # history rows; with the text columns well under 64 MB
 MATCH = "array<struct<session_id: string, similarity_score: double, failure_type: string, summary: string>>"
 
 
-def history_table(signals: DataFrame, failure_type: Column | None = None, stored_latency: Column | None = None,
-                  rule_count: Column | None = None, dataset_version: Column | None = None,
-                  pipeline_version: Column | None = None, tool_latency: Column | None = None,
-                  duration: Column | None = None) -> DataFrame:
-    """Searchable history from wide signal rows: identity, known failure, summary, features."""
-    none = F.lit(None)
+def history_table(signals: DataFrame, failure_type: str = "null", stored_latency: str = "null",
+                  rule_count: str = "0", dataset_version: str = "null", pipeline_version: str = "null",
+                  tool_latency: str = "average_tool_latency",
+                  duration: str = "interview_duration_seconds") -> DataFrame:
+    """Searchable history from wide signal rows: identity, known failure, summary, features.
 
-    def text(column: Column | None) -> Column:
-        return F.lit("None") if column is None else F.coalesce(column.cast("string"), F.lit("None"))
-
-    summary = F.concat(
-        F.lit("duration_seconds="), fixed(F.col("interview_duration_seconds") if duration is None else duration),
-        F.lit("; average_llm_latency_ms="), F.lit("None") if stored_latency is None else shortest(stored_latency),
-        F.lit("; average_tool_latency_ms="),
-        fixed(F.col("average_tool_latency") if tool_latency is None else tool_latency),
-        F.lit("; supporting_rule_count="), F.lit("0") if rule_count is None else rule_count.cast("string"),
-        F.lit("; dataset_version="), text(dataset_version), F.lit("; pipeline_version="), text(pipeline_version),
-    )
-    row = F.col("row_id") if "row_id" in signals.columns else F.lit(0)
-    return signals.select(
-        "session_id", row.cast("bigint").alias("row_id"),
-        (none if failure_type is None else failure_type).cast("string").alias("failure_type"),
-        summary.alias("summary"), *(F.coalesce(n, F.lit(0.0)).alias(n) for n in SIMILARITY_FEATURES))
+    The arguments are SQL over ``signals``.
+    """
+    row = "row_id" if "row_id" in signals.columns else "0"
+    shown = signals.selectExpr(
+        "session_id", f"cast({row} as bigint) row_id", f"cast({failure_type} as string) failure_type",
+        f"cast({duration} as double) d", f"cast({stored_latency} as double) l", f"cast({tool_latency} as double) t",
+        f"cast({rule_count} as string) r", f"cast({dataset_version} as string) dv",
+        f"cast({pipeline_version} as string) pv",
+        *(f"coalesce({n}, 0.0D) {n}" for n in SIMILARITY_FEATURES))
+    summary = (f"concat('duration_seconds=', {fixed('d')}, '; average_llm_latency_ms=', {shortest('l')},"
+               f" '; average_tool_latency_ms=', {fixed('t')}, '; supporting_rule_count=', r,"
+               f" '; dataset_version=', coalesce(dv, 'None'), '; pipeline_version=', coalesce(pv, 'None'))")
+    return shown.selectExpr("session_id", "row_id", "failure_type", f"{summary} summary", *SIMILARITY_FEATURES)
 
 
 def history_of_sessions(sessions: DataFrame) -> DataFrame:
-    """History from nested sessions that carry signal columns (stored signals preferred)."""
-    seen = F.filter(F.transform("timeline", lambda e: F.unix_micros(e["timestamp"])), lambda x: x.isNotNull())
-    spent = F.filter(F.transform("tool_calls", lambda c: c["duration_ms"]), lambda x: x.isNotNull())
-    duration = F.coalesce((F.array_max(seen) - F.array_min(seen)) / 1e6, F.lit(0.0))
-    tool = F.when(F.size(spent) > 0, F.aggregate(spent, F.lit(0.0), lambda a, x: a + x) / F.size(spent)).otherwise(0.0)
-    # the summary shows the recorded duration even where a stored signal differs
-    shown = sessions.withColumn("recorded_duration", duration)
+    """History from nested sessions that carry signal columns (stored signals preferred).
+
+    The summary shows the recorded duration and tool latency even where stored signals differ.
+    """
+    staged = sessions.selectExpr(
+        "*", "filter(transform(timeline, e -> unix_micros(e.timestamp)), x -> x is not null) _seen",
+        "filter(transform(tool_calls, c -> c.duration_ms), x -> x is not null) _spent")
     return history_table(
-        shown, F.col("ground_truth.expected_failure_type"), F.col("metrics.avg_llm_latency_ms"),
-        F.coalesce(F.size("diagnosis.rules_triggered"), F.lit(0)), F.col("dataset_version"),
-        F.col("pipeline_version"), F.coalesce(tool, F.lit(0.0)), F.col("recorded_duration"))
+        staged, "ground_truth.expected_failure_type", "metrics.avg_llm_latency_ms",
+        "coalesce(size(diagnosis.rules_triggered), 0)", "dataset_version", "pipeline_version",
+        "case when size(_spent) > 0 then aggregate(_spent, 0.0D, (a, x) -> a + x) / size(_spent) else 0.0D end",
+        "coalesce((array_max(_seen) - array_min(_seen)) / 1e6D, 0.0D)")
 
 
 def index_statistics(history: DataFrame, features: tuple[str, ...] = SIMILARITY_FEATURES) -> list[tuple[float, float]]:
     """Mean and population deviation per feature (deviation 0 counts as 1); one pass."""
-    row = history.agg(
-        *(F.avg(n).alias(f"m_{i}") for i, n in enumerate(features)),
-        *(F.stddev_pop(n).alias(f"s_{i}") for i, n in enumerate(features)),
-    ).first()
-    return [(row[f"m_{i}"] or 0.0, row[f"s_{i}"] or 1.0) for i in range(len(features))]
+    row = history.selectExpr(*(f"{f}({n})" for n in features for f in ("avg", "stddev_pop"))).first()
+    return [(row[2 * i] or 0.0, row[2 * i + 1] or 1.0) for i in range(len(features))]
 
 
-def unit_vector(stats: list[tuple[float, float]], features: tuple[str, ...] = SIMILARITY_FEATURES) -> Column:
-    """Standardised features at unit length; a zero vector stays zero."""
-    scaled = [(F.coalesce(F.col(n).cast("double"), F.lit(0.0)) - F.lit(m)) / F.lit(s)
-              for n, (m, s) in zip(features, stats)]
-    return scale_to_unit(F.array(*scaled))
+def unit_vector(stats: list[tuple[float, float]], features: tuple[str, ...] = SIMILARITY_FEATURES) -> str:
+    """Standardised features at unit length (SQL); a zero vector stays zero."""
+    scaled = ", ".join(f"(coalesce(cast({n} as double), 0.0D) - {m!r}D) / {s!r}D"
+                       for n, (m, s) in zip(features, stats))
+    return f"array({scaled})"
 
 
-def scale_to_unit(array: Column) -> Column:
-    norm = F.sqrt(F.aggregate(array, F.lit(0.0), lambda acc, x: acc + x * x))
+def with_unit_vector(frame: DataFrame, array: str, name: str = "vec") -> DataFrame:
     # adding 0.0 turns -0.0 into 0.0, so that equal vectors are equal keys
-    return F.transform(array, lambda x: F.when(norm == 0, F.lit(0.0)).otherwise(x / norm) + F.lit(0.0))
+    return (frame.selectExpr("*", f"{array} _raw")
+            .selectExpr("*", "sqrt(aggregate(_raw, 0.0D, (a, x) -> a + x * x)) _norm")
+            .selectExpr("* except (_raw, _norm)",
+                        f"transform(_raw, x -> case when _norm = 0 then 0.0D else x / _norm end + 0.0D) {name}"))
 
 
 # ---------------------------------------------------------------------------
@@ -139,30 +135,28 @@ def _broadcast_matches(queries: DataFrame, rows: list, k: int) -> DataFrame:
         }, dtype=object)
 
     found = queries.withColumn("_found", search("vec"))
-    zipped = F.arrays_zip("_found.ids", "_found.scores", "_found.kinds", "_found.notes")
-    return found.withColumn("similar", F.transform(zipped, lambda m: F.struct(
-        m["ids"].alias("session_id"), clamp01(m["scores"]).alias("similarity_score"),
-        m["kinds"].alias("failure_type"), m["notes"].alias("summary")))).drop("_found")
+    score = clamp01("_found.scores[i]")
+    return found.selectExpr(
+        "* except (_found)",
+        "transform(_found.ids, (id, i) -> named_struct('session_id', id, 'similarity_score', "
+        f"{score}, 'failure_type', _found.kinds[i], 'summary', _found.notes[i])) similar")
 
 
-def _lift(vec: Column, extra: int) -> Column:
+def _lift(vec: str, extra: int) -> str:
     """Two more coordinates give zero vectors unit length without changing any product."""
-    zero = F.forall(vec, lambda x: x == 0)
-    tail = F.when(zero, F.array(*(F.lit(1.0 if i == extra else 0.0) for i in range(2)))).otherwise(
-        F.array(F.lit(0.0), F.lit(0.0)))
-    return F.concat(vec, tail)
+    own = ", ".join("1.0D" if i == extra else "0.0D" for i in range(2))
+    return f"concat({vec}, case when forall({vec}, x -> x = 0) then array({own}) else array(0.0D, 0.0D) end)"
 
 
 def _tiled_matches(queries: DataFrame, members: DataFrame, k: int, dimension: int, tile_rows: int,
                    pivots: int | None) -> DataFrame:
     """Top-k per distinct query vector; returns (vec, similar)."""
     points = cut_lineage(
-        members.where("rank = 1").select(_lift(F.col("vec"), 0).alias("vec"), "session_id", "row_id")
-        .withColumn("pid", F.monotonically_increasing_id()))
+        members.where("rank = 1").selectExpr(f"{_lift('vec', 0)} vec", "session_id", "row_id",
+                                             "monotonically_increasing_id() pid"))
     tiles, cells = tile_points(points, points.count(), tile_rows, pivots)
     asked = cut_lineage(queries.select(F.col("vec").alias("query")).distinct()
-                        .withColumn("qid", F.monotonically_increasing_id())
-                        .withColumn("vec", _lift(F.col("query"), 1)))
+                        .selectExpr("query", "monotonically_increasing_id() qid", f"{_lift('query', 1)} vec"))
     schema = "qid bigint, pid bigint, session_id string, row_id bigint, score double"
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -197,10 +191,12 @@ def _tiled_matches(queries: DataFrame, members: DataFrame, k: int, dimension: in
     rows = owners.join(members.select("vec", "session_id", "row_id", "failure_type", "summary"), "vec")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "session_id", "row_id")
     rows = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
-    match = F.struct("r", F.col("session_id"), clamp01(F.col("score")).alias("similarity_score"), "failure_type", "summary")
+    match = F.expr(f"named_struct('r', r, 'session_id', session_id, 'similarity_score', {clamp01('score')},"
+                   " 'failure_type', failure_type, 'summary', summary)")
     lists = rows.groupBy("qid").agg(F.sort_array(F.collect_list(match)).alias("m"))  # at most k entries each
-    similar = F.transform("m", lambda x: F.struct(x["session_id"], x["similarity_score"], x["failure_type"], x["summary"]))
-    return asked.join(lists, "qid").select(F.col("query").alias("vec"), similar.cast(MATCH).alias("similar"))
+    return asked.join(lists, "qid").selectExpr(
+        "query vec", "transform(m, x -> named_struct('session_id', x.session_id, 'similarity_score',"
+        " x.similarity_score, 'failure_type', x.failure_type, 'summary', x.summary)) similar")
 
 
 def top_matches(queries: DataFrame, history: DataFrame, k: int = 5, plan: str = "auto",
@@ -237,13 +233,13 @@ def find_similar(signals: DataFrame, history: DataFrame | None, k: int = 5, **op
     if history is None:
         return signals.withColumn("similar", F.array().cast(MATCH))
     stats = index_statistics(history)
-    vec = unit_vector(stats)
-    return top_matches(signals.withColumn("vec", vec), history.withColumn("vec", vec), k, **options).drop("vec")
+    raw = unit_vector(stats)
+    return top_matches(with_unit_vector(signals, raw), with_unit_vector(history, raw), k, **options).drop("vec")
 
 
 def matches(frame: DataFrame, *keys: str) -> DataFrame:
     """``similar`` as rows with their 1-based rank."""
-    return frame.select(*(keys or ("session_id",)), F.posexplode("similar").alias("pos", "m")).select(
-        *(keys or ("session_id",)), (F.col("pos") + 1).cast("bigint").alias("rank"),
-        F.col("m.session_id").alias("match_session_id"), F.col("m.similarity_score").alias("similarity_score"),
-        F.col("m.failure_type").alias("failure_type"), F.col("m.summary").alias("summary"))
+    keys = keys or ("session_id",)
+    return frame.selectExpr(*keys, "posexplode(similar) as (pos, m)").selectExpr(
+        *keys, "cast(pos + 1 as bigint) rank", "m.session_id match_session_id",
+        "m.similarity_score similarity_score", "m.failure_type failure_type", "m.summary summary")

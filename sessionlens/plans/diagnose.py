@@ -41,4 +41,4 @@ def diagnose(sessions: DataFrame, history: DataFrame | None = None, k: int = 5,
     base = extract(sessions.drop("diagnosis"))
     past = None if history is None else history_of_sessions(signals_nested(history, reuse_stored=True))
     done = diagnose_signals(base, past, k, limits, **stages)
-    return done.withColumn("signals", signal_list()).drop(*FEATURES)
+    return done.selectExpr(f"* except ({', '.join(FEATURES)})", f"{signal_list()} signals")

@@ -7,7 +7,7 @@ event come from the same row, so the log is scanned once and shuffled once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from sessionlens.operators.signals import (
     event_measures, llm_measures, measures, signals_long, tool_measures, turn_measures,
@@ -20,72 +20,67 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/events.parquet")
 
 
-def with_session(events: DataFrame) -> DataFrame:
-    """Add session id, week start and the small attribute number ``k``."""
-    week = F.date_trunc("week", F.col("ts").cast("timestamp"))
-    return events.select(
-        "event_id", "user_id", "event_type", "value",
-        F.col("ts").cast("timestamp").alias("ts"), week.alias("week"),
-        F.concat(F.col("user_id").cast("string"), F.lit("-"), F.date_format(week, "yyyy-MM-dd")).alias("session_id"),
-        F.regexp_extract("props", r"(\d+)", 1).cast("bigint").alias("k"),
-    )
-
-
-def _pick(number: Column, values: dict[int, str | None], default: str | None = None) -> Column:
-    chosen = None
-    for key, value in values.items():
-        chosen = F.when(number == key, F.lit(value)) if chosen is None else chosen.when(number == key, F.lit(value))
-    return chosen.otherwise(F.lit(default)).cast("string")
-
-
 def telemetry(events: DataFrame) -> DataFrame:
     """Telemetry fields of every event (one output row per event)."""
-    k, kind = F.col("k"), F.col("event_type")
-    offset = F.unix_micros("ts") - F.unix_micros("week")
-    cents = F.round(F.col("value") * 100)
-    return with_session(events).select(
-        "session_id", "user_id", "week", "event_id", kind.alias("kind"), "k",
-        F.timestamp_micros(F.unix_micros("week") + F.floor(offset / 300)).alias("timestamp"),
-        _pick(kind, {"error": "ERROR", "view": "TURN", "click": "TOOL_CALL", "purchase": "LLM_CALL",
-                     "signup": "METRIC"}).alias("entry_type"),
-        F.coalesce(_pick(k % 5, {0: "Request timeout.", 1: "Retry attempt."}), kind).alias("description"),
-        _pick(k % 6, {0: "introduction", 1: "technical", 2: "coding", 3: "behavioral", 4: "evaluation"}).alias("stage"),
-        cents.alias("latency_ms"),
-        F.when(k % 3 != 0, cents).alias("duration_ms"),
-        (k * 40).alias("tokens_input"), (k * 7).alias("tokens_output"),
-        _pick(k % 10, {0: "timeout", 1: "error", 2: None, 3: "ok"}, "success").alias("status"),
-        F.when(k % 8 == 4, "validation").alias("error_type"),
-        F.when(k % 20 == 11, "Invalid JSON payload.").alias("error_message"),
-        F.when(F.col("event_id") % 2 == 0, "candidate").otherwise("interviewer").alias("speaker"),
-        F.when(k % 4 != 0, k).alias("tokens"),
-    ).withColumn("text", F.when(F.col("k") % 17 == 0, "").otherwise(F.col("description")))
+    return events.selectExpr(
+        "event_id", "user_id", "event_type kind", "cast(ts as timestamp) ts", "round(value * 100) latency_ms",
+        "cast(regexp_extract(props, r'(\\d+)', 1) as bigint) k",
+        "date_trunc('week', cast(ts as timestamp)) week",
+    ).selectExpr(
+        "concat(user_id, '-', cast(cast(week as date) as string)) session_id",
+        "user_id", "week", "event_id", "kind", "k", "latency_ms",
+        "timestamp_micros(unix_micros(week) + (unix_micros(ts) - unix_micros(week)) div 300) timestamp",
+        "case kind when 'error' then 'ERROR' when 'view' then 'TURN' when 'click' then 'TOOL_CALL'"
+        " when 'purchase' then 'LLM_CALL' when 'signup' then 'METRIC' end entry_type",
+        "case k % 5 when 0 then 'Request timeout.' when 1 then 'Retry attempt.' else kind end description",
+        "case k % 6 when 0 then 'introduction' when 1 then 'technical' when 2 then 'coding'"
+        " when 3 then 'behavioral' when 4 then 'evaluation' end stage",
+        "case when k % 3 <> 0 then latency_ms end duration_ms",
+        "k * 40 tokens_input", "k * 7 tokens_output",
+        "case k % 10 when 0 then 'timeout' when 1 then 'error' when 2 then null when 3 then 'ok'"
+        " else 'success' end status",
+        "case when k % 8 = 4 then 'validation' end error_type",
+        "case when k % 20 = 11 then 'Invalid JSON payload.' end error_message",
+        "case when event_id % 2 = 0 then 'candidate' else 'interviewer' end speaker",
+        "case when k % 4 <> 0 then k end tokens",
+    ).selectExpr("*", "case when k % 17 = 0 then '' else description end text")
+
+
+TURN_KINDS = "kind in ('view', 'signup')"
 
 
 def event_measures_of(log: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    c = F.col
     return measures(
-        log,
-        turn_measures(c("kind").isin("view", "signup"), c("speaker"), c("stage"), c("text"), c("tokens")),
-        llm_measures(c("kind") == "purchase", c("latency_ms"), c("duration_ms"), c("status"), c("error_type"),
-                     c("error_message"), c("tokens_input"), c("tokens_output")),
-        tool_measures(c("kind") == "click", c("latency_ms"), c("status"), c("error_type"), c("error_message")),
-        event_measures(F.lit(True), c("timestamp"), c("stage"), c("entry_type"), c("description")),
-        keep=keep,
-    )
+        log, turn_measures(TURN_KINDS), llm_measures("kind = 'purchase'"),
+        tool_measures("kind = 'click'", duration="latency_ms"), event_measures(event_type="entry_type"), keep=keep)
+
+
+def tables_of(log: DataFrame) -> dict[str, DataFrame]:
+    """The same telemetry as the four long tables."""
+    return {
+        "turns": log.where(TURN_KINDS).selectExpr("session_id", "event_id turn_id", "speaker", "stage", "text",
+                                                  "timestamp", "tokens"),
+        "llm_calls": log.where("kind = 'purchase'").selectExpr(
+            "session_id", "event_id call_id", "timestamp", "latency_ms", "duration_ms", "status", "error_type",
+            "error_message", "tokens_input", "tokens_output"),
+        "tool_calls": log.where("kind = 'click'").selectExpr(
+            "session_id", "event_id call_id", "timestamp", "latency_ms duration_ms", "status", "error_type",
+            "error_message"),
+        "timeline": log.selectExpr("session_id", "event_id", "timestamp", "stage", "entry_type event_type",
+                                   "description"),
+    }
 
 
-def actual_cause(user_id: Column) -> Column:
-    """Ground truth of the event-log sessions."""
-    return _pick(user_id % 4, {0: "timeout", 1: "tool_failure", 2: "prompt_issue"}, "unknown")
+# Ground truth of event-log sessions, by user.
+ROOT_CAUSE = ("case user_id % 4 when 0 then 'timeout' when 1 then 'tool_failure' when 2 then 'prompt_issue'"
+              " else 'unknown' end")
+COMPONENT = "case user_id % 3 when 0 then 'model_response' when 1 then 'pipeline' end"
+CATEGORY = "concat('scenario_', user_id % 5)"
 
 
 def event_signals(events: DataFrame) -> DataFrame:
     """Wide signals of all sessions in an event log, with labels and the baseline flag."""
-    carried = {"user_id": F.min("user_id"), "week": F.min("week")}
-    wide = signals_long(event_measures_of(telemetry(events), ("user_id", "week")), carried)
-    return wide.withColumns({
-        "root_cause": actual_cause(F.col("user_id")),
-        "affected_component": _pick(F.col("user_id") % 3, {0: "model_response", 1: "pipeline"}),
-        "failure_category": F.concat(F.lit("scenario_"), (F.col("user_id") % 5).cast("string")),
-        "baseline": F.col("week") < F.to_timestamp(F.lit(SPLIT_WEEK)),
-    })
+    wide = signals_long(event_measures_of(telemetry(events), ("user_id", "week")),
+                        {"user_id": "min(user_id)", "week": "min(week)"})
+    return wide.selectExpr("*", f"{ROOT_CAUSE} root_cause", f"{COMPONENT} affected_component",
+                           f"{CATEGORY} failure_category", f"week < timestamp '{SPLIT_WEEK}' baseline")
