@@ -69,10 +69,11 @@ def class_balance(features: DataFrame) -> DataFrame:
 def dataset_statistics(features: DataFrame, names: tuple[str, ...] = FEATURES) -> DataFrame:
     """One row: size, missing total, distinct categories and the summary sentence."""
     gaps = " + ".join(f"cast({present(n)} is null as bigint)" for n in names)
+    kind = F.max("source_format") if "source_format" in features.columns else F.lit("jsonl")
     return features.agg(
         F.count("*").alias("row_count"), F.expr(f"coalesce(sum({gaps}), 0L)").alias("missing_values"),
         F.expr("count(distinct nullif(failure_category, ''))").alias("failure_categories"),
-        F.max("source_format").alias("f"),
+        kind.alias("f"),
     ).selectExpr(
         "row_count", f"{len(names)}L feature_count", "failure_categories", "missing_values",
         f"concat(upper(coalesce(f, 'jsonl')), ' dataset with ', row_count, ' sessions, {len(names)} stable features, and ',"
