@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from sessionlens.functions.stats import number_rows
-from sessionlens.operators.tiles import TILE_ROWS, Cells, blocks, matrix, route, tile_points, visit, within
+from sessionlens.operators.tiles import TILE_ROWS, Cells, blocks, matrix, nothing, route, tile_points, visit, within
 from sessionlens.session import cut_lineage
 
 
@@ -170,7 +170,7 @@ def _label(points: DataFrame, tiles: DataFrame, cells: Cells, core: DataFrame, e
 
     def adopt(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"pid": [], "cluster_id": []}, dtype="int64")
+            return nothing("pid", "cluster_id")
         right = right.sort_values("cluster_id")
         mine, others, number = matrix(left["vec"]), matrix(right["vec"]), right["cluster_id"].to_numpy()
         best = np.full(len(left), -1, dtype="int64")

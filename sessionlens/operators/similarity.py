@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sessionlens.functions.numbers import clamp01, fixed, shortest
-from sessionlens.operators.tiles import TILE_ROWS, blocks, home_only, matrix, route, squared_distances, tile_points, visit
+from sessionlens.operators.tiles import TILE_ROWS, blocks, home_only, matrix, nothing, route, squared_distances, tile_points, visit
 from sessionlens.schema import SIMILARITY_FEATURES
 from sessionlens.session import cut_lineage
 
@@ -126,13 +126,15 @@ def _broadcast_matches(queries: DataFrame, rows: list, k: int) -> DataFrame:
     def search(vec: pd.Series) -> pd.DataFrame:
         history, ids, kinds, notes = shared.value
         if not len(vec):
-            return pd.DataFrame({"ids": [], "scores": [], "kinds": [], "notes": []})
+            return nothing("ids", "scores", "kinds", "notes")
         i, j, s = _best(matrix(vec), history, k)
         cut = np.searchsorted(i, np.arange(1, len(vec)))
-        return pd.DataFrame({
-            "ids": np.split(ids[j], cut), "scores": np.split(s, cut),
-            "kinds": np.split(kinds[j], cut), "notes": np.split(notes[j], cut),
-        }, dtype=object)
+
+        def per_query(values: np.ndarray) -> list[list]:
+            return [part.tolist() for part in np.split(values, cut)]
+
+        return pd.DataFrame({"ids": per_query(ids[j]), "scores": per_query(s), "kinds": per_query(kinds[j]),
+                             "notes": per_query(notes[j])})
 
     found = queries.withColumn("_found", search("vec"))
     score = clamp01("_found.scores[i]")
@@ -161,7 +163,7 @@ def _tiled_matches(queries: DataFrame, members: DataFrame, k: int, dimension: in
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"qid": [], "pid": [], "session_id": [], "row_id": [], "score": []})
+            return nothing("qid", "pid", "session_id", "row_id", "score")
         right = right.sort_values(["session_id", "row_id", "pid"])
         i, j, s = _best(matrix(left["vec"]), matrix(right["vec"]), k)
         hit = right.iloc[j]

@@ -33,6 +33,11 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.vstack(column.to_numpy()) if len(column) else np.zeros((0, 0))
 
 
+def nothing(*columns: str) -> pd.DataFrame:
+    """An empty result; object columns convert to any Arrow type."""
+    return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
+
+
 def squared_distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     d = (left * left).sum(1)[:, None] + (right * right).sum(1)[None, :] - 2.0 * (left @ right.T)
     return np.maximum(d, 0.0)

@@ -57,8 +57,9 @@ def parse_sessions(lines: DataFrame, column: str = "value") -> DataFrame:
         *kept, f"coalesce(case when {suspicious} then {nulls} end, false) _null_list",
         f"from_json({column}, '{ddl}', map('mode', 'PERMISSIVE', 'columnNameOfCorruptRecord', '_corrupt')) r",
     ).selectExpr(*kept, "_null_list", "r.*")
+    empty = ", ".join(LISTS)
     checked = with_issues(parsed).selectExpr(
-        "* except (issues, _corrupt, _null_list)",
+        f"* except (issues, _corrupt, _null_list, {empty})", *(f"coalesce({n}, array()) {n}" for n in LISTS),
         "case when _corrupt is not null then array('Invalid JSON or field type')"
         " when _null_list then array_append(issues, 'list fields must not be null') else issues end issues")
     return checked.withColumn("session_id", F.expr(canonical_uuid("session_id")))
@@ -102,7 +103,7 @@ def load_features(spark: SparkSession, path: str, strict: bool = False) -> Loade
 
 def read_session_document(spark: SparkSession, path: str) -> DataFrame:
     """A file that holds one JSON session, over any number of lines."""
-    text = spark.read.option("wholetext", True).text(path).selectExpr("value", "0L row_id")
+    text = spark.read.text(path, wholetext=True).selectExpr("value", "0L row_id")
     state = parse_sessions(text).selectExpr("size(issues) n")
     if text.where(f"not {is_blank('value')}").isEmpty():
         raise ValueError("The uploaded file is empty.")
@@ -113,7 +114,7 @@ def read_session_document(spark: SparkSession, path: str) -> DataFrame:
 
 def read_reports(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, report variant) of the JSON reports that can be parsed; empty or broken files drop out."""
-    return spark.read.option("wholetext", True).text(path).selectExpr(
+    return spark.read.text(path, wholetext=True).selectExpr(
         "_metadata.file_path file", "try_parse_json(value) report").where("report is not null")
 
 

@@ -14,13 +14,13 @@ _EXTRA = ("row_id", "issues")
 
 
 def write_sessions(sessions: DataFrame, path: str, mode: str = "errorifexists", check: bool = True) -> None:
-    """One JSON object per session; with ``check`` every row must survive a round trip first."""
+    """One JSON object per session, absent values left out; with ``check`` every row must survive a round trip first."""
     plain = sessions.drop(*_EXTRA)
     if check:
         bad = revalidate(plain).limit(1).collect()
         if bad:
             raise DatasetValidationError(f"Session {bad[0]['session_id']} is invalid: {'; '.join(bad[0]['issues'])}")
-    plain.write.mode(mode).option("ignoreNullFields", False).json(path)
+    plain.write.mode(mode).json(path)
 
 
 def write_flat_rows(sessions: DataFrame, path: str, mode: str = "errorifexists") -> None:
