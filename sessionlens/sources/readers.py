@@ -53,10 +53,11 @@ def parse_sessions(lines: DataFrame, column: str = "value") -> DataFrame:
         f"is_variant_null(try_variant_get(try_parse_json({column}), '$.{n}', 'variant'))" for n in LISTS)
     suspicious = f"{column} rlike r'\"({'|'.join(LISTS)})\"\\s*:\\s*null'"
     kept = [c for c in lines.columns if c != column]
+    # inline() keeps later filters above the parse; pushed below it they would repeat from_json per field
     parsed = lines.selectExpr(
         *kept, f"coalesce(case when {suspicious} then {nulls} end, false) _null_list",
-        f"from_json({column}, '{ddl}', map('mode', 'PERMISSIVE', 'columnNameOfCorruptRecord', '_corrupt')) r",
-    ).selectExpr(*kept, "_null_list", "r.*")
+        f"inline(array(from_json({column}, '{ddl}',"
+        " map('mode', 'PERMISSIVE', 'columnNameOfCorruptRecord', '_corrupt'))))")
     empty = ", ".join(LISTS)
     checked = with_issues(parsed).selectExpr(
         f"* except (issues, _corrupt, _null_list, {empty})", *(f"coalesce({n}, array()) {n}" for n in LISTS),

@@ -109,8 +109,8 @@ def revalidate(sessions: DataFrame) -> DataFrame:
     """Rows that would not survive being written and read again, with their messages."""
     again = sessions.selectExpr(
         "session_id as written_id",
-        f"from_json(to_json(struct(*)), {_literal(S.SESSION_DDL + ', _corrupt STRING')},"
-        " map('mode', 'PERMISSIVE', 'columnNameOfCorruptRecord', '_corrupt')) r").selectExpr("written_id", "r.*")
+        f"inline(array(from_json(to_json(struct(*)), {_literal(S.SESSION_DDL + ', _corrupt STRING')},"
+        " map('mode', 'PERMISSIVE', 'columnNameOfCorruptRecord', '_corrupt'))))")
     return with_issues(again).selectExpr(
         "written_id session_id",
         "case when _corrupt is not null then array('not readable') else issues end issues").where("size(issues) > 0")
