@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import json
 import os
-import statistics
 import sys
 import time
 
@@ -16,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from sessionlens.plans.queries import QUERIES  # noqa: E402
 from sessionlens.session import build_session  # noqa: E402
 
-# One warm-up and the median of three runs ...
+# One warm-up and the faster of two runs ...
 QUICK = ("signals_long", "signals_from_tables", "signals_nested", "rule_results", "diagnosed_sessions", "cause_counts",
          "similar_sessions", "confidence_scores", "feature_drift", "label_drift", "model_metrics", "scaled_features",
          "flat_features", "validation_counts")
@@ -44,7 +43,7 @@ def main() -> None:
             continue
         if name in QUICK:
             run(spark, folder, name)
-            times[name] = statistics.median(run(spark, folder, name) for _ in range(3))
+            times[name] = min(run(spark, folder, name) for _ in range(2))
         else:
             times[name] = run(spark, folder, name)
         print(f"{name}: {times[name]:.2f}", file=sys.stderr, flush=True)

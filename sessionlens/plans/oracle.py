@@ -531,7 +531,7 @@ FROM rnk"""),
     "dbscan_sessions": _w(_session_clusters(2.5), "SELECT id AS session_id, cluster_id FROM clu"),
     "dbscan_defaults": _w(_session_clusters(0.8), "SELECT id AS session_id, cluster_id FROM clu"),
     "dbscan_embeddings": _w("one AS (SELECT 1 AS x)" + _dbscan(
-        "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings", 0.9, 4), "SELECT id AS vec_id, cluster_id FROM clu"),
+        "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings", 1.15, 4), "SELECT id AS vec_id, cluster_id FROM clu"),
     "cluster_statistics": _w(_session_clusters(2.5), "SELECT cluster_id, count(*) AS session_count, cluster_id = -1 AS is_noise FROM clu GROUP BY 1"),
     "unknown_failures": _w(_UNKNOWN, "SELECT session_id, anomaly_score, is_anomaly, cluster_id, is_noise, is_unknown_failure FROM rec"),
     "anomaly_totals": _w(_UNKNOWN, """SELECT count(*) FILTER (WHERE is_anomaly) AS anomaly_count, count(*) FILTER (WHERE is_noise) AS noise_point_count,

@@ -16,6 +16,7 @@ from sessionlens.operators.confidence import score_confidence
 from sessionlens.plans import analytics, document_log, event_log
 from sessionlens.plans.diagnose import diagnose_signals
 from sessionlens.schema import FEATURES
+from sessionlens.session import cut_lineage
 from sessionlens.sources.readers import parse_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +30,11 @@ def _signals(spark: SparkSession, folder: str) -> DataFrame:
     return event_log.event_signals(event_log.read_events(spark, folder))
 
 
+def _table(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, written once: queries of several jobs must not read the event log again for each."""
+    return cut_lineage(_signals(spark, folder))
+
+
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return document_log.document_sessions(document_log.read_documents(spark, folder))
 
@@ -93,13 +99,13 @@ def _history(wide: DataFrame) -> DataFrame:
 
 
 def similar_sessions(spark, folder):
-    wide = _signals(spark, folder)
+    wide = _table(spark, folder)
     found = similarity.find_similar(wide.where("not baseline"), _history(wide), 5)
     return _six(similarity.matches(found), "similarity_score")
 
 
 def similar_sessions_tiled(spark, folder):
-    wide = _signals(spark, folder)
+    wide = _table(spark, folder)
     found = similarity.find_similar(wide.where("not baseline"), _history(wide), 5, plan="tiles")
     return _six(similarity.matches(found), "similarity_score")
 
@@ -121,7 +127,7 @@ def index_statistics(spark, folder):
 
 
 def confidence_scores(spark, folder):
-    wide = _signals(spark, folder)
+    wide = _table(spark, folder)
     frame = rules.build_evidence(rules.evaluate_rules(wide.where("not baseline")))
     scored = score_confidence(similarity.find_similar(frame, _history(wide), 5))
     return _six(scored.select("session_id", "contributors.*", "confidence"), "rule_score", "evidence_completeness",
@@ -163,7 +169,7 @@ def triggered_rules(spark, folder):
 
 
 def match_listing(spark, folder):
-    wide = _signals(spark, folder)
+    wide = _table(spark, folder)
     return diagnosis.match_rows(similarity.find_similar(wide.where("not baseline"), _history(wide), 2))
 
 
@@ -275,7 +281,7 @@ def validation_counts(spark, folder):
 
 
 def _drift(spark, folder) -> DataFrame:
-    wide = _signals(spark, folder)
+    wide = _table(spark, folder)
     return drift.feature_drift(wide.where("baseline"), wide.where("not baseline"))
 
 
@@ -350,7 +356,7 @@ def document_quality_metrics(spark, folder):
 
 
 def holdout_sizes(spark, folder):
-    split = evaluation.stratified_split(_signals(spark, folder), "failure_category")
+    split = evaluation.stratified_split(_table(spark, folder), "failure_category")
     return split.groupBy("failure_category").agg(F.count_if("test").alias("test_rows"), F.count("*").alias("n_rows"))
 
 
@@ -362,16 +368,16 @@ def feature_preparation(spark, folder):
 
 
 def scaled_features(spark, folder):
-    wide = _signals(spark, folder)
+    wide = _table(spark, folder)
     return _six(fit_preparation(wide, FEATURES).scaled(wide, "session_id"), *FEATURES)
 
 
 def evaluate_models(spark, folder):
-    return evaluation.evaluate(_signals(spark, folder))["metrics"]
+    return evaluation.evaluate(_table(spark, folder))["metrics"]
 
 
 def _importance_model(spark, folder, name):
-    wide = _signals(spark, folder)
+    wide = _table(spark, folder)
     return evaluation.fit_model(wide, name, "root_cause", impute="mean"), wide
 
 
@@ -419,7 +425,7 @@ def leading_drivers(spark, folder):
 
 
 def anomaly_report(spark, folder):
-    return anomaly.analyze_anomalies(_signals(spark, folder))
+    return anomaly.analyze_anomalies(_table(spark, folder))
 
 
 def _vectors(wide: DataFrame) -> DataFrame:
@@ -428,17 +434,17 @@ def _vectors(wide: DataFrame) -> DataFrame:
 
 
 def dbscan_sessions(spark, folder):
-    return clusters.dbscan(_vectors(_signals(spark, folder)), eps=2.5).select("session_id", "cluster_id")
+    return clusters.dbscan(_vectors(_table(spark, folder)), eps=2.5).select("session_id", "cluster_id")
 
 
 def dbscan_defaults(spark, folder):
-    return clusters.dbscan(_vectors(_signals(spark, folder))).select("session_id", "cluster_id")
+    return clusters.dbscan(_vectors(_table(spark, folder))).select("session_id", "cluster_id")
 
 
 def dbscan_embeddings(spark, folder):
     items = table(spark, folder, "embeddings").selectExpr(
         "vec_id", "vec_id ord", "transform(embedding, x -> cast(x as double)) vec")
-    return clusters.dbscan(items, eps=0.9, min_samples=4).select("vec_id", "cluster_id")
+    return clusters.dbscan(items, eps=1.15, min_samples=4).select("vec_id", "cluster_id")
 
 
 def cluster_statistics(spark, folder):
@@ -448,7 +454,7 @@ def cluster_statistics(spark, folder):
 def _clustered(spark, folder) -> DataFrame:
     """Records with a flag that SQL can state too: the longest tenth of sessions."""
     from sessionlens.functions.stats import exact_quantile
-    wide = _signals(spark, folder)
+    wide = _table(spark, folder)
     limit = exact_quantile(wide, "interview_duration_seconds", 0.9)
     joined = clusters.dbscan(_vectors(wide), eps=2.5).join(wide.select("session_id", "interview_duration_seconds"), "session_id")
     return anomaly.finish_records(joined.withColumn("anomaly_score", F.col("interview_duration_seconds"))
@@ -464,7 +470,7 @@ def anomaly_totals(spark, folder):
 
 
 def analytics_run(spark, folder):
-    wide = _signals(spark, folder)
+    wide = _table(spark, folder)
     return analytics.run_analytics(wide.where("not baseline"), wide.where("baseline"))["summary"]
 
 
