@@ -18,6 +18,7 @@ from sessionlens.schema import FEATURES, LABELS
 from sessionlens.session import cut_lineage
 
 MODELS = ("Logistic Regression", "Random Forest", "Gradient Boosting")
+ROWS_PER_PARTITION = 20_000
 METRICS = ("accuracy", "precision", "recall", "f1_score", "macro_f1", "weighted_f1", "micro_f1")
 
 
@@ -118,13 +119,15 @@ def _estimator(name: str, rows: int, classes: int, seed: int):
         return LogisticRegression(family="multinomial", maxIter=1000, elasticNetParam=0.0, regParam=1.0 / rows,
                                   standardization=False)
     if name == "Random Forest":
-        return RandomForestClassifier(numTrees=100, maxDepth=20, featureSubsetStrategy="sqrt", seed=seed)
+        # deep levels have many open nodes; more memory per pass means fewer passes, the same trees
+        return RandomForestClassifier(numTrees=100, maxDepth=20, featureSubsetStrategy="sqrt", seed=seed,
+                                      maxMemoryInMB=1024)
     boosted = GBTClassifier(maxIter=100, stepSize=0.1, maxDepth=3, seed=seed)
     return boosted if classes == 2 else OneVsRest(classifier=boosted, parallelism=min(classes, 8))
 
 
 def fit_model(train: DataFrame, name: str, label: str, features: tuple[str, ...] = FEATURES, impute: str = "median",
-              seed: int = 42, prepared: Preparation | None = None, estimator=None) -> FittedModel:
+              seed: int = 42, prepared: Preparation | None = None, estimator=None, key: str = "session_id") -> FittedModel:
     if name not in MODELS and estimator is None:
         raise EvaluationError(f"Unknown model: {name}")
     prepared = prepared or fit_preparation(train, features, impute)
@@ -132,7 +135,10 @@ def fit_model(train: DataFrame, name: str, label: str, features: tuple[str, ...]
     labels = tuple(sorted(sizes))
     fitted = FittedModel(name, None, prepared, labels, name == "Logistic Regression")
     index = F.create_map(*(F.lit(x) for i, c in enumerate(labels) for x in (c, float(i))))
-    ready = fitted.vectors(train, label).withColumn("label", F.element_at(index, F.col(label))).select("features", "label")
+    # training passes over the rows hundreds of times: spread them evenly once, by a key that is unique
+    parts = max(train.sparkSession.sparkContext.defaultParallelism, -(-sum(sizes.values()) // ROWS_PER_PARTITION))
+    spread = train.repartition(parts, key) if key in train.columns else train
+    ready = fitted.vectors(spread, label).withColumn("label", F.element_at(index, F.col(label))).select("features", "label")
     ready = ready.persist()
     try:
         fitted.model = (estimator or _estimator(name, sum(sizes.values()), len(labels), seed)).fit(ready)
