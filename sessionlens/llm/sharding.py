@@ -6,7 +6,8 @@ table), at the weighted median of that dimension: the value that leaves half of
 the cell's bytes (for an odd number of shards the nearest share) on its lower
 side.  All cells of a level are split at once.  A median is found by counting:
 passes over 16 384 bins narrow the range until the bin that holds the median is
-light or a single value; equal values that weigh more are split by a hash.
+light or a single value.  Where a heavy single value holds the median, the cell
+takes its next widest dimension; where all dimensions do, a hash splits the value.
 
 Per pass one row per cell reaches the driver, so the number of shards bounds
 what it holds and what is broadcast.
@@ -45,16 +46,16 @@ def _side(frame: DataFrame, cuts: list[Cut], dims: int) -> DataFrame:
 
 
 def _narrow(frame: DataFrame, searches: list[tuple], dims: int) -> dict[int, tuple]:
-    """One pass: the bin of every search (node, dimension, fixed value, lo, step, goal) that reaches its goal."""
+    """One pass: least and largest value, bytes below and bytes of the bin in which each search reaches its goal."""
     spark = frame.sparkSession
     table = F.broadcast(spark.createDataFrame(searches, "_at int, _dim int, _fixed bigint, _lo bigint, _hi bigint, _step bigint, _goal double"))
     v = F.element_at(F.array(*(F.col(f"_d{i}") for i in range(dims))), F.col("_dim") + 1)
     v = F.when(F.col("_fixed").isNull(), v).when(v == F.col("_fixed"), F.col("_t"))
     counted = frame.join(table, F.col("_node") == F.col("_at")).withColumn("_v", v).where("_v between _lo and _hi") \
-        .groupBy("_at", F.expr("(_v - _lo) div _step").alias("_bin"), "_goal").agg(F.sum("_size").alias("_mass"))
+        .groupBy("_at", F.expr("(_v - _lo) div _step").alias("_bin"), "_goal").agg(F.sum("_size").alias("_mass"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
     before = F.sum("_mass").over(Window.partitionBy("_at").orderBy("_bin")) - F.col("_mass")
     found = counted.withColumn("_before", before).where("_before + _mass >= _goal") \
-        .groupBy("_at").agg(F.min_by(F.struct("_bin", "_before", "_mass"), "_bin").alias("x"))
+        .groupBy("_at").agg(F.min_by(F.struct("_least", "_most", "_before", "_mass"), "_bin").alias("x"))
     return {r["_at"]: tuple(r["x"]) for r in found.collect()}  # one row per cell
 
 
@@ -72,24 +73,26 @@ def kd_cuts(points: DataFrame, dims: int, shards: int, tolerance: float = 0.002)
             spans = [ends[2 * i + 1] - ends[2 * i] for i in range(dims)]
             whole = whole or [max(s, 1) for s in spans]
             if cells[node] > 1:
-                d = max(range(dims), key=lambda i: spans[i] / whole[i])
-                lower = -(-cells[node] // 2)
-                state[node] = {"dim": d, "fixed": None, "lo": ends[2 * d], "hi": ends[2 * d + 1], "goal": mass * lower / cells[node],
+                widest = sorted(range(dims), key=lambda i: -spans[i] / whole[i])
+                lower, d = -(-cells[node] // 2), widest.pop(0)
+                state[node] = {"dim": d, "next": widest, "ends": ends, "fixed": None, "lo": ends[2 * d], "hi": ends[2 * d + 1],
+                               "share": mass * lower / cells[node], "goal": mass * lower / cells[node],
                                "slack": tolerance * mass / cells[node], "right": node + lower}
         cuts, open_ = [], dict(state)
-        while open_:
+        while open_:  # a few passes
             searches = []
             for node, s in open_.items():
                 s["step"] = max(1, -(-(s["hi"] - s["lo"] + 1) // BINS))
                 searches.append((node, s["dim"], s["fixed"], s["lo"], s["hi"], s["step"], float(s["goal"])))
             found = _narrow(frame, searches, dims)
             for node, s in list(open_.items()):
-                bin_, before, mass = found[node]
-                lo = s["lo"] + bin_ * s["step"]
-                hi = min(s["hi"], lo + s["step"] - 1)
+                lo, hi, before, mass = found[node]
                 s["goal"] -= before
                 if mass > s["slack"] and lo < hi:
                     s.update(lo=lo, hi=hi)
+                elif mass > s["slack"] and s["next"]:  # many rows share the median: try the next widest dimension
+                    d = s["next"].pop(0)
+                    s.update(dim=d, lo=s["ends"][2 * d], hi=s["ends"][2 * d + 1], goal=s["share"])
                 elif mass > s["slack"] and s["fixed"] is None:
                     s.update(fixed=lo, lo=0, hi=TIES)
                 else:
