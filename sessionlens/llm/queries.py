@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sessionlens.llm import exact_dedup, mixing, quality, sharding, token_count, url_filter, warc
+from sessionlens.llm import exact_dedup, mixing, ngram_join, quality, sharding, token_count, url_filter, warc
 from sessionlens.llm.common import keep, new_path
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,6 +43,10 @@ def op4_exact_dedup(spark, folder):
     return exact_dedup.mark_copies(docs, index).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_ngram_jaccard(spark, folder):
+    return ngram_join.jaccard_components(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op7_warc(spark, folder):
     pages = table(spark, folder, "pages").select("page_id", F.col("url").alias("target_uri"), "html")
     records = warc.mark_revisits(pages, "page_id", "html")
@@ -80,7 +84,7 @@ def op10_token_counts(spark, folder, vocabulary: str | None = None):
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_kd_sharding, op4_exact_dedup, op7_warc, op8_url_filter, op9_quality, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_kd_sharding, op4_exact_dedup, op6_ngram_jaccard, op7_warc, op8_url_filter, op9_quality, op10_token_counts)}
 
 # --- SQL twins -------------------------------------------------------------------------
 
@@ -115,6 +119,19 @@ from (select *, max(case when upto - own / 2 <= rest then u end) over (partition
 select doc_id, max(doc_id) over g keep_id, count(*) over g group_size, doc_id = max(doc_id) over g kept,
   sha256(coalesce(text, '')) text_sha256
 from documents window g as (partition by coalesce(text, ''))""",
+    "op6_ngram_jaccard": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w
+  from documents),
+s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) s from w),
+n as (select doc_id, count(*) n from s group by 1),
+b as (select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+links as (select x, y from b join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 80 * (p.n + q.n - c)),
+reach as (select x, y from links union select r.x, l.y from reach r join links l on r.y = l.x)
+select w.doc_id, coalesce(n.n, 0)::bigint n_shingles, least(w.doc_id, coalesce(r.low, w.doc_id)) component_id
+from w left join n on n.doc_id = w.doc_id left join (select x, min(y) low from reach group by 1) r on r.x = w.doc_id""",
     "op7_warc": """
 with p as (select page_id, coalesce(html, '') body, sha1(coalesce(html, '')) h from pages),
 d as (select *, min(page_id) over (partition by body) first from p)
