@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sessionlens.llm import exact_dedup, mixing, ngram_join, quality, sharding, token_count, url_filter, warc
+from sessionlens.llm import decontaminate, exact_dedup, mixing, ngram_join, quality, sharding, token_count, url_filter, warc
 from sessionlens.llm.common import keep, new_path
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,6 +37,12 @@ def op2_kd_sharding(spark, folder):
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_decontamination(spark, folder):
+    """Documents that contain an item of the benchmark, with the item."""
+    found = decontaminate.find_items(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "windows", "coverage", "exact")
+
+
 def op4_exact_dedup(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     index, _ = exact_dedup.build_index(docs)
@@ -84,7 +90,7 @@ def op10_token_counts(spark, folder, vocabulary: str | None = None):
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_kd_sharding, op4_exact_dedup, op6_ngram_jaccard, op7_warc, op8_url_filter, op9_quality, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_kd_sharding, op3_decontamination, op4_exact_dedup, op6_ngram_jaccard, op7_warc, op8_url_filter, op9_quality, op10_token_counts)}
 
 # --- SQL twins -------------------------------------------------------------------------
 
@@ -115,6 +121,32 @@ select doc_id, size, source_size, target,
   (least(whole + case when u <= coalesce(last, -1) then 1 else 0 end, 3) * size)::bigint taken, source,
   least(whole + case when u <= coalesce(last, -1) then 1 else 0 end, 3)::bigint copies
 from (select *, max(case when upto - own / 2 <= rest then u end) over (partition by source) last from heap)""",
+    "op3_decontamination": r"""
+with texts as (select 'd' k, doc_id id, text from documents union all select 'b', item_id, text from benchmark),
+raw as (select k, id, regexp_extract_all(coalesce(text, ''), '\p{N}+(?:[.,]\p{N}+)*|[\p{L}\p{M}]+|[.!?\n]') r from texts),
+slots as (
+  select k, id, r, list_transform(r, lambda w, i: case
+    when w[1] between '0' and '9' then '<number>'
+    when lower(w) = w then w
+    when i > 1 and length(w) > 1 and lower(w[1]) <> w[1] and lower(w[2:]) = w[2:] and r[i - 1] not in ('.', '!', '?', chr(10)) then '<name>'
+    else lower(w) end) s from raw),
+plain as (
+  select k, id, list_filter(r, lambda w: w not in ('.', '!', '?', chr(10))) r, list_filter(s, lambda w: w not in ('.', '!', '?', chr(10))) s from slots),
+wins as (
+  select k, id, at, r[at + 1:at + 8] r, s[at + 1:at + 8] s, len(plain.s) - 7 n from plain, unnest(range(len(plain.s) - 7)) t(at)),
+met as (
+  select d.id doc_id, b.id item_id, b.n, b.at, d.at - b.at shift,
+    list_filter(list_transform(range(1, 9), lambda i: {'kind': b.s[i], 'said': b.r[i], 'found': d.r[i]}), lambda x: starts_with(x.kind, '<')) p
+  from wins d join wins b on d.s = b.s and d.k = 'd' and b.k = 'b'
+  where len(list_filter(b.s, lambda w: not starts_with(w, '<'))) >= 4),
+aligned as (
+  select doc_id, item_id, n, shift, count(distinct at) windows, list_distinct(flatten(list(list_transform(p, lambda x: {'said': x.said, 'found': x.found})))) p
+  from met group by all)
+select doc_id, item_id, max(windows)::bigint windows, max(windows / n) coverage,
+  bool_or(len(list_filter(p, lambda x: x.said <> x.found)) = 0) "exact"
+from aligned where windows >= 0.3 * n and len(list_distinct(list_transform(p, lambda x: x.said))) = len(p)
+  and len(list_distinct(list_transform(p, lambda x: x.found))) = len(p)
+group by all""",
     "op4_exact_dedup": """
 select doc_id, max(doc_id) over g keep_id, count(*) over g group_size, doc_id = max(doc_id) over g kept,
   sha256(coalesce(text, '')) text_sha256
