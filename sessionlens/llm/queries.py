@@ -133,14 +133,15 @@ slots as (
 plain as (
   select k, id, list_filter(r, lambda w: w not in ('.', '!', '?', chr(10))) r, list_filter(s, lambda w: w not in ('.', '!', '?', chr(10))) s from slots),
 wins as (
-  select k, id, at, r[at + 1:at + 8] r, s[at + 1:at + 8] s, len(plain.s) - 7 n from plain, unnest(range(len(plain.s) - 7)) t(at)),
+  select k, id, "at", list_slice(plain.r, "at" + 1, "at" + 8) r, list_slice(plain.s, "at" + 1, "at" + 8) s, len(plain.s) - 7 n
+  from plain, unnest(range(len(plain.s) - 7)) t("at")),
 met as (
-  select d.id doc_id, b.id item_id, b.n, b.at, d.at - b.at shift,
+  select d.id doc_id, b.id item_id, b.n, b."at", d."at" - b."at" shift,
     list_filter(list_transform(range(1, 9), lambda i: {'kind': b.s[i], 'said': b.r[i], 'found': d.r[i]}), lambda x: starts_with(x.kind, '<')) p
   from wins d join wins b on d.s = b.s and d.k = 'd' and b.k = 'b'
   where len(list_filter(b.s, lambda w: not starts_with(w, '<'))) >= 4),
 aligned as (
-  select doc_id, item_id, n, shift, count(distinct at) windows, list_distinct(flatten(list(list_transform(p, lambda x: {'said': x.said, 'found': x.found})))) p
+  select doc_id, item_id, n, shift, count(distinct "at") windows, list_distinct(flatten(list(list_transform(p, lambda x: {'said': x.said, 'found': x.found})))) p
   from met group by all)
 select doc_id, item_id, max(windows)::bigint windows, max(windows / n) coverage,
   bool_or(len(list_filter(p, lambda x: x.said <> x.found)) = 0) "exact"

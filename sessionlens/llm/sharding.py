@@ -24,6 +24,7 @@ from pyspark.sql.window import Window
 
 BINS = 1 << 14
 TIES = (1 << 31) - 1
+ROOT = "case when _size >= 0 then 0 end"  # no literal: a join on it would be folded to a nested loop
 Cut = tuple[int, int, int, int, int]  # node, right node, dimension, value, tie: left is (v, t) < (value, tie)
 
 
@@ -64,7 +65,7 @@ def kd_cuts(points: DataFrame, dims: int, shards: int, tolerance: float = 0.002)
 
     ``tolerance``: a median may be off by this part of one shard's bytes.
     """
-    frame, levels, cells = points.withColumn("_node", F.lit(0)), [], {0: shards}
+    frame, levels, cells = points.withColumn("_node", F.expr(ROOT)), [], {0: shards}
     whole: list[int] | None = None
     while any(n > 1 for n in cells.values()):
         stats = frame.groupBy("_node").agg(F.sum("_size"), *(f(f"_d{i}") for i in range(dims) for f in (F.min, F.max))).collect()
@@ -117,7 +118,7 @@ def with_points(docs: DataFrame, dims: list[str], size: Column, key: str) -> Dat
 
 def kd_assign(points: DataFrame, dims: int, levels: list[list[Cut]]) -> DataFrame:
     """Add ``shard`` and drop the helper columns."""
-    frame = points.withColumn("_node", F.lit(0))
+    frame = points.withColumn("_node", F.expr(ROOT))
     for cuts in levels:
         frame = _side(frame, cuts, dims)
     return frame.withColumn("shard", F.col("_node")).drop("_node", "_size", "_t", *(f"_d{i}" for i in range(dims)))
