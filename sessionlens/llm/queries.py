@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sessionlens.llm import decontaminate, exact_dedup, mixing, ngram_join, quality, sharding, token_count, url_filter, warc
+from sessionlens.llm import decontaminate, exact_dedup, mixing, ngram_join, quality, sharding, suffix_dedup, token_count, url_filter, warc
 from sessionlens.llm.common import keep, new_path
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,6 +49,11 @@ def op4_exact_dedup(spark, folder):
     return exact_dedup.mark_copies(docs, index).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_suffix_dedup(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs, suffix_dedup.repeated_spans(docs))
+
+
 def op6_ngram_jaccard(spark, folder):
     return ngram_join.jaccard_components(table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -90,7 +95,7 @@ def op10_token_counts(spark, folder, vocabulary: str | None = None):
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_kd_sharding, op3_decontamination, op4_exact_dedup, op6_ngram_jaccard, op7_warc, op8_url_filter, op9_quality, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_kd_sharding, op3_decontamination, op4_exact_dedup, op5_suffix_dedup, op6_ngram_jaccard, op7_warc, op8_url_filter, op9_quality, op10_token_counts)}
 
 # --- SQL twins -------------------------------------------------------------------------
 
