@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sessionlens.llm import mixing, quality, sharding
+from sessionlens.llm import decontaminate, mixing, ngram_join, quality, sharding
 from sessionlens.llm.common import keep
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,10 +18,21 @@ SHARDS = 24
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.score(docs.withColumn("_whole", F.struct(*docs.columns)).select("_whole", "text"), quality.train(docs, labels))
+    scored = quality.score(docs.select(F.struct(*docs.columns).alias("_whole")), quality.train(docs, labels), text="_whole.text")
     return scored.where("predicted = 1").select("_whole.*")
 
 
+def jaccard_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return ngram_join.one_of_each(docs, keep(ngram_join.jaccard_components(docs), "groups"))
+
+
+def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain an item of the benchmark go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.without_items(docs, decontaminate.find_items(docs, benchmark))
+
+
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix holds it: sources weigh 1, 2, 3 by code point, three epochs at most."""
     sized = docs.withColumn("_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint"))
@@ -41,7 +52,8 @@ def sharding_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.kd_assign(placed, len(dims), levels).select(*docs.columns, "shard")
 
 
-STAGES = [("quality", quality_stage), ("mixing", mixing_stage), ("sharding", sharding_stage)]
+STAGES = [("quality", quality_stage), ("jaccard", jaccard_stage), ("decontamination", decontamination_stage), ("mixing", mixing_stage),
+          ("sharding", sharding_stage)]
 
 
 def run(spark, sf_dir: str) -> DataFrame:

@@ -166,10 +166,9 @@ def _documents(ranges: int):
 
         def packed() -> pa.RecordBatch:
             rows = packer.rows()
-            return pa.RecordBatch.from_arrays([pa.nulls(rows.num_rows, pa.int64()), pa.nulls(rows.num_rows, pa.int64()),
-                                               pa.nulls(rows.num_rows, pa.int32()), *rows.columns], names)
+            return pa.RecordBatch.from_arrays([*[pa.nulls(rows.num_rows, pa.int64())] * 3, pa.nulls(rows.num_rows, pa.int32()), *rows.columns], names)
 
-        names = ["id", "sig", "n", "part", "classes", "sizes", "counts", "tokens"]
+        names = ["id", "row", "sig", "n", "part", "classes", "sizes", "counts", "tokens"]
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             seen: set[int] = set()
@@ -181,7 +180,7 @@ def _documents(ranges: int):
                         seen.add(sig)
                         packer.add(sig, len(tokens), tokens)
                 spread = pa.array([-1 - (s & 1023) for s in sigs], pa.int32())  # document rows ride along, spread evenly
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sigs, pa.int64()),
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(sigs, pa.int64()),
                                                   pa.array([len(s) for s in sets], pa.int32()), spread, *blank(hi - lo)], names)
                 if packer.held >= 3_000_000:
                     yield packed()
@@ -191,25 +190,25 @@ def _documents(ranges: int):
 
 def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per class and hash range how many of its shingles other classes have; document rows pass."""
-    names = ["id", "sig", "n", "shared"]
+    names = ["id", "row", "sig", "n", "shared"]
 
     def parts():
         for batch in batches:
-            part = batch.column(3).to_numpy(zero_copy_only=False)
+            part = batch.column(4).to_numpy(zero_copy_only=False)
             docs = part < 0
             if docs.any():
                 some = batch.filter(pa.array(docs))
-                documents.append(pa.RecordBatch.from_arrays([*some.columns[:3], pa.nulls(some.num_rows, pa.int64())], names))
+                documents.append(pa.RecordBatch.from_arrays([*some.columns[:4], pa.nulls(some.num_rows, pa.int64())], names))
             if not docs.all():
                 some = batch.filter(pa.array(~docs))
-                yield pa.RecordBatch.from_arrays(some.columns[3:], ["part", "classes", "sizes", "counts", "tokens"])
+                yield pa.RecordBatch.from_arrays(some.columns[4:], ["part", "classes", "sizes", "counts", "tokens"])
 
     documents: list[pa.RecordBatch] = []
     for tokens, owner, _ in _owned(parts(), wide=False):
         yield from documents
         documents.clear()
         sig, n = np.unique(owner[_shared(tokens)], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(sig), pa.int64()), pa.array(sig), pa.nulls(len(sig), pa.int32()), pa.array(n.astype(np.int64))], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(sig), pa.int64()), pa.nulls(len(sig), pa.int64()), pa.array(sig), pa.nulls(len(sig), pa.int32()), pa.array(n.astype(np.int64))], names)
     yield from documents
 
 
@@ -308,14 +307,14 @@ def _linked(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, least: int)
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 80) -> DataFrame:
-    """Per row of ``docs``: the key, ``n_shingles`` and ``component_id``.  ``least``: similarity in percent."""
+    """Per row of ``docs``: the key, ``n_shingles``, ``component_id`` and ``row``, a hash of the text.  ``least``: similarity in percent."""
     body = F.coalesce(col(text), F.lit(""))
-    rows = docs.select(col(key).cast("bigint").alias("id"), body.alias("text"))
+    rows = docs.select(col(key).cast("bigint").alias("id"), body.alias("text"), F.xxhash64(body).alias("row"))
     words = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
     ranges = max(64, -(-words // RANGE_SHINGLES))
-    dealt = rows.mapInArrow(_documents(ranges), f"id bigint, sig bigint, n int, {PACKED}").repartition("part").sortWithinPartitions("part")
-    counted = keep(dealt.mapInArrow(_count_shared, "id bigint, sig bigint, n int, shared bigint"), "shared")
-    documents = counted.where("n is not null").select("id", "sig", "n")
+    dealt = rows.mapInArrow(_documents(ranges), f"id bigint, row bigint, sig bigint, n int, {PACKED}").repartition("part").sortWithinPartitions("part")
+    counted = keep(dealt.mapInArrow(_count_shared, "id bigint, row bigint, sig bigint, n int, shared bigint"), "shared")
+    documents = counted.where("n is not null").select("id", "row", "sig", "n")
     classes = documents.where("n > 0").groupBy("sig", "n").agg(F.min("id").alias("first"))
     shared = counted.where("shared is not null").groupBy("sig").agg(F.sum("shared").alias("shared"))
     left = keep(classes.join(shared, "sig").where(100 * col("shared") >= least * col("n")), "left")
@@ -360,4 +359,20 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     known = keep(known, "components")
     return documents.join(known, "sig", "left").select(
         col("id").alias(key), col("n").cast("bigint").alias("n_shingles"),
-        F.when(col("n") > 0, col("component_id")).otherwise(col("id")).alias("component_id"))
+        F.when(col("n") > 0, col("component_id")).otherwise(col("id")).alias("component_id"), "row")
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The document with the smallest id of every component of :func:`jaccard_components` (a kept table).
+
+    Rows that repeat it stay once.  Where all ids of a component are null,
+    one row of every distinct text stays.
+    """
+    of = groups.select(col(key).alias("_i"), col("row").alias("_r"), col("component_id").alias("_c")).where(col("_i").eqNullSafe(col("_c")))
+    empty = F.when(col("_c").isNull(), col("_r"))
+    chosen = of.groupBy("_c", empty.alias("_e")).agg(F.min("_r").alias("_r"), F.count("*").alias("_n")).select(col("_c").alias("_i"), "_r", "_n")
+    body = F.xxhash64(F.coalesce(docs[text], F.lit("")))
+    rows = docs.join(chosen, docs[key].eqNullSafe(col("_i")) & (body == col("_r")))
+    once = rows.where("_n = 1")
+    again = rows.where("_n > 1").dropDuplicates(["_i", "_r"])
+    return once.union(again).drop("_i", "_r", "_n")

@@ -55,7 +55,7 @@ def op5_suffix_dedup(spark, folder):
 
 
 def op6_ngram_jaccard(spark, folder):
-    return ngram_join.jaccard_components(table(spark, folder, "documents").select("doc_id", "text"))
+    return ngram_join.jaccard_components(table(spark, folder, "documents").select("doc_id", "text")).drop("row")
 
 
 def op7_warc(spark, folder):
