@@ -12,10 +12,11 @@ this order into fragments cuts every set into segments.
    among the first ``n - ceil(0.8 n) + 1`` of either, so only these become
    postings.
 3. *Candidates.*  Within the postings of a shingle a few leaders are paired with
-   the members, never all with all.  Groups whose members are already connected
-   are done; the leaders leave the others and the next ones follow, twice as
-   many each round, until no group holds members of two components.  So pairs
-   that could connect something are all tested.
+   the members, never all with all.  A pair whose shingles that other classes have
+   are too few for its sizes is no candidate.  Groups whose members are already
+   connected are done; the leaders leave the others and the next ones follow,
+   twice as many each round, until no group holds members of two components that
+   could have a partner.  So pairs that could connect something are all tested.
 4. *Counts.*  The overlap of a candidate pair is counted in each fragment
    separately and summed per pair.
 
@@ -306,6 +307,16 @@ def _linked(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, least: int)
     return both.join(n_a, "a").join(n_b, "b").where(100 * col("both") >= least * (col("n_a") + col("n_b") - col("both"))).select("a", "b")
 
 
+def _open(postings: DataFrame, labels: DataFrame, least: int) -> DataFrame:
+    """What can still connect something: groups with members of two components, and in them the members whose
+    shared shingles are enough for a partner as small as the smallest."""
+    named = postings.join(labels.select(col("node").alias("sig"), "component"), "sig")
+    groups = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least")) \
+        .where("low <> high").select("token", "least")
+    enough = (100 + least) * (col("n") - col("own")) >= least * (col("n") + col("least"))
+    return keep(named.join(groups, "token").where(enough).select("token", "sig", "n", "own", "component"), "postings")
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 80) -> DataFrame:
     """Per row of ``docs``: the key, ``n_shingles``, ``component_id`` and ``row``, a hash of the text.  ``least``: similarity in percent."""
     body = F.coalesce(col(text), F.lit(""))
@@ -326,31 +337,32 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     postings = keep(tokens.mapInArrow(_prefixes(least), "token bigint, sig bigint, n int, own int"), "postings")
 
     sizes = left.select("sig", "n")
-    links, tested, labels, leaders = None, None, None, 1
-    while True:
-        groups = postings.groupBy("token", F.pmod(F.xxhash64("sig"), F.lit(leaders)).alias("slot")).agg(F.min(F.struct("own", "sig", "n")).alias("lead"))
-        groups = keep(groups.select("token", col("lead.sig").alias("a"), col("lead.n").alias("n_a")), "leaders")
-        pairs = postings.join(groups, "token").where("sig <> a").where(100 * F.least("n", "n_a") >= least * F.greatest("n", "n_a")) \
-            .select(F.least("a", "sig").alias("x"), F.greatest("a", "sig").alias("y"), "a", col("sig").alias("b"))
-        if labels is not None:
-            of = lambda side, name: labels.select(col("node").alias(f"{side}_"), col("component").alias(name))
-            pairs = pairs.join(of("x", "cx"), col("x") == col("x_"), "left").join(of("y", "cy"), col("y") == col("y_"), "left") \
-                .where(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select("x", "y", "a", "b")
+    labels = left.select(col("sig").alias("node"), col("sig").alias("component"))
+    tested, leaders = None, 1
+    postings = _open(postings, labels, least)
+    while postings.limit(1).count():
+        slot = F.pmod(F.xxhash64("sig"), F.lit(leaders)).alias("slot")
+        groups = keep(postings.groupBy("token", slot).agg(F.min(F.struct("own", "sig", "n", "component")).alias("lead")).select("token", "lead"), "leaders")
+        bound = F.least(col("n") - col("own"), col("lead.n") - col("lead.own"))
+        pairs = postings.join(groups, "token").where("component <> lead.component") \
+            .where((100 + least) * bound >= least * (col("n") + col("lead.n"))) \
+            .select(F.least("lead.sig", "sig").alias("x"), F.greatest("lead.sig", "sig").alias("y"), col("lead.sig").alias("a"), col("sig").alias("b"))
+        pairs = pairs.groupBy("x", "y").agg(F.min(F.struct("a", "b")).alias("p")).select("x", "y", "p.a", "p.b")
+        if tested is not None:
             pairs = pairs.join(tested.select("x", "y"), ["x", "y"], "left_anti")
-        pairs = keep(pairs.groupBy("x", "y").agg(F.min(F.struct("a", "b")).alias("p")).select("x", "y", "p.a", "p.b"), "pairs")
-        found = keep(_linked(pairs.select("a", "b"), segments, sizes, least), "links")
-        links = found if links is None else links.union(found)
+        pairs = keep(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        labels = components(links)
-        # leaders have met all members of their groups; what is left matters where it holds two components
-        rest = postings.join(groups.select("token", col("a").alias("sig")), ["token", "sig"], "left_anti")
-        named = rest.join(labels.select(col("node").alias("sig"), "component"), "sig", "left").withColumn("c", F.coalesce("component", "sig"))
-        apart = named.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
-        after = keep(rest.join(apart, "token", "left_semi"), "postings")
-        drop(postings)
+        found = keep(_linked(pairs.select("a", "b"), segments, sizes, least), "links")
+        if found.limit(1).count():
+            of = lambda side: labels.select(col("node").alias(side), col("component").alias(f"c{side}"))
+            ends = found.join(of("a"), "a").join(of("b"), "b").select(col("ca").alias("a"), col("cb").alias("b"))
+            grown = components(ends).select(col("node").alias("component"), col("component").alias("to"))
+            labels = keep(labels.join(grown, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+        # leaders have met all members of their groups and leave them
+        rest = postings.select("token", "sig", "n", "own").join(groups.select("token", col("lead.sig").alias("sig")), ["token", "sig"], "left_anti")
+        after = _open(rest, labels, least)
+        drop(postings, groups)
         postings, leaders = after, leaders * 2
-        if not postings.limit(1).count():
-            break
 
     member = left.select("sig", "first").join(labels.withColumnRenamed("node", "sig"), "sig").select("sig", "first", "component")
     smallest = member.groupBy("component").agg(F.min("first").alias("component_id"))
