@@ -1,19 +1,19 @@
 """N-gram Jaccard join by vertical partitioning.
 
 A document is the set of its distinct shingles (five words; a shorter text is
-one shingle).  Equal sets are one class.  All shingles have one global order:
-those that a single class has come first, then the others by hash.  Cutting
-this order into fragments cuts every set into segments.
+one shingle).  Equal sets are one class.  Cutting the order of the hashes into
+fragments cuts every set into segments.  Prefixes follow a second global order, from
+shingles that few classes have to those that many have, ties by hash.
 
 1. *Rare shingles.*  Hash ranges of all sets meet at their owners, which count
    for each class how many of its shingles other classes have.  A class with
    fewer than 80 % of such shingles can have no partner and is done.
-2. *Prefixes.*  For the rest the exact order is made.  Partners share a shingle
-   among the first ``n - ceil(0.8 n) + 1`` of either, so only these become
-   postings.
+2. *Prefixes.*  For the rest the classes of each shingle are counted.  Partners
+   share a shingle among the first ``n - ceil(0.8 n) + 1`` of either, so only these
+   become postings; passages that very many share come last and seldom do.
 3. *Candidates.*  Within the postings of a shingle a few leaders are paired with
-   the members, never all with all.  A pair whose shingles that other classes have
-   are too few for its sizes is no candidate.  Groups whose members are already
+   the members, never all with all.  The first shingle that partners share has enough
+   shingles after it in either set; pairs without such a shingle are no candidates.  Groups whose members are already
    connected are done; the leaders leave the others and the next ones follow,
    twice as many each round, until no group holds members of two components that
    could have a partner.  So pairs that could connect something are all tested.
@@ -242,16 +242,19 @@ def _repack(ranges: int):
 
 
 def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (class, size, tokens that other classes have) of each hash range."""
+    """Rows (class, size, tokens that other classes have, number of classes of each) of each hash range."""
     for tokens, owner, size in _owned(batches, wide=True):
         shared = _shared(tokens)
         tokens, owner, size = tokens[shared], owner[shared], size[shared]
+        _, which, classes = np.unique(tokens, return_inverse=True, return_counts=True)
+        common = classes[which]
         order = np.lexsort((tokens, owner))
-        tokens, owner, size = tokens[order], owner[order], size[order]
+        tokens, owner, size, common = tokens[order], owner[order], size[order], common[order]
         sig, first = np.unique(owner, return_index=True)
         ends = np.append(first[1:], len(owner))
         yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(size[first].astype(np.int32)),
-                                          pa.array([tokens[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())], ["sig", "n", "tokens"])
+                                          pa.array([tokens[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()),
+                                          pa.array([common[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())], ["sig", "n", "tokens", "common"])
 
 
 def _prefixes(least: int):
@@ -260,23 +263,26 @@ def _prefixes(least: int):
 
         def close() -> None:
             sig, n = at
-            tokens = np.sort(np.concatenate([np.frombuffer(t, np.uint64) for t in held]))
+            tokens = np.concatenate([np.frombuffer(t, np.uint64) for t, _ in held])
+            common = np.concatenate([np.frombuffer(c, np.int64) for _, c in held])
             own = n - len(tokens)
             take = n - -(-least * n // 100) + 1 - own
             if take > 0:
-                rows.append((np.full(min(take, len(tokens)), sig, np.int64), n, own, tokens[:take].view(np.int64)))
+                tokens = tokens[np.lexsort((tokens, common))[:take]]
+                rows.append((np.full(len(tokens), sig, np.int64), n, own, tokens.view(np.int64)))
 
         def out() -> pa.RecordBatch:
             sig = np.concatenate([np.zeros(0, np.int64), *(r[0] for r in rows)])
             each = [len(r[0]) for r in rows]
             token = np.concatenate([np.zeros(0, np.int64), *(r[3] for r in rows)])
             n, own = np.repeat(np.array([r[1] for r in rows], np.int32), each), np.repeat(np.array([r[2] for r in rows], np.int32), each)
+            before = own + np.concatenate([np.zeros(0, np.int64), *(np.arange(e) for e in each)])
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(token), pa.array(sig), pa.array(n.astype(np.int32)), pa.array(own.astype(np.int32))],
-                                              ["token", "sig", "n", "own"])
+            return pa.RecordBatch.from_arrays([pa.array(token), pa.array(sig), *(pa.array(x.astype(np.int32)) for x in (n, own, before))],
+                                              ["token", "sig", "n", "own", "before"])
 
         for batch in batches:
-            for sig, n, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+            for sig, n, *tokens in zip(*(c.to_pylist() for c in batch.columns)):
                 if at is not None and at[0] != sig:
                     close()
                     held = []
@@ -308,13 +314,13 @@ def _linked(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, least: int)
 
 
 def _open(postings: DataFrame, labels: DataFrame, least: int) -> DataFrame:
-    """What can still connect something: groups with members of two components, and in them the members whose
-    shared shingles are enough for a partner as small as the smallest."""
+    """What can still connect something: groups with members of two components, and in them the members with enough
+    shingles from this one on for a partner as small as the smallest."""
     named = postings.join(labels.select(col("node").alias("sig"), "component"), "sig")
     groups = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least")) \
         .where("low <> high").select("token", "least")
-    enough = (100 + least) * (col("n") - col("own")) >= least * (col("n") + col("least"))
-    return keep(named.join(groups, "token").where(enough).select("token", "sig", "n", "own", "component"), "postings")
+    enough = (100 + least) * (col("n") - col("before")) >= least * (col("n") + col("least"))
+    return keep(named.join(groups, "token").where(enough).select("token", "sig", "n", "own", "before", "component"), "postings")
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 80) -> DataFrame:
@@ -333,8 +339,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     chosen = rows.join(left.select("sig", col("first").alias("id")), "id").select("text", "sig")
     segments = keep(chosen.mapInArrow(_segments, "sig bigint, n int, fragment int, tokens binary").dropDuplicates(["sig", "fragment"]), "segments")
     part = segments.mapInArrow(_repack(ranges), PACKED).repartition("part").sortWithinPartitions("part")
-    tokens = part.mapInArrow(_shared_tokens, "sig bigint, n int, tokens binary").repartition("sig").sortWithinPartitions("sig")
-    postings = keep(tokens.mapInArrow(_prefixes(least), "token bigint, sig bigint, n int, own int"), "postings")
+    tokens = part.mapInArrow(_shared_tokens, "sig bigint, n int, tokens binary, common binary").repartition("sig").sortWithinPartitions("sig")
+    postings = keep(tokens.mapInArrow(_prefixes(least), "token bigint, sig bigint, n int, own int, before int"), "postings")
 
     sizes = left.select("sig", "n")
     labels = left.select(col("sig").alias("node"), col("sig").alias("component"))
@@ -342,8 +348,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     postings = _open(postings, labels, least)
     while postings.limit(1).count():
         slot = F.pmod(F.xxhash64("sig"), F.lit(leaders)).alias("slot")
-        groups = keep(postings.groupBy("token", slot).agg(F.min(F.struct("own", "sig", "n", "component")).alias("lead")).select("token", "lead"), "leaders")
-        bound = F.least(col("n") - col("own"), col("lead.n") - col("lead.own"))
+        groups = keep(postings.groupBy("token", slot).agg(F.min(F.struct("own", "sig", "n", "before", "component")).alias("lead")).select("token", "lead"), "leaders")
+        bound = F.least(col("n") - col("before"), col("lead.n") - col("lead.before"))
         pairs = postings.join(groups, "token").where("component <> lead.component") \
             .where((100 + least) * bound >= least * (col("n") + col("lead.n"))) \
             .select(F.least("lead.sig", "sig").alias("x"), F.greatest("lead.sig", "sig").alias("y"), col("lead.sig").alias("a"), col("sig").alias("b"))
@@ -359,7 +365,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             grown = components(ends).select(col("node").alias("component"), col("component").alias("to"))
             labels = keep(labels.join(grown, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
         # leaders have met all members of their groups and leave them
-        rest = postings.select("token", "sig", "n", "own").join(groups.select("token", col("lead.sig").alias("sig")), ["token", "sig"], "left_anti")
+        rest = postings.select("token", "sig", "n", "own", "before").join(groups.select("token", col("lead.sig").alias("sig")), ["token", "sig"], "left_anti")
         after = _open(rest, labels, least)
         drop(postings, groups)
         postings, leaders = after, leaders * 2
