@@ -42,6 +42,7 @@ ANCHOR = 24
 HOT = 5000  # entries of one anchor from which its suffixes are dealt one by one
 LAST = (1 << 63) - 1  # stands for a null id
 BLOCK_BYTES = 1 << 20
+SORTED_PLACES = 1_000_000  # suffixes sorted at once
 OCCURRENCE = "ha bigint, hb bigint, doc bigint, row bigint, starts binary, phrase binary"
 PARSED = ("doc bigint, row bigint, spans binary, block bigint, data binary, offsets binary, docs binary, rows binary, "
           "starts binary, counts binary")
@@ -190,8 +191,8 @@ class _Block:
 def _anchors(span: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for number, *columns in zip(*(c.to_pylist() for c in batch.columns)):
+            for i in range(batch.num_rows):
+                number, *columns = (c[i].as_py() for c in batch.columns)
                 block = _Block(*columns, span, ranges)
                 change = np.ones(len(block.anchor), bool)
                 change[1:] = (block.anchor[1:] != block.anchor[:-1]) | (block.entry[1:] != block.entry[:-1])
@@ -202,10 +203,10 @@ def _anchors(span: int, ranges: int):
                 new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
                 anchor, doc = anchor[new], doc[new]
                 cuts = np.searchsorted(anchor >> np.uint64(32), np.arange(ranges + 1).astype(np.uint64))
-                out += [(r, number, (anchor[a:b]).astype(np.uint32).tobytes(), doc[a:b].tobytes()) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-            columns = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
-                                             ["part", "block", "anchors", "docs"])
+                out = [(r, number, (anchor[a:b]).astype(np.uint32).tobytes(), doc[a:b].tobytes()) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+                columns = list(zip(*out)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
+                                                 ["part", "block", "anchors", "docs"])
     return run
 
 
@@ -252,8 +253,9 @@ def _suffixes(span: int, ranges: int):
     """Runs of places with a shared anchor, as text with its document and place, dealt by anchor."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for *columns, anchors, hot in zip(*(c.to_pylist() for c in batch.columns)):
+            for i in range(batch.num_rows):
+                out = []
+                *columns, anchors, hot = (c[i].as_py() for c in batch.columns)
                 block = _Block(*columns, span, ranges)
                 known = np.concatenate([np.frombuffer(a, np.uint64) for a in anchors])
                 often = np.concatenate([np.frombuffer(h, bool) for h in hot])
@@ -283,14 +285,15 @@ def _suffixes(span: int, ranges: int):
                     some = where[cuts[r]:cuts[r + 1]]
                     out.append((int(r), b"".join(raw[b:b + n] for b, n in zip(begin[some].tolist(), size[some].tolist())), size[some].astype(np.int32).tobytes(),
                                 block.docs[entry[some]].tobytes(), block.rows[entry[some]].tobytes(), start[cuts[r]:cuts[r + 1]].astype(np.int32).tobytes()))
-            columns = list(zip(*out)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), *[pa.binary()] * 5))],
-                                             [x.split()[0] for x in SUFFIXES.split(", ")])
+                columns = list(zip(*out)) or [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), *[pa.binary()] * 5))],
+                                                 [x.split()[0] for x in SUFFIXES.split(", ")])
     return run
 
 
 def _sorted_suffixes(span: int):
-    """Sort the suffixes of each part; places whose passage also starts in a smaller document are spans to remove."""
+    """Sort the suffixes of each part, in rounds by their hash; places whose passage also starts in a smaller document
+    are spans to remove."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches):
             data = np.frombuffer(b"".join(r[0] for r in rows), np.uint8)
@@ -298,18 +301,25 @@ def _sorted_suffixes(span: int):
             del rows
             offsets = np.cumsum(np.append(0, sizes), dtype=np.int64)
             each = sizes - span + 1
-            segment = np.repeat(np.arange(len(sizes)), each)
-            shift = np.arange(len(segment)) - np.repeat(np.cumsum(each) - each, each)
-            text = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, span)[offsets[segment] + shift]).view(f"S{span}").ravel()
-            order = np.argsort(text)
-            text = text[order]
-            head = np.ones(len(text), bool)
-            head[1:] = text[1:] != text[:-1]
-            del text
-            run_of = np.cumsum(head) - 1
-            doc = docs[segment[order]]
-            least = np.minimum.reduceat(doc, np.flatnonzero(head)) if len(doc) else doc
-            gone = np.sort(order[doc > least[run_of]])
+            segment = np.repeat(np.arange(len(sizes), dtype=np.int32), each)
+            shift = (np.arange(len(segment)) - np.repeat(np.cumsum(each) - each, each)).astype(np.int32)
+            rounds = -(-len(segment) // SORTED_PLACES)
+            turn = (window_hashes(data, span)[offsets[segment] + shift] % np.uint64(rounds)).astype(np.int32) if rounds else segment
+            found = [np.zeros(0, np.int64)]
+            for r in range(rounds):
+                some = np.flatnonzero(turn == r)
+                if not len(some):
+                    continue
+                text = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, span)[offsets[segment[some]] + shift[some]]).view(f"S{span}").ravel()
+                order = np.argsort(text)
+                text = text[order]
+                head = np.ones(len(text), bool)
+                head[1:] = text[1:] != text[:-1]
+                del text
+                doc = docs[segment[some[order]]]
+                least = np.minimum.reduceat(doc, np.flatnonzero(head))
+                found.append(some[order[doc > least[np.cumsum(head) - 1]]])
+            gone = np.sort(np.concatenate(found))
             segment, place = segment[gone], starts[segment[gone]] + shift[gone]
             new = np.ones(len(gone), bool)
             new[1:] = (segment[1:] != segment[:-1]) | (place[1:] != place[:-1] + 1)
