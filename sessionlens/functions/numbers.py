@@ -25,7 +25,9 @@ def _nearest(x: str, high: str, whole: str, small: str) -> str:
     # the products with 200 are exact, so the sign against the midpoint is too
     beyond = f"(({high} * 200.0D - ({whole} * 2.0D + 1.0D)) + ({x} - {high}) * 200.0D)"
     step = f"case when {beyond} > 0 then 1.0D when {beyond} < 0 then 0.0D else {whole} % 2.0D end"
-    return f"case when {small} then ({whole} + {step}) / 100.0D else {x} end"
+    # from 8e12 on the fraction has at most ten bits, so its product with 100 is exact; from 2 ** 53 on there is none
+    large = f"({x} - {x} % 1.0D) + rint({x} % 1.0D * 100.0D) / 100.0D"
+    return f"case when {small} then ({whole} + {step}) / 100.0D when {x} < 9007199254740992.0D then {large} else {x} end"
 
 
 def rounded(value: str) -> str:

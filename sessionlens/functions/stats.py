@@ -5,6 +5,7 @@ Results on the driver are a few numbers per column, never rows.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -66,8 +67,8 @@ def column_stats(frame: DataFrame, columns: list[str] | tuple[str, ...], p: floa
 
 def _ranked(cells: DataFrame, count: dict[str, int], spread: dict[str, tuple[float, float]], p: float) -> dict:
     """Quantiles of the columns in ``spread``, each searched between two values."""
-    low = "map(" + ", ".join(f"'{c}', {lo!r}D" for c, (lo, _) in spread.items()) + ")"
-    high = "map(" + ", ".join(f"'{c}', {hi!r}D" for c, (_, hi) in spread.items()) + ")"
+    low = "map(" + ", ".join(f"'{c}', double('{lo!r}')" for c, (lo, _) in spread.items()) + ")"
+    high = "map(" + ", ".join(f"'{c}', double('{hi!r}')" for c, (_, hi) in spread.items()) + ")"
     marked = cells.selectExpr("name", "value", f"{low}[name] lo", f"{high}[name] hi").where("value <= hi")
     # everything below the bracket collapses into one group per column before the shuffle
     counted = marked.selectExpr("name", "case when value < lo then null else value end value").groupBy(
@@ -118,6 +119,9 @@ def fit_preparation(frame: DataFrame, columns: list[str] | tuple[str, ...], impu
         raise ValueError(f"unknown imputation: {impute}")
     s = column_stats(frame, columns, 0.5 if impute == "median" else None)
     kept = tuple(c for c in columns if s.count[c])
+    for c in kept:
+        if not math.isfinite(s.low[c]) or not math.isfinite(s.high[c]):
+            raise ValueError(f"column {c} holds an infinite value")
     fill = {c: s.quantile[c] if impute == "median" else s.mean[c] for c in kept}
     mean, scale = {}, {}
     for c in kept:

@@ -22,9 +22,9 @@ class DriftError(ValueError):
 def _check(baseline: DataFrame, current: DataFrame, features: tuple[str, ...]) -> None:
     order = [[c for c in frame.columns if c in set(features)] for frame in (baseline, current)]
     if order[0] != order[1]:
-        raise DriftError("Datasets must use identical feature ordering.")
+        raise DriftError("the two tables order their features differently")
     if len(order[0]) != len(features):
-        raise DriftError("Dataset feature dimensions do not match metadata.")
+        raise DriftError("some of the features are missing")
 
 
 def _sides(baseline: DataFrame, current: DataFrame, columns: tuple[str, ...]) -> DataFrame:

@@ -78,11 +78,12 @@ def read_sessions(spark: SparkSession, path: str | list[str], strict: bool = Fal
 def read_flat_rows(spark: SparkSession, path: str | list[str], strict: bool = False, multiline: bool = True) -> Loaded:
     """Flat CSV with a header.  Rows without session id become issues; row numbers start at 2.
 
+    All files must have the same header; reading one with another header fails.
     ``multiline=False`` lets Spark split large files whose cells hold no line breaks.
     """
-    raw = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"').csv(path)
+    raw = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"').option("enforceSchema", False).csv(path)
     if "session_id" not in raw.columns:
-        raise DatasetValidationError("CSV must contain a session_id column.")
+        raise DatasetValidationError("a flat file needs a session_id column")
     text = [f"coalesce(`{c}`, '') `{c}`" for c in raw.columns]
     rows = raw.selectExpr(*text, *_PLACE)
     good = rows.where("session_id <> ''").drop("file", "block")

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -91,3 +92,17 @@ def test_row_numbers_follow_the_order_whatever_the_partitions(spark):
     random.shuffle(items)
     frame = spark.createDataFrame([(x,) for x in items], "x int").repartition(7)
     assert {r["x"]: r["n"] for r in number_rows(frame, "x").collect()} == {x: x for x in range(1000)}
+
+
+def test_large_values_are_rounded_too(spark):
+    rng = random.Random(3)
+    values = [rng.uniform(1e12, 1e15) for _ in range(3000)] + [8100000000000.126, 8e12 + 0.125, 9e15 + 0.5, 1e300, float("inf")]
+    values += [-v for v in values]
+    frame = spark.createDataFrame([(v,) for v in values], "x double").selectExpr("x", f"{rounded('x')} y")
+    assert all(r.y == (r.x if math.isinf(r.x) else round(r.x, 2)) for r in frame.collect())
+
+
+def test_an_infinite_value_is_named(spark):
+    frame = spark.createDataFrame([(float("inf"),), (float("inf"),), (1.0,)], "latency double")
+    with pytest.raises(ValueError, match="latency"):
+        fit_preparation(frame, ["latency"])
