@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,19 +43,24 @@ def remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def keep(frame: DataFrame, name: str = "table") -> DataFrame:
+def keep(frame: DataFrame, name: str = "table", batch_bytes: int | None = None) -> DataFrame:
     """Write ``frame`` as a table in the shared folder and read it back.
 
     Cuts the lineage so that a lost executor costs no recomputation, and lets
     Spark delete the shuffle files of the finished write at once.
+    ``batch_bytes``: size of the Arrow batches of this write, for tables of large rows.
     """
     spark = frame.sparkSession
-    path, before = new_path(spark, name), spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    path = new_path(spark, name)
+    settings = {CLEANUP: "true", **({BATCH: str(batch_bytes)} if batch_bytes else {})}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         frame.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     table = spark.read.schema(frame.schema).parquet(path)
     table.kept_at = path
     return table

@@ -42,7 +42,8 @@ ANCHOR = 24
 HOT = 5000  # entries of one anchor from which its suffixes are dealt one by one
 LAST = (1 << 63) - 1  # stands for a null id
 BLOCK_BYTES = 1 << 20
-SORTED_PLACES = 1_000_000  # suffixes sorted at once
+SORTED_PLACES = 500_000  # suffixes sorted at once
+BATCH_BYTES = 4 << 20  # of the Arrow batches whose rows are blocks or pieces of them
 OCCURRENCE = "ha bigint, hb bigint, doc bigint, row bigint, starts binary, phrase binary"
 PARSED = ("doc bigint, row bigint, spans binary, block bigint, data binary, offsets binary, docs binary, rows binary, "
           "starts binary, counts binary")
@@ -214,7 +215,8 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
     """Rows by their first column, which comes sorted."""
     part, held = None, []
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
+        for i in range(batch.num_rows):
+            row = tuple(c[i].as_py() for c in batch.columns)
             if part is not None and row[0] != part:
                 yield part, held
                 held = []
@@ -291,6 +293,15 @@ def _suffixes(span: int, ranges: int):
     return run
 
 
+def _turns(data: np.ndarray, sizes: np.ndarray, span: int, rounds: int) -> np.ndarray:
+    """The round of every place in these segments, by the hash of its passage."""
+    inside = np.ones(len(data), bool)  # whether a passage that lies whole in its segment starts here
+    ends = np.cumsum(sizes, dtype=np.int64)
+    for i in range(1, span):
+        inside[ends - i] = False
+    return (window_hashes(data, span)[np.flatnonzero(inside)] % np.uint64(rounds)).astype(np.uint16)
+
+
 def _sorted_suffixes(span: int):
     """Sort the suffixes of each part, in rounds by their hash; places whose passage also starts in a smaller document
     are spans to remove."""
@@ -298,29 +309,29 @@ def _sorted_suffixes(span: int):
         for _, rows in _grouped(batches):
             data = np.frombuffer(b"".join(r[0] for r in rows), np.uint8)
             sizes, docs, keys, starts = (np.concatenate([np.frombuffer(r[i], k) for r in rows]) for i, k in ((1, np.int32), (2, np.int64), (3, np.int64), (4, np.int32)))
-            del rows
+            rows.clear()
             offsets = np.cumsum(np.append(0, sizes), dtype=np.int64)
-            each = sizes - span + 1
-            segment = np.repeat(np.arange(len(sizes), dtype=np.int32), each)
-            shift = (np.arange(len(segment)) - np.repeat(np.cumsum(each) - each, each)).astype(np.int32)
-            rounds = -(-len(segment) // SORTED_PLACES)
-            turn = (window_hashes(data, span)[offsets[segment] + shift] % np.uint64(rounds)).astype(np.int32) if rounds else segment
+            nth = np.cumsum(np.append(0, sizes - (span - 1)), dtype=np.int64)  # first place of each segment
+            rounds = -(-int(nth[-1]) // SORTED_PLACES)
+            turn = np.concatenate([np.zeros(0, np.uint16), *(_turns(data[offsets[lo]:offsets[hi]], sizes[lo:hi], span, rounds) for lo, hi in blocks(offsets, BLOCK_BYTES))])
             found = [np.zeros(0, np.int64)]
             for r in range(rounds):
                 some = np.flatnonzero(turn == r)
                 if not len(some):
                     continue
-                text = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, span)[offsets[segment[some]] + shift[some]]).view(f"S{span}").ravel()
+                segment = np.searchsorted(nth, some, "right") - 1
+                text = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, span)[offsets[segment] + some - nth[segment]]).view(f"S{span}").ravel()
                 order = np.argsort(text)
                 text = text[order]
                 head = np.ones(len(text), bool)
                 head[1:] = text[1:] != text[:-1]
                 del text
-                doc = docs[segment[some[order]]]
+                doc = docs[segment[order]]
                 least = np.minimum.reduceat(doc, np.flatnonzero(head))
                 found.append(some[order[doc > least[np.cumsum(head) - 1]]])
             gone = np.sort(np.concatenate(found))
-            segment, place = segment[gone], starts[segment[gone]] + shift[gone]
+            segment = np.searchsorted(nth, gone, "right") - 1
+            place = starts[segment] + (gone - nth[segment])
             new = np.ones(len(gone), bool)
             new[1:] = (segment[1:] != segment[:-1]) | (place[1:] != place[:-1] + 1)
             first = np.flatnonzero(new)
@@ -367,10 +378,10 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
     entries = parsed.where("block is not null").select("block", "data", "offsets", "docs", "rows", "starts", "counts")
     anchors = entries.mapInArrow(_anchors(span, ranges), "part int, block bigint, anchors binary, docs binary").repartition("part").sortWithinPartitions("part")
     shared = anchors.mapInArrow(_shared_anchors, "block bigint, anchors binary, hot binary")
-    shared = keep(shared.groupBy("block").agg(F.collect_list("anchors").alias("anchors"), F.collect_list("hot").alias("hot")), "anchors")
+    shared = keep(shared.groupBy("block").agg(F.collect_list("anchors").alias("anchors"), F.collect_list("hot").alias("hot")), "anchors", BATCH_BYTES)
     dealt = entries.join(shared, "block").select("data", "offsets", "docs", "rows", "starts", "counts", "anchors", "hot") \
         .mapInArrow(_suffixes(span, ranges), SUFFIXES).repartition("part").sortWithinPartitions("part")
-    edges = keep(dealt.mapInArrow(_sorted_suffixes(span), SPANS), "suffixes")
+    edges = keep(dealt.mapInArrow(_sorted_suffixes(span), SPANS), "suffixes", BATCH_BYTES)
     whole = keep(parsed.where("block is null and spans is not null").select("doc", "row", "spans"), "repeats")
     drop(parsed, shared)
     return whole.union(edges)
