@@ -184,7 +184,8 @@ class _Block:
         np.add.at(edge, self.offsets[1:] - span + 1, -1)
         self.places = np.flatnonzero(np.cumsum(edge) > 0)
         self.entry = np.searchsorted(self.offsets, self.places, "right") - 1
-        value = least_of(window_hashes(self.data, ANCHOR), span - ANCHOR + 1)[self.places]
+        # mixed again: least hashes are small, so their own ranges would be very uneven
+        value = mixed(least_of(window_hashes(self.data, ANCHOR), span - ANCHOR + 1)[self.places])
         part = ((value >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
         self.anchor = (part << np.uint64(32)) | (value & np.uint64(0xFFFFFFFF))
 
