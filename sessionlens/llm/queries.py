@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sessionlens.llm import decontaminate, exact_dedup, mixing, ngram_join, quality, sharding, suffix_dedup, token_count, url_filter, warc
+from sessionlens.llm import (bpe, collocations, decontaminate, exact_dedup, mixing, ngram_join, periodic_runs, quality, sharding, suffix_dedup, token_count,
+                             url_filter, warc)
 from sessionlens.llm.common import keep, new_path
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -95,7 +96,43 @@ def op10_token_counts(spark, folder, vocabulary: str | None = None):
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_kd_sharding, op3_decontamination, op4_exact_dedup, op5_suffix_dedup, op6_ngram_jaccard, op7_warc, op8_url_filter, op9_quality, op10_token_counts)}
+def op11_bpe(spark, folder, vocabulary: str | None = None):
+    if vocabulary is None:
+        import public_tokenizers
+        vocabulary = str(public_tokenizers.path("word_bpe_49k.json"))
+    encoded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), vocabulary).drop("text")
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    encoded = encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), digest.alias("ids_sha256"), "ids")
+    return bpe.decode(encoded, vocabulary).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_collocations(spark, folder):
+    return collocations.collocations(collocations.frequent_phrases(table(spark, folder, "documents").select("lang", "text")))
+
+
+#: Documents whose checksum ends in 0 repeat a stretch of their own words from a place on.
+REPEATING = r"""
+case when crc32(cast(doc_id as string)) % 10 = 0 then transform(array(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)), w ->
+  transform(array(crc32(cast(doc_id as string)) div 10 % size(w)), a ->
+    transform(array(1 + (size(w) - a) div (3 + crc32(cast(doc_id as string)) div 10 % 8)), p ->
+      array_join(transform(w, (x, i) -> if(i < a, x, w[cast(a + (i - a) % p as int)])), ' '))[0])[0])[0]
+else text end"""
+
+
+def op13_periodic_runs(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", F.expr(REPEATING).alias("text"))
+    runs = periodic_runs.find_runs(docs)
+    best = F.expr("""aggregate(runs, cast(null as struct<start: bigint, length: bigint, period: bigint>), (best, r) ->
+        if(best is null or cast(r.length as decimal(19, 0)) * best.period > cast(best.length as decimal(19, 0)) * r.period, r, best))""")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return runs.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_mixing, op2_kd_sharding, op3_decontamination, op4_exact_dedup, op5_suffix_dedup, op6_ngram_jaccard, op7_warc, op8_url_filter, op9_quality,
+    op10_token_counts, op11_bpe, op12_collocations, op13_periodic_runs)}
 
 # --- SQL twins -------------------------------------------------------------------------
 
@@ -189,4 +226,29 @@ best as (
   select host, path, arg_max(h || p, length(h || p)) rule, arg_max(v, length(h || p)) verdict
   from (select distinct host, path from u) u join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by all)
 select page_id, u.host, u.path, rule, coalesce(verdict, 'allow') verdict from u left join best b on u.host = b.host and u.path = b.path""",
+    "op12_collocations": r"""
+with w as (
+  select coalesce(lang, 'und') lang, regexp_extract_all(p, '[^\x20\x09]+') w
+  from (select lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) p from documents)),
+f as (
+  select lang, k, phrase, count(*)::hugeint a
+  from (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) phrase from w, (select unnest(range(1, 6)) k))
+  group by all),
+n as (select lang, sum(a)::hugeint n from f where k = 1 group by 1),
+often as materialized (select * from f where a >= 100),
+c as (select * from often where k > 1),
+halves as (
+  select lang, phrase, a, cut, array_to_string(string_split(phrase, ' ')[1:cut], ' ') head, array_to_string(string_split(phrase, ' ')[cut + 1:], ' ') tail
+  from c, (select unnest(range(1, 5)) cut) where cut < k),
+cuts as (
+  select h.lang, h.phrase, h.a, cut, l.a l, r.a r, n, (1000 * h.a * n) // (l.a * r.a) score
+  from halves h join often l on l.lang = h.lang and l.phrase = head join often r on r.lang = h.lang and r.phrase = tail join n on n.lang = h.lang),
+best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+stay as (
+  select * from best b where not exists (
+    select 1 from c where c.lang = b.lang and c.a = b.a and len(c.phrase) > len(b.phrase) and contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ')))
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) "rank", phrase, a::bigint a, l::bigint l, r::bigint r, n::bigint n,
+  score::bigint score
+from stay qualify row_number() over (partition by lang order by score desc, a desc, phrase) <= 2000""",
 }
