@@ -14,10 +14,10 @@ parameter, so what is broadcast does not grow with the texts.  A slot keeps the
 first scan that was written to it: two phrases that share a slot only make
 counting start early, for a full cycle nevertheless, and counts stay exact at
 any load of the table; a fuller table prunes less.  Phrases are counted by
-128-bit hashes of their words.  Per block of text a task adds up before
+96-bit hashes of their words.  Per block of text a task adds up before
 anything is shuffled, and Spark adds up per task, so a phrase that is
 everywhere leaves one row per task.  At the end the texts of the frequent
-phrases are read back shard by shard, looking only for those not named yet.
+phrases are read back, from few files first, looking only for those not named yet.
 
 Words: A-Z lower case, texts cut into pieces at ``.,;:!?`` and the bytes 10 to
 13, pieces into words at spaces and tabs.  Everything is per language.
@@ -40,14 +40,20 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from sessionlens.llm.common import drop, keep, mixed
 
-BLOCK = 6 << 20  # bytes of text that a task works on at once
+BLOCK = 4 << 20  # bytes of text that a task works on at once
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 PREPARE = bytes.maketrans(bytes(range(65, 91)) + BREAKS + b"\t", bytes(range(97, 123)) + b"," * len(BREAKS) + b" ")
 UNSET = 255
-BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-REMEMBERED = 500_000  # hashes of words per task
-COUNTS = "k int, h1 bigint, h2 bigint, n bigint, since int"
-NAMES = "k int, h1 bigint, h2 bigint, lang string, phrase string"
+BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint32(0x85EBCA77))
+REMEMBERED = 100_000  # hashes of words per task
+BATCH = 8 << 20  # bytes of text in an Arrow batch
+LENGTH = np.uint64(0xA0761D6478BD642F)  # tells phrases of different lengths apart
+COUNTS = "h1 bigint, h2 int, n bigint, kind int"  # kind: length + 8 * first scan
+NAMES = "h1 bigint, h2 int, lang string, phrase string"
+
+
+def slot_of(keys: np.ndarray, size: int) -> np.ndarray:
+    return mixed(keys) >> np.uint64(64 - (size - 1).bit_length())
 
 
 class Level:
@@ -56,14 +62,15 @@ class Level:
     def __init__(self, k: int, h1, h2, last, since, names, slots: np.ndarray):
         self.k, self.h1, self.h2, self.last, self.names = k, h1, h2, last, names
         with np.errstate(over="ignore"):
-            self.slot = mixed(h1 + np.uint64(k)) >> np.uint64(64 - (len(slots) - 1).bit_length())
+            self.key = h1 + np.uint64(k) * LENGTH
+        self.slot = slot_of(self.key, len(slots))
         self.reached = slots[self.slot]
         #: a shared slot may be older than those of the subphrases, without which no scan meets the phrase
         self.open = np.maximum(self.reached, since)
 
 
 class Hashes:
-    """128-bit hashes of words of a language, a bounded number of them remembered."""
+    """96-bit hashes of words of a language, a bounded number of them remembered."""
 
     def __init__(self):
         self.known: dict[bytes, bytes] = {}
@@ -81,7 +88,7 @@ class Hashes:
                     self.known[key] = h
             out.append(h)
         both = np.frombuffer(b"".join(out), np.uint64).reshape(-1, 2)
-        return both[:, 0].copy(), both[:, 1].copy()
+        return both[:, 0].copy(), both[:, 1].astype(np.uint32)
 
 
 def levels(block: bytes, lang: bytes, hashes: Hashes, slots: np.ndarray, longest: int) -> Iterator[tuple[Level, np.ndarray, np.ndarray, Callable]]:
@@ -98,13 +105,20 @@ def levels(block: bytes, lang: bytes, hashes: Hashes, slots: np.ndarray, longest
     if not len(ids):
         return
     h1, h2 = hashes(dictionary, lang)
-    text = lambda i, k: b" ".join([dictionary[w] for w in ids[i:i + k].tolist()])
+
+    def texts(names, at, k):
+        """The texts of some phrases of ``k`` words, from the first place that has each."""
+        def of(some: np.ndarray) -> list[bytes]:
+            first = np.zeros(int(names.max()) + 1, np.int64)
+            first[names[::-1]] = at[::-1]
+            return [b" ".join([dictionary[w] for w in ids[i:i + k].tolist()]) for i in first[some].tolist()]
+        return of
+
     counts = np.bincount(ids, minlength=len(dictionary))
     since = np.zeros(len(dictionary), np.int32)
     level = Level(1, h1, h2, np.arange(len(dictionary)), since, ids, slots)
-    first = first_places(ids, np.arange(len(ids)), len(dictionary))
-    yield level, counts, since, lambda sel: [text(first[s], 1) for s in sel]
     at, usable = np.arange(len(ids)), np.append(together, False)
+    yield level, counts, since, texts(ids, at, 1)
     while level.k < longest:
         k = level.k + 1
         names = level.names
@@ -124,27 +138,24 @@ def levels(block: bytes, lang: bytes, hashes: Hashes, slots: np.ndarray, longest
         with np.errstate(over="ignore"):
             level = Level(k, level.h1[a] * BASE[0] + h1[last], level.h2[a] * BASE[1] + h2[last], last, since, names, slots)
         counts = np.bincount(names, minlength=len(distinct))
-        first = first_places(names, at, len(distinct))
-        yield level, counts, since, lambda sel, first=first, k=k: [text(first[s], k) for s in sel]
-
-
-def first_places(names: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    first = np.zeros(n, np.int64)
-    first[names[::-1]] = at[::-1]
-    return first
+        yield level, counts, since, texts(names, at, k)
 
 
 def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
     """Prepared text of one language after another, whole pieces, about ``BLOCK`` bytes at a time."""
     for batch in batches:
-        langs = batch.column(0).dictionary_encode()
-        codes, texts = langs.indices.to_numpy(), batch.column(1).cast(pa.large_binary())
-        for code, lang in enumerate(langs.dictionary.to_pylist()):
-            rows = np.flatnonzero(codes == code)
-            size = np.cumsum([len(texts[int(i)].as_buffer() or b"") if texts[int(i)].is_valid else 0 for i in rows])
-            for part in np.split(rows, np.flatnonzero(np.diff(size // BLOCK)) + 1):
-                joined = b" , ".join(t for t in texts.take(pa.array(part)).to_pylist() if t).translate(PREPARE)
-                start = 0
+        of: dict[str, list[bytes]] = {}
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()):
+            if text:
+                of.setdefault(lang, []).append(text)
+        for lang, texts in of.items():
+            first, size = 0, 0
+            for i, text in enumerate(texts):
+                size += len(text)
+                if size < BLOCK and i + 1 < len(texts):
+                    continue
+                joined = b" , ".join(texts[first:i + 1]).translate(PREPARE)
+                first, size, start = i + 1, 0, 0
                 while start < len(joined):
                     end = len(joined)
                     if end - start > 2 * BLOCK:
@@ -164,53 +175,55 @@ def count_shard(shard: DataFrame, slots, step: int, shards: int, longest: int) -
                 active = (counts > 0) & (since + shards > step)
                 if level.k == 1 and step < shards:
                     h1, h2 = hashes([b""], lang.encode())
-                    yield batch_of([0], h1, h2, [counts[active].sum()], [0])
+                    yield batch_of(0, h1, h2, counts[active].sum(keepdims=True), np.zeros(1, np.int32))
                 if active.any():
-                    size = int(active.sum())
-                    yield batch_of(np.full(size, level.k), level.h1[active], level.h2[active], counts[active], since[active])
+                    yield batch_of(level.k, level.key[active], level.h2[active], counts[active], since[active])
 
     return shard.mapInArrow(work, COUNTS)
 
 
-def batch_of(k, h1, h2, n, since) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(k, np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
-                                       pa.array(np.asarray(n, np.int64)), pa.array(np.asarray(since, np.int32))], ["k", "h1", "h2", "n", "since"])
+def batch_of(k: int, h1, h2, n, since) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int32)), pa.array(n.astype(np.int64)),
+                                       pa.array(k + 8 * since.astype(np.int32))], ["h1", "h2", "n", "kind"])
 
 
 def name_shard(shard: DataFrame, slots, wanted, longest: int) -> DataFrame:
-    """Texts of the phrases whose slot is in ``wanted``, once per block."""
+    """Texts of the phrases whose slot is in ``wanted``, once per task as far as the task remembers them."""
     def work(batches):
-        table, asked, hashes = slots.value, wanted.value, Hashes()
+        table, asked, hashes, said = slots.value, wanted.value, Hashes(), set()
         for lang, block in blocks_of(batches):
             for level, counts, _, texts in levels(block, lang.encode(), hashes, table, longest):
                 if level.k == 1:
                     h1, h2 = hashes([b""], lang.encode())
-                    yield names_of([0], h1, h2, lang, [b""])
+                    yield names_of(h1, h2, lang, [b""])
                 sel = np.flatnonzero((counts > 0) & asked[level.slot])
+                sel = sel[[key not in said for key in level.key[sel].tolist()]]
+                if len(said) > 10 * REMEMBERED:
+                    said.clear()
+                said.update(level.key[sel].tolist())
                 for some in np.array_split(sel, len(sel) // 50_000 + 1):
                     if len(some):
-                        yield names_of(np.full(len(some), level.k), level.h1[some], level.h2[some], lang, texts(some))
+                        yield names_of(level.key[some], level.h2[some], lang, texts(some))
 
     return shard.mapInArrow(work, NAMES)
 
 
-def names_of(k, h1, h2, lang: str, texts: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(k, np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
-                                       pa.array([lang] * len(texts), pa.string()), pa.array(texts, pa.binary()).cast(pa.string())], ["k", "h1", "h2", "lang", "phrase"])
+def names_of(h1, h2, lang: str, texts: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int32)), pa.array([lang] * len(texts), pa.string()),
+                                       pa.array(texts, pa.binary()).cast(pa.string())], ["h1", "h2", "lang", "phrase"])
 
 
 def slots_of(phrases: DataFrame, size: int) -> np.ndarray:
     """The distinct slots of hashed phrases: never more than the table has, which bounds what the driver takes."""
     def work(batches):
         for b in batches:
-            with np.errstate(over="ignore"):
-                h = mixed(b.column(1).to_numpy().view(np.uint64) + b.column(0).to_numpy().astype(np.uint64)) >> np.uint64(64 - (size - 1).bit_length())
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(h).astype(np.int32))], ["slot"])
+            slots = slot_of(b.column(0).to_numpy().view(np.uint64), size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(slots).astype(np.int32))], ["slot"])
 
-    return phrases.select("k", "h1").mapInArrow(work, "slot int").distinct().toArrow().column(0).to_numpy()
+    return phrases.select("h1").mapInArrow(work, "slot int").distinct().toArrow().column(0).to_numpy()
 
 
-def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, shards: int = 4,
+def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, shards: int = 2,
                      slots: int = 1 << 24) -> DataFrame:
     """Phrases of up to ``longest`` words that occur ``least`` times in a language: ``lang``, ``phrase``, ``k`` (words), ``a`` (frequency).
 
@@ -225,45 +238,48 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     files = sorted(dealt.inputFiles())
     scans = [spark.read.schema(dealt.schema).parquet(*files[i::shards]) if files[i::shards] else None for i in range(shards)]
     table = np.full(slots, UNSET, np.uint8)
+    length, since, often = F.col("kind") % 8, F.floor(F.col("kind") / 8), (F.col("n") >= least) | (F.col("kind") % 8 == 0)
     state, latest, step = None, 0, 0
     while step < latest + shards:
         if scans[step % shards] is not None:
             sent = context.broadcast(table)
-            counted = count_shard(scans[step % shards], sent, step, shards, longest).withColumn("old", F.lit(0).cast("bigint"))
+            counted = count_shard(scans[step % shards], sent, step, shards, longest)
             if state is not None:
-                before = state.where((F.col("since") + shards > step) | (F.col("n") >= least) | (F.col("k") == 0))
-                counted = counted.unionByName(before.withColumn("old", F.col("n")))
-            merged = keep(counted.groupBy("k", "h1", "h2").agg(F.sum("n").alias("n"), F.min("since").alias("since"), F.sum("old").alias("old")), "counts")
+                counted = counted.unionByName(state)
+            merged = counted.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("kind").alias("kind"))
+            merged = keep(merged.where((since + shards > step + 1) | often), "counts", BATCH)
             sent.destroy()
             if state is not None:
                 drop(state)
             state = merged
-            reached = state.where((F.col("n") >= least) & (F.col("old") < least) & (F.col("k") > 0))
-            for usable in (True, False):  # the longest phrases start no others
-                new = slots_of(reached.where((F.col("k") < longest) == usable), slots)
+            reached = state.where((F.col("n") >= least) & (length > 0))
+            for starts in (True, False):  # the longest phrases start no others
+                new = slots_of(reached.where((length < longest) == starts), slots)
                 new = new[table[new] == UNSET]
                 table[new] = step + 1
-                if usable and len(new):
+                if starts and len(new):
                     latest = step + 1
         step += 1
     if state is None:
         return spark.createDataFrame([], "lang string, phrase string, k int, a bigint")
-    frequent = keep(state.where((F.col("n") >= least) | (F.col("k") == 0)).select("k", "h1", "h2", F.col("n").alias("a")), "frequent")
+    frequent = keep(state.where(often).select("h1", "h2", length.alias("k"), F.col("n").alias("a")), "frequent")
     drop(state)
-    named, open_ = None, frequent
+    named, unnamed, wide = None, frequent, -(-len(files) // 16)
     sent = context.broadcast(table)
-    for scan in scans:
+    while files:  # few files name most phrases; each scan is twice as wide as the one before
+        some, files = files[:wide], files[wide:]
+        wide, scan = 2 * wide, spark.read.schema(dealt.schema).parquet(*some)
         asked = np.zeros(slots, bool)
-        asked[slots_of(open_.where("k > 0"), slots)] = True
-        if scan is None or not (asked.any() or named is None):
-            continue
+        asked[slots_of(unnamed.where("k > 0"), slots)] = True
+        if not (asked.any() or named is None):
+            break
         wanted = context.broadcast(asked)
-        once = name_shard(scan, sent, wanted, longest).groupBy("k", "h1", "h2").agg(F.first("lang").alias("lang"), F.first("phrase").alias("phrase"))
-        got = keep(open_.join(once, ["k", "h1", "h2"], "left"), "names")
+        once = name_shard(scan, sent, wanted, longest).groupBy("h1", "h2").agg(F.first("lang").alias("lang"), F.first("phrase").alias("phrase"))
+        got = keep(unnamed.join(once, ["h1", "h2"], "left"), "names", BATCH)
         wanted.destroy()
         found = got.where("lang is not null")
         named = found if named is None else named.unionByName(found)
-        open_ = got.where("lang is null").drop("lang", "phrase")
+        unnamed = got.where("lang is null").drop("lang", "phrase")
     sent.destroy()
     return keep(named.select("lang", "phrase", "k", "a"), "phrases")
 
