@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from sessionlens.functions.stats import exact_quantile, fit_preparation
 from sessionlens.operators.clusters import dbscan
@@ -18,6 +18,7 @@ from sessionlens.session import cut_lineage
 TREES = 100
 SAMPLE = 256
 EULER = 0.5772156649015329
+TOP = np.uint64(1 << 63)  # flips unsigned hashes to signed ones of the same order
 
 
 class AnomalyError(ValueError):
@@ -59,35 +60,79 @@ def _grow(sample: np.ndarray, random: np.random.Generator) -> dict[str, list]:
     return nodes
 
 
-def _pool(points: DataFrame, count: int, size: int, seed: int) -> DataFrame:
-    """The ``size`` rows with the smallest hash: a uniform sample that no partitioning changes."""
-    hashed = points.withColumn("_h", F.xxhash64(F.lit(seed), "key"))
-    if count > size:
-        # a threshold keeps a little more than needed; only when it falls short is everything ranked
-        share = min(1.0, (size * 1.1 + 1000) / count)
-        bound = int(-(2 ** 63) + share * (2 ** 64 - 1))
-        likely = hashed.where(F.col("_h") <= min(bound, 2 ** 63 - 1))
-        if likely.limit(size).count() >= size:
-            hashed = likely
-    return hashed.orderBy("_h", "key").limit(size).drop("_h")
+def _tree_hash(base: np.ndarray, tree: int) -> np.ndarray:
+    """A hash of its own per tree from one hash per row."""
+    with np.errstate(over="ignore"):
+        h = base.astype(np.int64).view(np.uint64) + np.uint64(tree + 1) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _smallest(rows: pd.DataFrame, size: int) -> pd.DataFrame:
+    """The ``size`` rows of each tree with the smallest hashes, in their order."""
+    return rows.sort_values(["tree", "h", "key"], kind="stable").groupby("tree", sort=False).head(size)
+
+
+def draw_samples(points: DataFrame, count: int, seed: int = 42, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
+    """Rows (tree, h, key, vec): for every tree its own uniform sample of the whole table, without replacement.
+
+    Each tree ranks all rows by a hash of its own and takes the ``sample``
+    smallest.  One pass draws for all trees: a row enters those whose bound lies
+    above its hash, and a task keeps ``sample`` rows per tree at most, so about
+    trees x sample rows are shuffled whatever the size of the table.  Should a
+    bound leave some tree short, which is rare, the bound is raised and the pass
+    repeated; the rows drawn depend neither on the bound nor on partitions.
+    """
+    size = min(sample, count)
+    hashed = points.select(F.xxhash64(F.lit(seed), "key").alias("base"), "key", "vec")
+    schema = T.StructType([T.StructField("tree", T.IntegerType()), T.StructField("h", T.LongType()), *points.select("key", "vec").schema.fields])
+    share = (1.3 * size + 100) / max(count, 1)
+    while True:
+        bound = 2 ** 64 - 1 if share >= 1 else int(share * 2 ** 64)
+
+        def enter(batches: Iterator[pd.DataFrame], bound=np.uint64(bound)) -> Iterator[pd.DataFrame]:
+            held = None
+            for batch in batches:
+                base = batch["base"].to_numpy()
+                for first in range(0, len(batch), 4096):
+                    found = []
+                    part = base[first:first + 4096]
+                    for tree in range(trees):
+                        h = _tree_hash(part, tree)
+                        at = np.flatnonzero(h <= bound)
+                        if len(at):
+                            rows = batch.iloc[at + first][["key", "vec"]]
+                            found.append(rows.assign(tree=tree, h=(h[at] ^ TOP).view(np.int64)))
+                    held = pd.concat(([held] if held is not None else []) + found) if found else held
+                    if held is not None and len(held) > 2 * trees * size:
+                        held = _smallest(held, size)
+            if held is not None:
+                held = _smallest(held, size)
+                yield held[["tree", "h", "key", "vec"]]
+
+        entered = hashed.mapInPandas(enter, schema)
+        rank = F.row_number().over(Window.partitionBy("tree").orderBy("h", "key"))
+        drawn = cut_lineage(entered.withColumn("_r", rank).where(F.col("_r") <= size).drop("_r"))
+        got = drawn.groupBy("tree").count().agg(F.count("*").alias("trees"), F.min("count").alias("least")).first()
+        if share >= 1 or (got["trees"] == trees and got["least"] == size):
+            return drawn
+        share *= 4
 
 
 def isolation_scores(points: DataFrame, seed: int = 42, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
     """Add ``anomaly_score`` (near 1 is isolated) to ``points`` (key, vec).
 
-    Every tree is grown in its own group from a bounded sample; the forest
-    (at most trees x 511 nodes) is broadcast and scores are computed in batches.
+    Every tree is grown in its own group from its own sample of the whole table; the
+    forest (at most trees x 511 nodes) is broadcast and scores are computed in batches.
     """
     count = points.count()
     per_tree = min(sample, count)
-    pool = cut_lineage(_pool(points.select("key", "vec"), count, trees * sample, seed))
-    drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "_r", F.row_number().over(Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed), "tree", "key"), "key"))
-    ).where(F.col("_r") <= per_tree)
+    drawn = draw_samples(points, count, seed, trees, sample)
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         tree = int(group["tree"].iloc[0])
-        nodes = _grow(matrix(group.sort_values("_r")["vec"]), np.random.default_rng([seed, tree]))
+        nodes = _grow(matrix(group.sort_values(["h", "key"])["vec"]), np.random.default_rng([seed, tree]))
         return pd.DataFrame({"tree": [tree], **{k: [v] for k, v in nodes.items()}})
 
     grown = drawn.groupBy("tree").applyInPandas(

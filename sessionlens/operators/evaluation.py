@@ -1,7 +1,8 @@
 """Supervised evaluation: stratified holdout, three classifiers, metrics, ranking.
 
 All metrics come from the confusion counts (classes x classes rows).  Training
-runs on Spark ML, on features imputed with exact medians of the training part.
+runs on Spark ML and, for boosting, on ``boosting``; features are imputed with exact
+medians of the training part.
 """
 
 from __future__ import annotations
@@ -9,11 +10,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sessionlens.functions.stats import Preparation, fit_preparation
+from sessionlens.operators.boosting import SoftmaxBoosting
 from sessionlens.schema import FEATURES, LABELS
 from sessionlens.session import cut_lineage
 
@@ -113,7 +115,7 @@ class FittedModel:
         return scored.select(*keep, F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"))
 
 
-def _estimator(name: str, rows: int, classes: int, seed: int):
+def _estimator(name: str, rows: int, seed: int):
     if name == "Logistic Regression":
         # sum-of-losses with C=1 equals mean loss with penalty 1/n
         return LogisticRegression(family="multinomial", maxIter=1000, elasticNetParam=0.0, regParam=1.0 / rows,
@@ -122,8 +124,7 @@ def _estimator(name: str, rows: int, classes: int, seed: int):
         # deep levels have many open nodes; more memory per pass means fewer passes, the same trees
         return RandomForestClassifier(numTrees=100, maxDepth=20, featureSubsetStrategy="sqrt", seed=seed,
                                       maxMemoryInMB=1024)
-    boosted = GBTClassifier(maxIter=100, stepSize=0.1, maxDepth=3, seed=seed)
-    return boosted if classes == 2 else OneVsRest(classifier=boosted, parallelism=min(classes, 8))
+    return SoftmaxBoosting(stages=100, rate=0.1, depth=3)
 
 
 def fit_model(train: DataFrame, name: str, label: str, features: tuple[str, ...] = FEATURES, impute: str = "median",
@@ -141,7 +142,7 @@ def fit_model(train: DataFrame, name: str, label: str, features: tuple[str, ...]
     ready = fitted.vectors(spread, label).withColumn("label", F.element_at(index, F.col(label))).select("features", "label")
     ready = ready.persist()
     try:
-        fitted.model = (estimator or _estimator(name, sum(sizes.values()), len(labels), seed)).fit(ready)
+        fitted.model = (estimator or _estimator(name, sum(sizes.values()), seed)).fit(ready)
     finally:
         ready.unpersist()
     return fitted

@@ -3,11 +3,13 @@
 import json
 import math
 
+import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from conftest import event, llm, record, sid, tool, turn
-from sessionlens.operators import dataset, drift, evaluation, importance, reports
+from sessionlens.operators import boosting, dataset, drift, evaluation, importance, reports
 from sessionlens.schema import FEATURES, FLAT_COLUMNS
 from sessionlens.sources import readers, writers
 from sessionlens.sources.validation import DatasetValidationError, revalidate, with_issues
@@ -231,7 +233,6 @@ F4 = ("f0", "f1", "f2", "f3")
 
 
 def test_evaluation_of_three_models(spark, labelled):
-    from pyspark.ml.classification import GBTClassifier, OneVsRest  # noqa: F401
     out = evaluation.evaluate(labelled, names=F4, models=("Logistic Regression", "Random Forest"))
     metrics = out["metrics"].orderBy("rank").collect()
     assert [m["model_name"] for m in metrics] == ["Logistic Regression", "Random Forest"] or metrics[0]["macro_f1"] > metrics[1]["macro_f1"]
@@ -283,13 +284,75 @@ def test_importance_methods(spark, labelled):
 
 
 def test_boosting_handles_three_classes(spark, labelled):
-    from pyspark.ml.classification import GBTClassifier, OneVsRest
-    small = OneVsRest(classifier=GBTClassifier(maxIter=3, maxDepth=2, seed=1))
+    small = boosting.SoftmaxBoosting(stages=3, depth=2)
     fitted = evaluation.fit_model(labelled, "Gradient Boosting", "root_cause", F4, estimator=small)
     assert importance.choose_method(fitted.model) == "native"
+    scores = importance.importance_scores(fitted, F4, "native", spark=spark).collect()
+    assert sum(r["importance_score"] for r in scores) == pytest.approx(1)
     assert fitted.predict(labelled, "session_id").where("predicted in ('a', 'b', 'c')").count() == 36
 
 
+def grown_by_hand(x, label, k, stages, rate, depth, cuts):
+    """The same model by recursion over row subsets, one tree after another."""
+    bins = boosting.binned(x, cuts)
+    scores = np.tile(np.log(np.bincount(label, minlength=k) / len(label)), (len(x), 1))
+
+    def leaf(rows, r):
+        weight = (np.abs(r[rows]) * (1 - np.abs(r[rows]))).sum()
+        return rate * (k - 1) / k * r[rows].sum() / weight if weight else 0.0
+
+    def grow(rows, level, r, out):
+        best = (1e-10 * max(1, len(rows)), None)
+        for f in range(x.shape[1]):
+            for cut in range(len(cuts[f])):
+                left, right = rows[bins[rows, f] <= cut], rows[bins[rows, f] > cut]
+                if level < depth and len(left) and len(right):
+                    gain = len(left) * len(right) / len(rows) * (r[left].mean() - r[right].mean()) ** 2
+                    if gain > best[0] + 1e-9:
+                        best = (gain, (left, right))
+        if best[1] is None:
+            out[rows] = leaf(rows, r)
+        else:
+            grow(best[1][0], level + 1, r, out)
+            grow(best[1][1], level + 1, r, out)
+
+    for _ in range(stages):
+        r = boosting.residuals(scores, label)
+        steps = np.zeros_like(scores)
+        for c in range(k):
+            grow(np.arange(len(x)), 0, r[:, c], steps[:, c])
+        scores = scores + steps
+    return scores
+
+
+@pytest.mark.parametrize("k", [2, 4])
+def test_boosting_equals_a_plain_loop(spark, k):
+    random = np.random.default_rng(7)
+    x = random.normal(size=(240, 3)).round(2)
+    x[:, 2] = 1.0  # a feature without a cut
+    label = (np.digitize(x[:, 0] + 0.3 * x[:, 1] ** 2, [-0.4, 0.3, 0.9]) if k == 4 else (x[:, 0] * x[:, 1] > 0)).astype(int)
+    frame = spark.createDataFrame([(Vectors.dense(row), float(c)) for row, c in zip(x, label)], ["features", "label"])
+    model = boosting.SoftmaxBoosting(stages=12, depth=3).fit(frame.repartition(5))
+    assert model.scores(x) == pytest.approx(grown_by_hand(x, label, k, 12, 0.1, 3, model.cuts), abs=1e-9)
+    predicted = {tuple(r["features"]): r["prediction"] for r in model.transform(frame).collect()}
+    right = np.mean([predicted[tuple(row)] == c for row, c in zip(x, label)])
+    assert right > 0.9 and model.featureImportances.toArray()[2] == 0
+
+
+def test_a_stage_of_boosting_is_one_job_per_level(spark):
+    frame = spark.createDataFrame([(Vectors.dense([float(i % 7), float(i % 3)]), float(i % 5)) for i in range(100)], ["features", "label"])
+    tracker, group = spark.sparkContext.statusTracker(), "boosting-jobs"
+
+    def jobs(stages):
+        spark.sparkContext.setJobGroup(f"{group}-{stages}", "")
+        boosting.SoftmaxBoosting(stages=stages, depth=2).fit(frame)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(tracker.getJobIdsForGroup(f"{group}-{stages}"))
+
+    few, more = jobs(2), jobs(4)
+    assert more - few <= 2 * 2 * 2  # two stages of two levels; adaptive execution may run the shuffle as a job of its own
+
+
 def test_confusion_observations_and_reports(spark):
     rows = [("m", "a", "a")] * 4 + [("m", "a", "b")] * 2 + [("m", "b", "a")] * 2 + [("m", "b", "b")] + [("m", "c", "c")] * 3
     matrix = evaluation.confusion(spark.createDataFrame(rows, "model_name string, actual string, predicted string"))

@@ -134,6 +134,33 @@ def test_anomaly_scores_do_not_depend_on_partitions(spark):
     assert a == b and all(0 < v < 1 for v in a.values())
 
 
+def drawn_by_hand(rows, tree, size):
+    return [key for _, key in sorted((int(anomaly._tree_hash(np.array([base]), tree)[0]), key) for key, base in rows)[:size]]
+
+
+@pytest.mark.parametrize("count, trees, sample", [(3000, 20, 64), (50, 7, 256), (1, 3, 256)])
+def test_every_tree_draws_from_the_whole_table(spark, count, trees, sample):
+    points = spark.range(count, numPartitions=5).selectExpr("cast(id as string) key", "array(cast(id as double), 1.0D) vec")
+    rows = points.selectExpr("key", "xxhash64(42, key) base").collect()
+    drawn = {}
+    for r in anomaly.draw_samples(points, count, 42, trees, sample).orderBy("tree", "h", "key").collect():
+        drawn.setdefault(r["tree"], []).append(r["key"])
+    size = min(sample, count)
+    assert drawn == {t: drawn_by_hand([(r["key"], r["base"]) for r in rows], t, size) for t in range(trees)}
+    if count == 3000:  # no common pool: 20 x 64 draws from 3000 rows meet about 1040 different ones, from both halves
+        union = {k for keys in drawn.values() for k in keys}
+        assert len(union) > 900 and sum(int(k) >= 1500 for k in union) > 400
+        again = anomaly.draw_samples(points.repartition(3), count, 42, trees, sample)
+        assert {(r["tree"], r["key"]) for r in again.collect()} == {(t, k) for t, keys in drawn.items() for k in keys}
+
+
+def test_a_bound_that_leaves_a_tree_short_is_raised(spark):
+    points = spark.range(2000).selectExpr("cast(id as string) key", "array(1.0D) vec")
+    # told far more rows than there are, the first bounds are too low
+    drawn = anomaly.draw_samples(points, 2000 * 50, 42, 4, 100)
+    assert [r["count"] for r in drawn.groupBy("tree").count().collect()] == [100] * 4
+
+
 def test_anomaly_checks(spark):
     t = table(spark, POINTS)
     with pytest.raises(anomaly.AnomalyError):
