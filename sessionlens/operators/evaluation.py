@@ -21,6 +21,7 @@ from sessionlens.session import cut_lineage
 
 MODELS = ("Logistic Regression", "Random Forest", "Gradient Boosting")
 ROWS_PER_PARTITION = 20_000
+MOST_CLASSES = 1000  # classes of a label; class counts and confusion cells are small tables only up to a bound
 METRICS = ("accuracy", "precision", "recall", "f1_score", "macro_f1", "weighted_f1", "micro_f1")
 
 
@@ -35,7 +36,10 @@ def class_counts(features: DataFrame, label: str, test_size: float = 0.25) -> di
     """Rows per class, after the checks that a stratified split needs."""
     if label not in LABELS:
         raise EvaluationError(f"Unsupported label kind: {label}")
-    counts = {r["label"]: r["n"] for r in features.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")).collect()}
+    found = features.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")).limit(MOST_CLASSES + 1).collect()
+    if len(found) > MOST_CLASSES:
+        raise EvaluationError(f"{label} has more than {MOST_CLASSES} classes")
+    counts = {r["label"]: r["n"] for r in found}
     if not counts:
         raise EvaluationError("there is no row; at least one is needed")
     if None in counts:
@@ -67,9 +71,10 @@ def stratified_split(features: DataFrame, label: str, test_size: float = 0.25, s
                      key: str = "session_id") -> DataFrame:
     """Add ``test``: exactly the quota of each class, chosen by a hash of ``key``.
 
-    The hash range is cut into slices; whole slices below the quota are test rows
-    and only the rows of the one slice that straddles it are ranked, so a class of
-    any size never meets in one task.
+    The hash range is cut into slices; whole slices below the quota are test rows.
+    Only the one slice of a class that straddles its quota is ranked, in a branch of
+    its own that ends in one limit per class; the rows themselves are then decided by
+    comparison alone, neither shuffled nor sorted.
     """
     counts = class_counts(features, label, test_size)
     quota = test_quota(counts, test_size)
@@ -81,11 +86,16 @@ def stratified_split(features: DataFrame, label: str, test_size: float = 0.25, s
     edge = (sizes.withColumn("_upto", upto).withColumn("_goal", goal).where("_upto >= _goal")
             .groupBy(label).agg(F.min(F.struct("_s", (F.col("_goal") - F.col("_upto") + F.col("c")).alias("_take"))).alias("e"))
             .select(label, F.col("e._s").alias("_cut"), F.col("e._take").alias("_take")))
-    marked = drawn.join(F.broadcast(edge), label)  # one row per class
-    rank = F.row_number().over(Window.partitionBy(label, F.when(F.col("_s") == F.col("_cut"), 0).otherwise(F.col("_s") + 1))
-                               .orderBy("_h", key))
-    return marked.withColumn("test", F.when(F.col("_s") < F.col("_cut"), True).when(F.col("_s") > F.col("_cut"), False)
-                             .otherwise(rank <= F.col("_take"))).drop("_h", "_s", "_cut", "_take")
+    edge = cut_lineage(edge)  # one row per class
+    straddling = drawn.select(label, "_s", "_h", F.col(key).alias("_k")).join(F.broadcast(edge), label).where("_s = _cut")
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", "_k"))
+    last = straddling.withColumn("_r", rank).where(F.col("_r") == F.col("_take")).select(
+        label, F.struct("_h", F.col("_k").alias("_k")).alias("_last"))
+    limits = cut_lineage(edge.drop("_take").join(last, label, "left"))
+    marked = drawn.join(F.broadcast(limits), label)
+    own = F.struct(F.col("_h").alias("_h"), F.col(key).alias("_k"))
+    return marked.withColumn("test", F.when(F.col("_s") != F.col("_cut"), F.col("_s") < F.col("_cut"))
+                             .otherwise(F.coalesce(own <= F.col("_last"), F.lit(False)))).drop("_h", "_s", "_cut", "_last")
 
 
 # --- models -------------------------------------------------------------------
@@ -168,16 +178,27 @@ def confusion(predictions: DataFrame, labels: DataFrame | None = None) -> DataFr
     """(model_name, actual, predicted, n) over all label pairs, empty ones too.
 
     ``labels`` (column ``label``) names the classes; without it those seen are used.
-    Everything after the first aggregation has at most classes x classes rows per model.
+    Predictions are read once; behind their counts there is one row that holds the
+    cells, from which the whole grid is made.  More than ``MOST_CLASSES`` classes
+    are an error, which bounds that row.
     """
-    counts = predictions.groupBy("model_name", "actual", "predicted").agg(F.count("*").alias("n"))
-    seen = labels.select("label").distinct() if labels is not None else counts.selectExpr(
-        "explode(array(actual, predicted)) label").distinct()
-    names = seen.agg(F.sort_array(F.collect_set("label")).alias("names"))
-    grid = names.selectExpr("explode(names) actual", "names").selectExpr("actual", "explode(names) predicted", "1 one")
-    models = counts.select("model_name").distinct().withColumn("one", F.lit(1))
-    return (models.join(grid, "one").drop("one").join(counts, ["model_name", "actual", "predicted"], "left")
-            .selectExpr("model_name", "actual", "predicted", "coalesce(n, 0L) n"))
+    counts = predictions.where("model_name is not null").groupBy("model_name", "actual", "predicted").agg(F.count("*").alias("n"))
+    if labels is not None:  # rows without a model name the classes
+        named = labels.groupBy("label").agg(F.lit(0).cast("bigint").alias("n")).selectExpr(
+            "cast(null as string) model_name", "label actual", "label predicted", "n")
+        counts = counts.unionByName(named)
+        names = "transform(filter(cells, c -> c.model_name is null), c -> c.actual)"
+    else:
+        names = "flatten(transform(cells, c -> array(c.actual, c.predicted)))"
+    whole = counts.agg(F.collect_list(F.struct("model_name", "actual", "predicted", "n")).alias("cells")).selectExpr(
+        "filter(cells, c -> c.model_name is not null and c.actual is not null and c.predicted is not null) cells",
+        f"array_sort(array_distinct(filter({names}, x -> x is not null))) names")
+    fits = f"case when size(names) > {MOST_CLASSES} then raise_error(concat('more than {MOST_CLASSES} classes: ', size(names))) else names end names"
+    empty = ("flatten(transform(array_distinct(transform(cells, c -> c.model_name)), m -> flatten(transform(names, a -> transform(names, p ->"
+             " named_struct('model_name', m, 'actual', a, 'predicted', p, 'n', 0L))))))")
+    known = "filter(cells, c -> array_contains(names, c.actual) and array_contains(names, c.predicted))"
+    return whole.selectExpr("cells", fits).selectExpr(f"inline(concat({known}, {empty}))").groupBy(
+        "model_name", "actual", "predicted").agg(F.sum("n").alias("n"))
 
 
 def class_report(matrix: DataFrame) -> DataFrame:

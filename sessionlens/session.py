@@ -7,6 +7,7 @@ planner.  Cluster deployments normally set them in ``spark-defaults``.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,15 +29,32 @@ def build_session(master: str | None = None, app: str = "sessionlens", **extra:
     return builder.getOrCreate()
 
 
-def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Materialise ``frame`` in the shared checkpoint folder of the cluster.
-
-    The folder is the session's ``spark.checkpoint.dir``.  Only a session
-    without one (a laptop or a test) gets a temporary folder.
-    """
-    spark = frame.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only on a local master that sets none."""
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='sessionlens-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system and path object of ``path``, which may lie in any store that Spark reads."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def cut_lineage(frame: DataFrame) -> DataFrame:
+    """Materialise ``frame`` in the shared checkpoint folder of the cluster (see :func:`shared_folder`)."""
+    context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sessionlens-checkpoint-"))
+        context.setCheckpointDir(shared_folder(frame.sparkSession))
     return frame.checkpoint(eager=True)

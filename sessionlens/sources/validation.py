@@ -105,15 +105,18 @@ def with_issues(parsed: DataFrame) -> DataFrame:
     return parsed.selectExpr("*", f"array_compact(array({checks})) issues")
 
 
+def with_round_trip(sessions: DataFrame) -> DataFrame:
+    """(session_id, value, issues): the JSON text of each row and the messages of what reading it back breaks."""
+    text = sessions.selectExpr("session_id as written_id", "to_json(struct(*)) value")
+    again = text.selectExpr("written_id", "value", f"inline(array(from_json(value, {_literal(S.SESSION_DDL + ', _corrupt STRING')},"
+                            " map('mode', 'PERMISSIVE', 'columnNameOfCorruptRecord', '_corrupt'))))")
+    return with_issues(again).selectExpr(
+        "written_id session_id", "value", "case when _corrupt is not null then array('not readable') else issues end issues")
+
+
 def revalidate(sessions: DataFrame) -> DataFrame:
     """Rows that would not survive being written and read again, with their messages."""
-    again = sessions.selectExpr(
-        "session_id as written_id",
-        f"inline(array(from_json(to_json(struct(*)), {_literal(S.SESSION_DDL + ', _corrupt STRING')},"
-        " map('mode', 'PERMISSIVE', 'columnNameOfCorruptRecord', '_corrupt'))))")
-    return with_issues(again).selectExpr(
-        "written_id session_id",
-        "case when _corrupt is not null then array('not readable') else issues end issues").where("size(issues) > 0")
+    return with_round_trip(sessions).where("size(issues) > 0").drop("value")
 
 
 def _literal(text: str) -> str:
