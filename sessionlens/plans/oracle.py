@@ -537,3 +537,48 @@ FROM rnk"""),
     "anomaly_totals": _w(_UNKNOWN, """SELECT count(*) FILTER (WHERE is_anomaly) AS anomaly_count, count(*) FILTER (WHERE is_noise) AS noise_point_count,
   count(*) FILTER (WHERE is_unknown_failure) AS unknown_failure_count, count(DISTINCT CASE WHEN NOT is_noise THEN cluster_id END) AS cluster_count FROM rec"""),
 }
+
+_FLAT_SOURCE = {"interview_duration_seconds": "duration_seconds", "transcript_turn_count": "num_turns", "total_llm_calls": "num_llm_calls",
+                "total_tool_calls": "num_tool_calls", "average_llm_latency_ms": "avg_llm_latency_ms", "total_tokens": "total_tokens"}
+
+# Written and read again, stored and listed: the rows are those of the tables they came from.
+ORACLE |= {
+    "sessions_round_trip": ORACLE["signals_stored"],
+    "flat_round_trip": f"""SELECT session_id, {", ".join(f"CAST({_FLAT_SOURCE.get(n, 'NULL')} AS DOUBLE) AS {n}" for n in FEATURES)},
+  ground_truth_failure_type AS root_cause, ground_truth_component AS affected_component, ground_truth_scenario AS failure_category, 'csv' AS source_format
+  FROM ({ORACLE["flat_rows"]})""",
+    "rejected_lines": _w(_CHECK_CTE, """SELECT message, count(*) AS rows FROM m GROUP BY 1 UNION ALL
+SELECT 'valid', count(*) FROM e WHERE event_id NOT IN (SELECT event_id FROM m)"""),
+    "stored_importance": ORACLE["importance_ranking"],
+    "model_comparison": _w(_EVAL, f"""SELECT model_name, {", ".join(f"round({m}, 6) AS {m}" for m in (
+        "accuracy", "precision", "recall", "macro_f1", "weighted_f1", "micro_f1"))} FROM met"""),
+    "model_names": _w(_EVAL, "SELECT DISTINCT model_name FROM met"),
+    "best_model": _w(_EVAL, f"""SELECT model_name, round(macro_f1, 6) AS macro_f1, '{",".join(FEATURES)}' AS feature_names, 'root_cause' AS label_kind
+  FROM met ORDER BY macro_f1 DESC, model_name LIMIT 1"""),
+    "model_matrix": _w(_EVAL, "SELECT actual, predicted, n FROM cm WHERE model_name = 'mixed'"),
+}
+
+_SCALED = ", ".join(f"({{0}}.{n} - m{i}) / s{i} AS z{i}" for i, n in enumerate(SIMILARITY_FEATURES))
+ORACLE["diagnosed_documents"] = _w(_DOC_CTE + f""",
+past AS (SELECT session_id, root_cause, {", ".join(f"coalesce({n}, 0.0) AS {n}" for n in SIMILARITY_FEATURES)}, CAST(substr(session_id, 5) AS BIGINT) AS doc_id FROM ({ORACLE["signals_stored"]}) p WHERE CAST(substr(session_id, 5) AS BIGINT) % 2 = 0),
+rul AS ({_rule_rows()}),
+hit AS (SELECT * FROM rul WHERE score > 0)""" + _CONFIDENCE + f""",
+st AS (SELECT {", ".join(f"avg({n}) AS m{i}, CASE WHEN stddev_pop({n}) = 0 THEN 1.0 ELSE stddev_pop({n}) END AS s{i}" for i, n in enumerate(SIMILARITY_FEATURES))} FROM past),
+qz AS (SELECT session_id, {_SCALED.format("sig")} FROM sig, st WHERE doc_id % 4 = 1),
+hz AS (SELECT session_id, root_cause, doc_id, {_SCALED.format("past")} FROM past, st),
+qn AS (SELECT *, sqrt({" + ".join(f"z{i} * z{i}" for i in _N)}) AS norm FROM qz),
+hn AS (SELECT *, sqrt({" + ".join(f"z{i} * z{i}" for i in _N)}) AS norm FROM hz),
+rk AS (SELECT q.session_id, h.session_id AS other, h.root_cause,
+  CASE WHEN q.norm = 0 OR h.norm = 0 THEN 0.0 ELSE round(({" + ".join(f"q.z{i} * h.z{i}" for i in _N)}) / (q.norm * h.norm), 9) END AS s FROM qn q, hn h),
+top AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY s DESC, other) AS r FROM rk QUALIFY r <= 3),
+sm AS (SELECT session_id, greatest(0.0, least(1.0, max(s))) + 0.0 AS best, string_agg(other, ',' ORDER BY r) AS others,
+  string_agg(coalesce(root_cause, '-'), ',' ORDER BY r) AS kinds, avg(CASE WHEN root_cause IS NULL THEN 0.0 ELSE 1.0 END) AS known FROM top GROUP BY 1)""",
+    """SELECT session_id, CASE WHEN regexp_matches(ids, 'high_llm_latency|failed_llm_calls') THEN 'timeout'
+       WHEN regexp_matches(ids, 'high_tool_latency|failed_tool_calls') THEN 'tool_failure'
+       WHEN regexp_matches(ids, 'json_validation_errors') THEN 'prompt_issue' ELSE 'unknown' END AS root_cause,
+  CASE WHEN regexp_matches(ids, 'high_llm_latency|failed_llm_calls|json_validation_errors') THEN 'model_response'
+       WHEN regexp_matches(ids, 'high_tool_latency|failed_tool_calls') THEN 'pipeline'
+       WHEN regexp_matches(ids, 'empty_transcript|very_low_transcript_activity') THEN 'data' ELSE 'unknown' END AS affected_component,
+  CASE worst WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity,
+  round(0.4 * rule_score + 0.2 * evidence_completeness + 0.2 * evidence_severity + 0.1 * best + 0.1 * known, 6) AS confidence,
+  others AS similar_sessions, kinds AS failure_types, round(best, 6) AS best_score, CAST(31 AS BIGINT) AS signals FROM cf JOIN sm USING (session_id)""")

@@ -14,9 +14,10 @@ from sessionlens.operators import (
 )
 from sessionlens.operators.confidence import score_confidence
 from sessionlens.plans import analytics, document_log, event_log
-from sessionlens.plans.diagnose import diagnose_signals
+from sessionlens.plans.diagnose import diagnose, diagnose_signals
 from sessionlens.schema import FEATURES
-from sessionlens.session import cut_lineage
+from sessionlens.session import cut_lineage, shared_path
+from sessionlens.sources import readers, writers
 from sessionlens.sources.readers import parse_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,6 +156,17 @@ def cause_counts(spark, folder):
     return _six(diagnosis.cause_counts(_diagnosed(spark, folder)), "mean_confidence")
 
 
+def diagnosed_documents(spark, folder):
+    """The whole flow on nested sessions: every fourth document against the history of every second one."""
+    docs = _documents(spark, folder)
+    done = diagnose(docs.where("row_id % 4 = 1"), docs.where("row_id % 2 = 0"), 3)
+    return done.selectExpr(
+        "session_id", "diagnosis.root_cause root_cause", "diagnosis.affected_component affected_component", "diagnosis.severity severity",
+        "round(diagnosis.confidence, 6) confidence", "array_join(diagnosis.similar_sessions, ',') similar_sessions",
+        "array_join(transform(similar, m -> coalesce(m.failure_type, '-')), ',') failure_types",
+        "round(similar[0].similarity_score, 6) best_score", "cast(size(signals) as bigint) signals")
+
+
 def session_overview(spark, folder):
     return diagnosis.overview(_diagnosed(spark, folder))
 
@@ -253,6 +265,45 @@ def token_estimates(spark, folder):
 # --- validation ----------------------------------------------------------------------
 
 
+def _whole_sessions(spark, folder) -> DataFrame:
+    """Document sessions with all that the record contract asks for."""
+    call = ("c.call_id call_id", "c.duration_ms duration_ms", "c.status status", "c.error_type error_type", "c.error_message error_message")
+    pairs = lambda *names: ", ".join(f"'{n.split()[1]}', {n.split()[0]}" for n in names)
+    return _documents(spark, folder).drop("diagnosis").selectExpr(
+        "* except (session_id, llm_calls, tool_calls, extracted_signals)",
+        "concat('00000000-0000-4000-8000-', lpad(cast(row_id as string), 12, '0')) session_id",
+        f"transform(llm_calls, c -> named_struct('model_name', 'm', 'latency_ms', c.latency_ms, 'tokens_input', c.tokens_input,"
+        f" 'tokens_output', c.tokens_output, {pairs(*call)})) llm_calls",
+        f"transform(tool_calls, c -> named_struct('tool_name', 't', {pairs(*call)})) tool_calls",
+        "transform(extracted_signals, x -> named_struct('signal_name', x.signal_name, 'value', x.value, 'source', 'table')) extracted_signals")
+
+
+_OWN_NAME = "concat('doc-', cast(substr(session_id, 25) as bigint)) session_id"
+
+
+def sessions_round_trip(spark, folder):
+    """Sessions written as checked JSON lines and loaded again by suffix, strictly."""
+    path = f"{shared_path(spark, 'sessions')}.jsonl"
+    writers.write_sessions(_whole_sessions(spark, folder), path)
+    return readers.load_features(spark, path, strict=True).rows.drop("row_id").selectExpr("* except (session_id)", _OWN_NAME)
+
+
+def flat_round_trip(spark, folder):
+    """Sessions written as flat CSV and loaded again by suffix, strictly."""
+    path = f"{shared_path(spark, 'flat')}.csv"
+    writers.write_flat_rows(_whole_sessions(spark, folder), path)
+    return readers.load_features(spark, path, strict=True).rows.drop("row_id").selectExpr("* except (session_id)", _OWN_NAME)
+
+
+def rejected_lines(spark, folder):
+    """The same records written as lines and loaded: how often each row's message was met, and how many rows were kept."""
+    path = f"{shared_path(spark, 'lines')}.jsonl"
+    _session_lines(spark, folder).select("value").write.text(path)
+    loaded = readers.read_sessions(spark, path)
+    kept = loaded.rows.agg(F.count("*").alias("rows")).selectExpr("'valid' message", "rows")
+    return loaded.issues.selectExpr("explode(split(message, '; ')) message").groupBy("message").agg(F.count("*").alias("rows")).unionByName(kept)
+
+
 def _session_lines(spark, folder) -> DataFrame:
     """One JSON record per event, some of them breaking the contract."""
     k = "cast(regexp_extract(props, r'(\\d+)', 1) as bigint)"
@@ -343,6 +394,28 @@ def model_metrics(spark, folder):
     return _six(evaluation.rank_models(evaluation.model_metrics(report)), *evaluation.METRICS)
 
 
+def _ranked_metrics(spark, folder) -> DataFrame:
+    report = evaluation.class_report(evaluation.confusion(_predictions(spark, folder)))
+    return evaluation.rank_models(evaluation.model_metrics(report))
+
+
+def model_comparison(spark, folder):
+    return _six(reports.comparison_table(_ranked_metrics(spark, folder)), *(m for m in evaluation.METRICS if m != "f1_score"))
+
+
+def model_names(spark, folder):
+    return reports.model_options(_ranked_metrics(spark, folder))
+
+
+def best_model(spark, folder):
+    best = evaluation.best_model(_ranked_metrics(spark, folder).drop("rank"), FEATURES, "root_cause")
+    return _six(best.withColumn("feature_names", F.array_join("feature_names", ",")), "macro_f1")
+
+
+def model_matrix(spark, folder):
+    return reports.matrix_of(evaluation.confusion(_predictions(spark, folder)), "mixed")
+
+
 def confusion_observations(spark, folder):
     return reports.confusion_observations(evaluation.confusion(_predictions(spark, folder)))
 
@@ -421,6 +494,18 @@ def leading_drivers(spark, folder):
     return _six(d.withColumn("drivers", F.array_join("drivers", ",")), "share")
 
 
+def stored_importance(spark, folder):
+    """A ranking as a report document: written to the shared folder, read back, checked and listed."""
+    ranking = importance.rank_importance(_given_scores(spark, folder))
+    item = F.struct("feature_name", "importance_score", "normalized_score", F.col("rank").cast("bigint").alias("rank"))
+    report = ranking.agg(F.sort_array(F.collect_list(item)).alias("ranking")).withColumn("model_name", F.lit("given"))  # 31 features
+    place = shared_path(spark, "reports")
+    writers.save_document(report, f"{place}/given.json")
+    writers.save_document(report.withColumn("model_name", F.lit("")), f"{place}/nameless.json")
+    found = importance.valid_reports(readers.importance_reports(readers.read_reports(spark, place)))
+    return _six(found.selectExpr("inline(ranking)"), "importance_score", "normalized_score")
+
+
 # --- anomalies -------------------------------------------------------------------
 
 
@@ -486,13 +571,14 @@ def _in_utc(query: Query) -> Query:
 QUERIES: dict[str, Query] = {f.__name__: _in_utc(f) for f in (
     signals_long, signals_from_tables, signals_nested, signals_stored, signals_conversations, signal_rows,
     signals_pivoted, rule_results, evidence_records, similar_sessions, similar_sessions_tiled, similar_embeddings,
-    index_statistics, confidence_scores, diagnosed_sessions, reasoning_prompts, cause_counts, session_overview,
+    index_statistics, confidence_scores, diagnosed_sessions, diagnosed_documents, reasoning_prompts, cause_counts, session_overview,
     stage_counts, triggered_rules, match_listing, timeline_listing, flat_features, dataset_statistics, class_balance,
     missing_by_feature, most_missing, dataset_card, flat_rows, derived_metrics, injected_retries, collection_totals,
-    collection_failures, representatives, token_estimates, validation_issues, validation_counts, feature_drift,
+    collection_failures, representatives, token_estimates, validation_issues, validation_counts, sessions_round_trip,
+    flat_round_trip, rejected_lines, feature_drift,
     embedding_drift, label_drift, drift_summary, largest_shift, confusion_matrix, class_report, report_averages,
-    model_metrics, confusion_observations, document_quality_metrics, holdout_sizes, feature_preparation,
+    model_metrics, model_comparison, model_names, best_model, model_matrix, confusion_observations, document_quality_metrics, holdout_sizes, feature_preparation,
     scaled_features, evaluate_models, importance_native, importance_coefficient, importance_permutation,
-    importance_ranking, importance_summary, importance_table, leading_drivers, anomaly_report, dbscan_sessions,
+    importance_ranking, importance_summary, importance_table, leading_drivers, stored_importance, anomaly_report, dbscan_sessions,
     dbscan_defaults, dbscan_embeddings, cluster_statistics, unknown_failures, anomaly_totals, analytics_run,
 )}
