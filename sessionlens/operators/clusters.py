@@ -116,7 +116,7 @@ def _core_points(tiles: DataFrame, cells: Cells, eps: float, min_samples: int, t
         return core
     open_points = tiles.join(near.where(F.col("degree") < min_samples).select("pid"), "pid").select("pid", "vec")
     going = cut_lineage(route(open_points, cells, _reach(eps)))
-    total = visit(going, tiles, cells, "pid", across, "pid bigint, degree bigint", tile_rows)
+    total = visit(going, tiles, cells, "pid", across, "pid bigint, degree bigint", tile_rows, _reach(eps))
     return core.unionByName(total.groupBy("pid").agg(F.sum("degree").alias("degree"))
                             .where(F.col("degree") >= min_samples).select("pid"))
 
@@ -149,7 +149,7 @@ def _label(points: DataFrame, tiles: DataFrame, cells: Cells, core: DataFrame, e
     if len(cells.pivots) > 1 or cells.salts[0] > 1:
         # one representative per local component links most of them
         few = cut_lineage(route(held.where("pid = comp").select("pid", "vec", "comp"), cells, _reach(eps)))
-        edges = cut_lineage(visit(few, held, cells, "pid", _links(eps), "a bigint, b bigint", tile_rows).distinct())
+        edges = cut_lineage(visit(few, held, cells, "pid", _links(eps), "a bigint, b bigint", tile_rows, _reach(eps)).distinct())
         held = cut_lineage(_merge(held, "comp", edges))
         # all core points look only where another component is left
         low = {r["cell"]: (r["lo"], r["hi"]) for r in held.groupBy("cell").agg(
@@ -162,7 +162,7 @@ def _label(points: DataFrame, tiles: DataFrame, cells: Cells, core: DataFrame, e
             return ((lo[None, :] == own) & (hi[None, :] == own)) | (lo < 0)[None, :]
 
         going = cut_lineage(route(held.select("pid", "vec", "comp"), cells, _reach(eps), settled))
-        edges = cut_lineage(visit(going, held, cells, "pid", _links(eps), "a bigint, b bigint", tile_rows).distinct())
+        edges = cut_lineage(visit(going, held, cells, "pid", _links(eps), "a bigint, b bigint", tile_rows, _reach(eps)).distinct())
         held = cut_lineage(_merge(held, "comp", edges))
     starts = held.join(points.select("pid", "first"), "pid").groupBy("comp").agg(F.min("first").alias("start"))
     numbers = number_rows(starts, "start", name="cluster_id").select("comp", "cluster_id")
@@ -181,6 +181,6 @@ def _label(points: DataFrame, tiles: DataFrame, cells: Cells, core: DataFrame, e
 
     edge_points = tiles.join(core, "pid", "left_anti").select("pid", "vec")
     going = cut_lineage(route(edge_points, cells, _reach(eps)))
-    border = visit(going, held, cells, "pid", adopt, "pid bigint, cluster_id bigint", tile_rows).groupBy("pid").agg(
+    border = visit(going, held, cells, "pid", adopt, "pid bigint, cluster_id bigint", tile_rows, _reach(eps)).groupBy("pid").agg(
         F.min("cluster_id").alias("cluster_id"))
     return held.select("pid", "cluster_id").unionByName(border)

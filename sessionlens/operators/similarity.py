@@ -22,11 +22,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sessionlens.functions.numbers import clamp01, fixed, shortest
-from sessionlens.operators.tiles import TILE_ROWS, blocks, home_only, matrix, nothing, route, squared_distances, tile_points, visit
+from sessionlens.operators.tiles import TILE_ROWS, blocks, home_only, matrix, nearest, nothing, route, tile_points, visit
 from sessionlens.schema import SIMILARITY_FEATURES
 from sessionlens.session import cut_lineage
 
-BROADCAST_ROWS = 100_000  # history rows; with the text columns well under 64 MB
+BROADCAST_BYTES = 64 << 20  # history that is sent to all tasks: vectors and texts
 MATCH = "array<struct<session_id: string, similarity_score: double, failure_type: string, summary: string>>"
 
 
@@ -181,12 +181,13 @@ def _tiled_matches(queries: DataFrame, members: DataFrame, k: int, dimension: in
         return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (rows["kth"].to_numpy() - 2e-9)))
 
     def at_home(rows: pd.DataFrame, mask: np.ndarray) -> np.ndarray:
+        """The home cell has been seen whole, unless it is split."""
         seen = np.zeros_like(mask)
-        seen[np.arange(len(rows)), squared_distances(matrix(rows["vec"]), cells.pivots).argmin(1)] = True
-        return seen
+        seen[np.arange(len(rows)), nearest(matrix(rows["vec"]), cells.pivots)[0]] = True
+        return seen & (cells.salts <= 1)[None, :]
 
     onward = cut_lineage(route(bounded, cells, radius, at_home))
-    second = visit(onward, tiles, cells, "qid", compare, schema, tile_rows)
+    second = visit(onward, tiles, cells, "qid", compare, schema, tile_rows, radius, seen=True)
     top = first.unionByName(second).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
     # from vectors back to the sessions that share them
     owners = points.select("pid", F.slice("vec", 1, dimension).alias("vec")).join(top, "pid").select("qid", "vec", "score")
@@ -202,7 +203,7 @@ def _tiled_matches(queries: DataFrame, members: DataFrame, k: int, dimension: in
 
 
 def top_matches(queries: DataFrame, history: DataFrame, k: int = 5, plan: str = "auto",
-                broadcast_rows: int = BROADCAST_ROWS, tile_rows: int = TILE_ROWS,
+                broadcast_bytes: int = BROADCAST_BYTES, tile_rows: int = TILE_ROWS,
                 pivots: int | None = None) -> DataFrame:
     """Add ``similar`` to ``queries``; both sides carry a unit vector ``vec``.
 
@@ -214,15 +215,18 @@ def top_matches(queries: DataFrame, history: DataFrame, k: int = 5, plan: str =
         return nothing
     members = _first_members(history, k)
     if plan != "tiles":
-        # counting stops one row past the bound; only a history that fits is collected
-        size = history.select(F.lit(1)).limit(broadcast_rows + 1).count()
-        if size == 0:
+        # the bytes of what would be sent are added up; only a history that fits is collected
+        members = cut_lineage(members)
+        text = " + ".join(f"coalesce(octet_length({c}), 0L)" for c in ("session_id", "failure_type", "summary"))
+        size = members.agg(F.expr(f"sum({text} + 8L * size(vec) + 64L)")).first()[0]
+        if size is None:
             return nothing
-        if size <= broadcast_rows:
+        if size <= broadcast_bytes:
             return _broadcast_matches(queries, members.orderBy("session_id", "row_id").collect(), k)
         if plan == "broadcast":
-            raise ValueError(f"history exceeds {broadcast_rows} rows")
-    members = cut_lineage(members)
+            raise ValueError(f"history exceeds {broadcast_bytes} bytes")
+    else:
+        members = cut_lineage(members)
     sample = members.select("vec").first()
     if sample is None:
         return nothing

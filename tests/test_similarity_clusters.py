@@ -1,11 +1,13 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sessionlens.operators import anomaly, clusters, similarity
+from sessionlens.operators import anomaly, clusters, similarity, tiles
 from sessionlens.schema import FEATURES, SIMILARITY_FEATURES
+from sessionlens.session import cut_lineage
 
 
 def signals(spark, rows):
@@ -38,7 +40,7 @@ def test_duplicates_are_kept_and_no_variance_scores_zero(spark, plan):
 def test_size_check_refuses_a_large_broadcast(spark):
     h = signals(spark, [(str(i), {"retry_count": i}) for i in range(5)])
     with pytest.raises(ValueError):
-        similarity.find_similar(h, similarity.history_table(h), plan="broadcast", broadcast_rows=4)
+        similarity.find_similar(h, similarity.history_table(h), plan="broadcast", broadcast_bytes=400)
 
 
 @pytest.mark.parametrize("k, tile_rows, pivots", [(1, 16, 5), (5, 20, 8), (40, 7, 3)])
@@ -134,6 +136,49 @@ def test_anomaly_scores_do_not_depend_on_partitions(spark):
     assert a == b and all(0 < v < 1 for v in a.values())
 
 
+def spread_points(spark, n, dimension=3, seed=3):
+    draw = np.random.default_rng(seed)
+    centres = draw.normal(size=(5, dimension)) * 4
+    x = centres[draw.integers(0, 5, n)] + draw.normal(size=(n, dimension))
+    return cut_lineage(spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "pid bigint, vec array<double>")), x
+
+
+def test_tiles_stay_small_when_points_grow(spark):
+    tile = 32
+    for n in (600, 6000):
+        points, x = spread_points(spark, n)
+        placed, cells = tiles.tile_points(points, n, tile_rows=tile, pivots=4)
+        rows = placed.select("pid", "cell", "salt").collect()
+        groups = {}
+        for r in rows:
+            groups.setdefault((r["cell"], r["salt"]), []).append(r["pid"])
+        assert len(rows) == n and max(map(len, groups.values())) <= tile
+        # a tile is small in space too: the mean distance to its centre shrinks with the number of points
+        spread = np.mean([np.linalg.norm(x[ids] - x[ids].mean(0), axis=1).mean() for ids in groups.values()])
+        inner = sum(len(r["parts"]) for r in cells.inner.collect())
+        assert inner > n / tile and (n == 600 or spread < 0.6 * before)
+        before = spread
+
+
+def test_split_cells_lose_no_neighbour(spark):
+    points, x = spread_points(spark, 3000)
+    placed, cells = tiles.tile_points(points, 3000, tile_rows=40, pivots=5)
+    placed = cut_lineage(placed)
+    asked = placed.where("pid % 20 = 0").select("pid", "vec")
+    radius = lambda rows: np.full(len(rows), 0.35)
+
+    def count(left, right):
+        near = tiles.within(tiles.matrix(left["vec"]), tiles.matrix(right["vec"]), 0.35).sum(1) if len(left) and len(right) else np.zeros(len(left), int)
+        return pd.DataFrame({"pid": left["pid"], "n": near, "seen": len(right)})
+
+    going = cut_lineage(tiles.route(asked, cells, radius))
+    got = tiles.visit(going, placed, cells, "pid", count, "pid bigint, n bigint, seen bigint", 40, radius).groupBy("pid").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
+    found = {r["pid"]: r for r in got.collect()}
+    want = {i: int((np.linalg.norm(x - x[i], axis=1) <= 0.35).sum()) for i in range(0, 3000, 20)}
+    assert {i: r["n"] for i, r in found.items()} == want
+    assert np.mean([r["seen"] for r in found.values()]) < 0.25 * 3000  # most tiles are not looked into
+
+
 def drawn_by_hand(rows, tree, size):
     return [key for _, key in sorted((int(anomaly._tree_hash(np.array([base]), tree)[0]), key) for key, base in rows)[:size]]
 
