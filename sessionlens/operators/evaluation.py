@@ -1,7 +1,7 @@
 """Supervised evaluation: stratified holdout, three classifiers, metrics, ranking.
 
 All metrics come from the confusion counts (classes x classes rows).  Training
-runs on Spark ML and, for boosting, on ``boosting``; features are imputed with exact
+runs on Spark ML (regression), ``forest`` and ``boosting``; features are imputed with exact
 medians of the training part.
 """
 
@@ -10,12 +10,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sessionlens.functions.stats import Preparation, fit_preparation
 from sessionlens.operators.boosting import SoftmaxBoosting
+from sessionlens.operators.forest import RandomForest
 from sessionlens.schema import FEATURES, LABELS
 from sessionlens.session import cut_lineage
 
@@ -131,9 +132,7 @@ def _estimator(name: str, rows: int, seed: int):
         return LogisticRegression(family="multinomial", maxIter=1000, elasticNetParam=0.0, regParam=1.0 / rows,
                                   standardization=False)
     if name == "Random Forest":
-        # deep levels have many open nodes; more memory per pass means fewer passes, the same trees
-        return RandomForestClassifier(numTrees=100, maxDepth=20, featureSubsetStrategy="sqrt", seed=seed,
-                                      maxMemoryInMB=1024)
+        return RandomForest(trees=100, seed=seed)
     return SoftmaxBoosting(stages=100, rate=0.1, depth=3)
 
 
@@ -149,7 +148,10 @@ def fit_model(train: DataFrame, name: str, label: str, features: tuple[str, ...]
     # training passes over the rows hundreds of times: spread them evenly once, by a key that is unique
     parts = max(train.sparkSession.sparkContext.defaultParallelism, -(-sum(sizes.values()) // ROWS_PER_PARTITION))
     spread = train.repartition(parts, key) if key in train.columns else train
-    ready = fitted.vectors(spread, label).withColumn("label", F.element_at(index, F.col(label))).select("features", "label")
+    row = key if key in spread.columns else label
+    ready = fitted.vectors(spread, *dict.fromkeys((label, row))).select(
+        "features", F.element_at(index, F.col(label)).alias("label"),
+        (F.xxhash64(key) if key in spread.columns else F.xxhash64(F.monotonically_increasing_id())).alias("row"))
     ready = ready.persist()
     try:
         fitted.model = (estimator or _estimator(name, sum(sizes.values()), seed)).fit(ready)

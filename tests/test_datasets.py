@@ -9,7 +9,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from conftest import event, llm, record, sid, tool, turn
-from sessionlens.operators import boosting, dataset, drift, evaluation, importance, reports
+from sessionlens.operators import boosting, dataset, drift, evaluation, forest, importance, reports
 from sessionlens.schema import FEATURES, FLAT_COLUMNS
 from sessionlens.sources import readers, writers
 from sessionlens.sources.validation import DatasetValidationError, revalidate, with_issues
@@ -339,6 +339,53 @@ def test_boosting_equals_a_plain_loop(spark, k):
     assert right > 0.9 and model.featureImportances.toArray()[2] == 0
 
 
+def learnable(spark, n=1500, seed=5):
+    draw = np.random.default_rng(seed)
+    x = draw.normal(size=(n, 4)).astype(np.float32).astype(float)
+    label = ((x[:, 0] > 0).astype(int) + (x[:, 1] > 0.5)) % 3
+    rows = [(Vectors.dense(row), float(c), i) for i, (row, c) in enumerate(zip(x, label))]
+    return spark.createDataFrame(rows, ["features", "label", "id"]).selectExpr("features", "label", "xxhash64(id) row"), x, label
+
+
+def test_forest_grows_deeper_than_any_cap(spark):
+    # alternating classes along one feature need a comb: cut by cut, far beyond 30 levels where cuts are uneven
+    n = 400
+    x = np.array([1.5 ** -i for i in range(n)])
+    frame = spark.createDataFrame([(Vectors.dense([v]), float(i % 2)) for i, v in enumerate(x)], ["features", "label"])
+    nodes, _ = forest.grow(x[:100, None], np.arange(100) % 2, np.ones(100, int), 2, np.random.default_rng(1))
+    end = forest.descend(tuple(nodes[c] for c in ("feature", "cut", "left", "right")), x[:100, None])
+    assert (np.array(nodes["share"])[end].argmax(1) == np.arange(100) % 2).all() and len(nodes["feature"]) == 199
+    model = forest.RandomForest(trees=5, seed=1).fit(frame)
+    assert model.depth() > 30
+    assert set(r["prediction"] for r in model.transform(frame).collect()) == {0.0, 1.0}
+
+
+def test_forest_does_not_depend_on_partitions_and_learns(spark):
+    frame, x, label = learnable(spark)
+    first, again = (forest.RandomForest(trees=15, seed=3).fit(f) for f in (frame.repartition(1), frame.repartition(6)))
+    def trees(m):
+        return {(r["tree"], r["node"]): (r["feature"], r["cut"]) for r in m.subtrees.collect()}
+    assert trees(first) == trees(again) and len(trees(first)) == 15
+    rows = first.transform(frame).collect()
+    assert np.mean([r["prediction"] == r["label"] for r in rows]) > 0.97
+    shuffled = {r["row"]: r["prediction"] for r in first.transform(frame, broadcast_bytes=0).collect()}
+    assert shuffled == {r["row"]: r["prediction"] for r in rows}
+    weights = np.stack([forest.weights(np.arange(20_000) * 7919, t, 3) for t in range(5)])
+    assert weights.mean() == pytest.approx(1, abs=0.02) and weights.var() == pytest.approx(1, abs=0.05)
+    gains = first.featureImportances.toArray()
+    assert gains.sum() == pytest.approx(1) and gains[:2].sum() > 0.8
+
+
+def test_forest_splits_large_nodes_before_it_ships_them(spark):
+    frame, x, label = learnable(spark)
+    model = forest.RandomForest(trees=6, seed=3, task_rows=200).fit(frame.repartition(4))
+    assert all(len(t.shipped) + len(t.share) >= 5 for t in model.tops)  # 1 500 rows in parts of 200
+    rows = model.transform(frame).collect()
+    assert np.mean([r["prediction"] == r["label"] for r in rows]) > 0.95
+    shuffled = {r["row"]: r["prediction"] for r in model.transform(frame, broadcast_bytes=0).collect()}
+    assert shuffled == {r["row"]: r["prediction"] for r in rows}
+
+
 def test_a_stage_of_boosting_is_one_job_per_level(spark):
     frame = spark.createDataFrame([(Vectors.dense([float(i % 7), float(i % 3)]), float(i % 5)) for i in range(100)], ["features", "label"])
     tracker, group = spark.sparkContext.statusTracker(), "boosting-jobs"
