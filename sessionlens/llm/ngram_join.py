@@ -380,13 +380,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         F.when(col("n") > 0, col("component_id")).otherwise(col("id")).alias("component_id"), "row")
 
 
-def one_of_each(docs: DataFrame, groups: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, groups: DataFrame, key: str = "doc_id", text: str = "text", group_key: str | None = None) -> DataFrame:
     """The document with the smallest id of every component of :func:`jaccard_components` (a kept table).
 
+    ``group_key``: the key's name in ``groups`` where it differs.
     Rows that repeat it stay once.  Where all ids of a component are null,
     one row of every distinct text stays.
     """
-    of = groups.select(col(key).alias("_i"), col("row").alias("_r"), col("component_id").alias("_c")).where(col("_i").eqNullSafe(col("_c")))
+    of = groups.select(col(group_key or key).alias("_i"), col("row").alias("_r"), col("component_id").alias("_c")).where(col("_i").eqNullSafe(col("_c")))
     empty = F.when(col("_c").isNull(), col("_r"))
     chosen = of.groupBy("_c", empty.alias("_e")).agg(F.min("_r").alias("_r"), F.count("*").alias("_n")).select(col("_c").alias("_i"), "_r", "_n")
     body = F.xxhash64(F.coalesce(docs[text], F.lit("")))

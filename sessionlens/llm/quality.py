@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from sessionlens.llm.common import LOWER, blocks, byte_runs, mixed, prefix_hash, range_hash, text_bytes
 
@@ -136,5 +137,5 @@ def score(docs: DataFrame, weights: np.ndarray, *, text: str = "text", threshold
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(p), pa.array((p >= threshold).astype(np.int32))],
                                              [*(f.name for f in others), "score", "predicted"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "score double", "predicted int"])
+    schema = StructType([*others, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
     return docs.select(*(F.col(f"`{f.name}`") for f in others), F.col(text).alias("_text")).mapInArrow(run, schema)

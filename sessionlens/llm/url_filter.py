@@ -79,8 +79,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         possible = possible.where(F.col(f"_w{i}").bitwiseAND(bit) != 0)
     hits = possible.select("url", "key", "n").join(listed.select("key", "n", "verdict"), ["key", "n"]) \
         .groupBy("url").agg(F.max_by(F.struct("key", "verdict"), F.struct(F.length("key"), "verdict")).alias("hit"))
-    own = free_name(pages, "_url")
-    hits = hits.select(F.col("url").alias(own), F.col("hit.key").alias("_rule"), F.col("hit.verdict").alias("_verdict"))
+    own, rule, verdict = (free_name(pages, n) for n in ("_url", "_rule", "_verdict"))
+    hits = hits.select(F.col("url").alias(own), F.col("hit.key").alias(rule), F.col("hit.verdict").alias(verdict))
     return pages.join(hits, pages[url] == hits[own], "left") \
-        .withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url)), "rule": F.col("_rule"),
-                      "verdict": F.coalesce("_verdict", F.lit(default))}).drop(own, "_rule", "_verdict")
+        .withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url)), "rule": F.col(rule),
+                      "verdict": F.coalesce(verdict, F.lit(default))}).drop(own, rule, verdict)

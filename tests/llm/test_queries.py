@@ -12,8 +12,10 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from sessionlens.llm import queries
+from sessionlens.llm import quality, queries, url_filter
 
 TABLES = {
     "documents": pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("lang", pa.string()), ("text", pa.string()), ("size", pa.string())]),
@@ -174,3 +176,43 @@ def test_pipeline_stages_keep_the_columns_and_take_effect(spark, folder, empty):
     assert placed.columns == [*columns, "shard"] and placed.count() == docs.count()
     assert corpus_pipeline.run(spark, folder).columns == [*columns, "shard"]
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+OWN = ["target", "copies", "source_size", "score", "predicted", "size", "_size", "_node", "_whole", "_i", "_r", "_row", "_h", "_t", "_d0", "a column"]
+
+
+def test_pipeline_stages_leave_columns_of_any_name_alone(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").drop("size").withColumns(
+        {c: F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")) for c in [*OWN, "shard"]})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns + (["_shard"] if name == "sharding" else []), name
+        wrong = " or ".join(f"not `{c}` <=> concat('{c}:', doc_id)" for c in [*OWN, "shard"])
+        assert out.count() > 0 and out.where(wrong).count() == 0, name
+
+
+def test_stages_take_rows_without_ids_and_repeated_rows(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = docs.union(docs.where("doc_id <= 40")).union(docs.where("doc_id > 100").withColumn("doc_id", F.lit(None).cast("bigint")))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, folder)
+        assert out.columns[:5] == docs.columns and 0 < out.count() <= 3 * odd.count(), name
+
+
+def test_urls_are_judged_whatever_the_columns_are_called(spark):
+    pages = spark.createDataFrame([(1, "http://example.org/es/x", "mine", "mine", "mine"), (2, None, "mine", "mine", "mine")],
+                                  "page_id int, url string, _rule string, _verdict string, _url string")
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
+    rows = {r.page_id: r for r in url_filter.judge_urls(pages, rules).collect()}
+    assert (rows[1].rule, rows[1].verdict, rows[2].rule, rows[2].verdict) == ("example.org/es/", "block", None, "allow")
+    assert all(r["_rule"] == r["_verdict"] == r["_url"] == "mine" for r in rows.values())
+
+
+def test_classifier_learns_what_marks_quality(spark):
+    rng = random.Random(2)
+    good, bad = [f"good{i}" for i in range(40)], [f"bad{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choice((good if i % 2 else bad) if rng.random() < 0.5 else ["and", "so", "it"]) for _ in range(30))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows[:400]], "doc_id bigint, quality bigint")
+    held = quality.score(docs.where("doc_id >= 400"), quality.train(docs, labels)).collect()
+    assert sum((r.score >= 0.5) == bool(r.doc_id % 2) for r in held) >= 0.95 * len(held)  # 200 documents it has not seen
