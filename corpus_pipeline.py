@@ -1,7 +1,8 @@
 """The corpus pipeline: documents in, placed documents of the mix out.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before
-it kept; all but the last return the columns of documents.
+it kept; all but the last return the columns of documents, whatever else they
+are called.  Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -9,47 +10,71 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sessionlens.llm import decontaminate, mixing, ngram_join, quality, sharding
-from sessionlens.llm.common import keep
+from sessionlens.llm.common import free_name, keep
 
 WORD = r"[^\x20\x09-\x0D]+"
 SHARDS = 24
 
 
+def whole(docs: DataFrame) -> DataFrame:
+    """Rows as one struct, so that no column of theirs meets one that an operator adds."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_whole"))
+
+
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null and empty texts are scored as texts without words; equal rows have equal scores and stay or go together.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.score(docs.select(F.struct(*docs.columns).alias("_whole")), quality.train(docs, labels), text="_whole.text")
+    scored = quality.score(whole(docs), quality.train(docs.select("doc_id", "text"), labels), text="_whole.text")
     return scored.where("predicted = 1").select("_whole.*")
 
 
 def jaccard_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return ngram_join.one_of_each(docs, keep(ngram_join.jaccard_components(docs), "groups"))
+    """One document of each group of near copies stays: the one with the smallest id.
+
+    Documents without words are in no group and stay; of rows that repeat id and text one stays.
+    """
+    groups = keep(ngram_join.jaccard_components(docs.select("doc_id", "text")), "groups")
+    return ngram_join.one_of_each(whole(docs), groups, key="_whole.doc_id", text="_whole.text", group_key="doc_id").select("_whole.*")
 
 
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain an item of the benchmark go."""
+    """Documents that contain an item of the benchmark go, with the rows that repeat their id and text.
+
+    Null and empty texts hold no item.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.without_items(docs, decontaminate.find_items(docs, benchmark))
+    found = decontaminate.find_items(docs.select("doc_id", "text"), benchmark)
+    return decontaminate.without_items(whole(docs), found, key="_whole.doc_id", text="_whole.text").select("_whole.*")
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix holds it: sources weigh 1, 2, 3 by code point, three epochs at most."""
-    sized = docs.withColumn("_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint"))
-    small = keep(sized.select("doc_id", "source", "_words"), "sizes")
+    """Every document as often as the mix holds it: sources weigh 1, 2, 3 by code point, three epochs at most.
+
+    Null sources are one source; rows that share an id share their draw; empty texts have size 0 and take the copies of their draw.
+    """
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
+    small = keep(docs.select("doc_id", "source", words.alias("_words")), "sizes")
     plan = mixing.plan_mix(small, mixing.ranked_weights(small), size="_words")
-    return mixing.repeated(mixing.mix(docs, plan), *docs.columns)
+    return mixing.repeated(mixing.mix(whole(docs), plan, key="_whole.doc_id", source="_whole.source"), "_whole").select("_whole.*")
 
 
 def sharding_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its shard: k-d cells over language, length and checksum of near equal bytes."""
+    """Every row with its shard: k-d cells over language, length and checksum of near equal bytes.
+
+    Null languages and texts have places of their own in the order; rows that agree in all dimensions are parted by a
+    hash of the id.  Where the documents have a column ``shard``, it stays and the new one is called ``_shard``.
+    """
     dims = ["_lang", "_bytes", "_crc"]
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
-    coordinates = {"_lang": F.col("lang"), "_bytes": size, "_crc": F.coalesce(F.crc32("text"), F.lit(0)).cast("bigint")}
-    placed = sharding.with_points(docs.withColumns(coordinates), dims, size + 8, "doc_id")
+    text = F.col("_whole.text")
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")
+    coordinates = {"_lang": F.col("_whole.lang"), "_bytes": size, "_crc": F.coalesce(F.crc32(text), F.lit(0)).cast("bigint")}
+    placed = sharding.with_points(whole(docs).withColumns(coordinates), dims, size + 8, "_whole.doc_id")
     points = keep(placed.select("_size", "_t", *(f"_d{i}" for i in range(len(dims)))), "points")
     levels = sharding.kd_cuts(points, len(dims), SHARDS)
-    return sharding.kd_assign(placed, len(dims), levels).select(*docs.columns, "shard")
+    return sharding.kd_assign(placed, len(dims), levels).select("_whole.*", F.col("shard").alias(free_name(docs, "shard")))
 
 
 STAGES = [("quality", quality_stage), ("jaccard", jaccard_stage), ("decontamination", decontamination_stage), ("mixing", mixing_stage),
