@@ -43,6 +43,7 @@ from sessionlens.llm.common import LOWER, WORD_KINDS, blocks, byte_runs, compone
 WIDTH = 5
 FRAGMENTS = 8
 RANGE_SHINGLES = 2_000_000  # shingles that the owner of a hash range holds
+BATCH_BYTES = 12 << 20  # text that a task takes at once
 FACTORS = np.array([pow(0xD1342543DE82EF95, i + 1, 1 << 64) for i in range(WIDTH)], np.uint64)
 
 
@@ -170,9 +171,11 @@ def _documents(ranges: int):
             return pa.RecordBatch.from_arrays([*[pa.nulls(rows.num_rows, pa.int64())] * 3, pa.nulls(rows.num_rows, pa.int32()), *rows.columns], names)
 
         names = ["id", "row", "sig", "n", "part", "classes", "sizes", "counts", "tokens"]
+        seen: set[int] = set()
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            seen: set[int] = set()
+            own = batch.column(0).fill_null(0).to_numpy().view(np.uint64) ^ batch.column(2).to_numpy().view(np.uint64)
+            spread = -1 - (mixed(own) % np.uint64(max(1024, ranges))).astype(np.int32)  # document rows ride along, copies apart
             for lo, hi in blocks(offsets):
                 sets = shingle_sets(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
                 sigs = [signature(s) for s in sets]
@@ -180,12 +183,12 @@ def _documents(ranges: int):
                     if len(tokens) and sig not in seen:
                         seen.add(sig)
                         packer.add(sig, len(tokens), tokens)
-                spread = pa.array([-1 - (s & 1023) for s in sigs], pa.int32())  # document rows ride along, spread evenly
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(sigs, pa.int64()),
-                                                  pa.array([len(s) for s in sets], pa.int32()), spread, *blank(hi - lo)], names)
+                                                  pa.array([len(s) for s in sets], pa.int32()), pa.array(spread[lo:hi]), *blank(hi - lo)], names)
                 if packer.held >= 3_000_000:
                     yield packed()
-            yield packed()
+                    seen.clear()
+        yield packed()
     return run
 
 
@@ -330,7 +333,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     words = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
     ranges = max(64, -(-words // RANGE_SHINGLES))
     dealt = rows.mapInArrow(_documents(ranges), f"id bigint, row bigint, sig bigint, n int, {PACKED}").repartition("part").sortWithinPartitions("part")
-    counted = keep(dealt.mapInArrow(_count_shared, "id bigint, row bigint, sig bigint, n int, shared bigint"), "shared")
+    counted = keep(dealt.mapInArrow(_count_shared, "id bigint, row bigint, sig bigint, n int, shared bigint"), "shared", BATCH_BYTES)
     documents = counted.where("n is not null").select("id", "row", "sig", "n")
     classes = documents.where("n > 0").groupBy("sig", "n").agg(F.min("id").alias("first"))
     shared = counted.where("shared is not null").groupBy("sig").agg(F.sum("shared").alias("shared"))
