@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
@@ -123,19 +124,28 @@ def score(docs: DataFrame, weights: np.ndarray, *, text: str = "text", threshold
     bits = (len(weights) - 1).bit_length() - 1
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     others = [f for f in docs.schema.fields if f.name.lower() not in ("score", "predicted")]
+    first, *inner = text.split(".")  # a text inside a struct is read there: rows cross to Python once
+    place = [i for i, f in enumerate(others) if f.name == first]
+
+    def within(batch: pa.RecordBatch) -> pa.Array:
+        column = batch.column(place[0]) if place else batch.column(len(others))
+        for name in inner if place else []:
+            column = pc.struct_field(column, name)
+        return column
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in batches:
-            data, offsets = text_bytes(batch.column(batch.schema.get_field_index("_text")))
+            data, offsets = text_bytes(within(batch))
             sums = np.empty(batch.num_rows)
             for lo, hi in blocks(offsets):
                 at, feature, value = hashed_features(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], bits)
                 added = np.concatenate([[0.0], np.cumsum(w[feature] * value.astype(np.float64))])
                 sums[lo:hi] = np.round(added[at[1:]] - added[at[:-1]], 9) + 0.3 * float(w[0])
             p = 1.0 / (1.0 + np.exp(-np.clip(sums, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(p), pa.array((p >= threshold).astype(np.int32))],
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(others)], pa.array(p), pa.array((p >= threshold).astype(np.int32))],
                                              [*(f.name for f in others), "score", "predicted"])
 
     schema = StructType([*others, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
-    return docs.select(*(F.col(f"`{f.name}`") for f in others), F.col(text).alias("_text")).mapInArrow(run, schema)
+    names = [F.col(f"`{f.name}`") for f in others]
+    return docs.select(*names, *([] if place else [F.col(text)])).mapInArrow(run, schema)
