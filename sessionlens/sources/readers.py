@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from sessionlens.functions.text import is_blank
 from sessionlens.operators.dataset import features_of_flat_rows, features_of_sessions
 from sessionlens.schema import SESSION_DDL
+from sessionlens.sources.csv_records import read_records
 from sessionlens.sources.validation import LISTS, DatasetValidationError, canonical_uuid, with_issues
 
 _PLACE = ("_metadata.file_path file", "_metadata.file_block_start block", "monotonically_increasing_id() row_id")
@@ -75,17 +76,41 @@ def read_sessions(spark: SparkSession, path: str | list[str], strict: bool = Fal
     return _finish(good, _row_numbers(bad, lines, 1), strict)
 
 
-def read_flat_rows(spark: SparkSession, path: str | list[str], strict: bool = False, multiline: bool = True) -> Loaded:
+def _split_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Cells of the records of quoted CSV files, with their place; every file may be read by many tasks."""
+    head = spark.read.option("multiLine", True).option("escape", '"').csv(path).first()
+    if head is None:
+        raise DatasetValidationError("a flat file needs a header")
+    names = [name or f"_c{i}" for i, name in enumerate(head)]
+    if len({n.lower() for n in names}) < len(names):
+        raise DatasetValidationError("a flat file names a column twice")
+    records = read_records(spark, path)
+    ddl = ", ".join(f"`{n}` STRING" for n in names)
+    parsed = records.select("file", "block", "row_id", "header", F.from_csv("value", F.lit(ddl), {"escape": '"'}).alias("cells"))
+    own = F.array(*(F.coalesce(F.col("cells")[n], F.lit(f"_c{i}")) for i, n in enumerate(names)))
+    same = F.regexp_replace(F.concat_ws("\x00", own), "^\ufeff", "") == F.lit("\x00".join(names).removeprefix("\ufeff"))
+    wrong = F.raise_error(F.concat(F.lit("another header in "), F.col("file"))).cast("boolean")
+    data = parsed.where(F.when(F.col("header"), F.when(same, F.lit(False)).otherwise(wrong)).otherwise(F.lit(True)))
+    return data.select(*(F.col("cells")[n].alias(n.removeprefix("\ufeff")) for n in names), "file", "block", "row_id")
+
+
+def read_flat_rows(spark: SparkSession, path: str | list[str], strict: bool = False, multiline: bool = True, split: bool = True) -> Loaded:
     """Flat CSV with a header.  Rows without session id become issues; row numbers start at 2.
 
     All files must have the same header; reading one with another header fails.
-    ``multiline=False`` lets Spark split large files whose cells hold no line breaks.
+    Cells may hold line breaks, and still many tasks read one file (see ``csv_records``).
+    ``split=False`` gives each file to one task of Spark's own reader, which is lenient with
+    stray quotes; ``multiline=False`` reads line by line where no cell holds a line break.
     """
-    raw = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"').option("enforceSchema", False).csv(path)
-    if "session_id" not in raw.columns:
+    if multiline and split:
+        raw = _split_rows(spark, path)
+        names, place = raw.columns[:-3], raw.columns[-3:]
+    else:
+        raw = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"').option("enforceSchema", False).csv(path)
+        names, place = raw.columns, _PLACE
+    if "session_id" not in names:
         raise DatasetValidationError("a flat file needs a session_id column")
-    text = [f"coalesce(`{c}`, '') `{c}`" for c in raw.columns]
-    rows = raw.selectExpr(*text, *_PLACE)
+    rows = raw.selectExpr(*(f"coalesce(`{c}`, '') `{c}`" for c in names), *place)
     good = rows.where("session_id <> ''").drop("file", "block")
     bad = rows.where("session_id = ''").selectExpr("file", "block", "row_id", "'Missing session_id.' message")
     return _finish(good, _row_numbers(bad, rows, 2), strict)

@@ -1,9 +1,12 @@
 """Sources, sinks, validation, datasets, drift, evaluation, importance, reports, streaming."""
 
+import csv
 import json
 import math
+import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -95,6 +98,65 @@ def test_writer_refuses_invalid_sessions(spark, sessions, tmp_path):
         writers.write_sessions(bad, str(tmp_path / "x"))
 
 
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+def test_csv_files_are_read_in_splits(spark, tmp_path, newline):
+    """Equal cells and row numbers however a file is cut, also where one cell covers several splits."""
+    pick = random.Random(7)
+    cells = ["", "plain", 'say "hi"', "a,b", "two\nlines", '"\n"\n', "\n\n\n", "caf\u00e9", "x" * 300]
+    expected = {}
+    for name in ("one", "two"):
+        rows = [[pick.choice(["", "s", f"s{i}"]), pick.choice(cells), pick.choice(cells)] for i in range(400)]
+        rows[150][1] = "long\n" * 2000  # over several splits
+        rows[399] = ["", "end\n", 'last "'] if name == "one" else rows[399]
+        with open(tmp_path / f"{name}.csv", "w", newline="") as out:
+            writer = csv.writer(out, lineterminator=newline)
+            writer.writerow(["session_id", "note", "more"])
+            for i, row in enumerate(rows):
+                writer.writerow(row)
+                if i % 50 == 0:
+                    out.write(newline)
+        expected[name] = rows
+    size = sum((tmp_path / f"{n}.csv").stat().st_size for n in expected)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size // 24))
+    try:
+        loaded = readers.read_flat_rows(spark, str(tmp_path))
+        assert loaded.rows.rdd.getNumPartitions() >= 24
+        found = loaded.rows.orderBy("row_id").collect()
+        issues = loaded.issues.collect()
+        whole = readers.read_flat_rows(spark, str(tmp_path), split=False) if newline == "\n" else None
+        if whole is not None:
+            assert sorted(tuple(r)[:3] for r in whole.rows.collect()) == sorted(tuple(r)[:3] for r in found)
+            assert sorted(map(tuple, whole.issues.collect())) == sorted(map(tuple, issues))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert len({r["row_id"] for r in found}) == len(found)
+    assert sorted(tuple(r)[:3] for r in found) == sorted(tuple(r) for rows in expected.values() for r in rows if r[0])
+    wanted = sorted((i + 2, name) for name, rows in expected.items() for i, r in enumerate(rows) if not r[0])
+    assert sorted((r["row_number"], r["file"].rsplit("/", 1)[1][:-4]) for r in issues) == wanted
+
+
+def test_csv_errors(spark, tmp_path):
+    def lines(name, text):
+        (tmp_path / name).write_text(text)
+        return readers.read_flat_rows(spark, str(tmp_path / name)).rows.collect()
+    with pytest.raises(ValueError, match="ends inside a quoted cell"):
+        lines("torn.csv", 'session_id,a\ns,"open\n')
+    with pytest.raises(Exception, match="quote inside an unquoted cell"):
+        lines("stray.csv", 'session_id,a\ns,5" and 6"\n')
+    with pytest.raises(DatasetValidationError, match="twice"):
+        lines("twice.csv", "session_id,a,A\ns,1,2\n")
+    assert lines("header.csv", "session_id,a\n") == []
+    assert [tuple(r)[:3] for r in lines("bom.csv", '\ufeffsession_id,a,b\ns,"x\n"\n')] == [("s", "x\n", "")]
+    with pytest.raises(DatasetValidationError, match="header"):
+        lines("empty.csv", "")
+    (tmp_path / "pair").mkdir()
+    (tmp_path / "pair" / "a.csv").write_text("session_id,a\ns,1\n")
+    (tmp_path / "pair" / "b.csv").write_text("session_id,b\ns,1\n")
+    with pytest.raises(Exception, match="another header"):
+        readers.read_flat_rows(spark, str(tmp_path / "pair")).rows.collect()
+
+
 def test_csv_rules(spark, tmp_path):
     path = tmp_path / "rows.csv"
     path.write_text('session_id,duration_seconds,total_tokens,ground_truth_failure_type\na,12.5,"x\ny",timeout\n,1,2,\nb,, 7 ,\nc,nan,inf,unknown\n')
@@ -283,6 +345,38 @@ def test_importance_methods(spark, labelled):
         importance.choose_method(object())
 
 
+def test_permutation_against_plain_loop(spark, labelled):
+    """Scores by hand from the stated orders; no window over rows, no second scoring, same for any partitioning."""
+    linear = evaluation.fit_model(labelled, "Logistic Regression", "root_cause", F4, "mean")
+    scores = importance.permutation_scores(linear, labelled, "root_cause", repeats=3, seed=5)
+    found = {r["feature_name"]: r["importance_score"] for r in scores.collect()}
+    again = importance.permutation_scores(linear, labelled.repartition(7), "root_cause", repeats=3, seed=5)
+    assert {r["feature_name"]: r["importance_score"] for r in again.collect()} == pytest.approx(found)
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "lead(" not in plan and plan.count("collect_list(struct(_k") == 1
+
+    hashed = labelled.selectExpr("*", "xxhash64(5, session_id) k").selectExpr("*", "array(xxhash64(0, k), xxhash64(1, k), xxhash64(2, k)) h").toPandas()
+    versions = [hashed.assign(version="base")]
+    for r in range(3):
+        order = sorted(range(len(hashed)), key=lambda i: hashed["h"][i][r])
+        nearest = {order[i]: order[(i + 1) % len(order)] for i in range(len(order))}
+        for f in F4:
+            moved = [hashed[f][nearest[i]] for i in range(len(hashed))]
+            versions.append(hashed.assign(version=f"{f}:{r}", **{f: moved}))
+    rows = spark.createDataFrame(pd.concat(versions)[["version", "root_cause", *F4]])
+    f1 = {}
+    predicted = linear.predict(rows, "version", "root_cause").toPandas()
+    for version, part in predicted.groupby("version"):
+        total = 0.0
+        for c in set(part.root_cause):
+            hit = ((part.root_cause == c) & (part.predicted == c)).sum()
+            support, given = (part.root_cause == c).sum(), (part.predicted == c).sum()
+            total += 2 * hit / (support + given) * support / len(part)
+        f1[version] = total
+    for f in F4:
+        assert found[f] == pytest.approx(abs(sum(f1["base"] - f1[f"{f}:{r}"] for r in range(3)) / 3), abs=1e-12)
+
+
 def test_boosting_handles_three_classes(spark, labelled):
     small = boosting.SoftmaxBoosting(stages=3, depth=2)
     fitted = evaluation.fit_model(labelled, "Gradient Boosting", "root_cause", F4, estimator=small)
