@@ -160,8 +160,8 @@ def write_bundles(records: DataFrame, folder: str, frame_bytes: int = 1 << 20, b
     return records.select("record_id", "record_type", "refers_to", "target_uri", "payload").mapInArrow(write, MANIFEST)
 
 
-def read_records(manifest: DataFrame, folder: str) -> DataFrame:
-    """The records that ``manifest`` lists (all or a selection), each from its frame."""
+def read_records(manifest: DataFrame, folder: str, task_bytes: int = 32 << 20) -> DataFrame:
+    """The records that ``manifest`` (a kept table; all or a selection) lists, each from its frame, about ``task_bytes`` of them in a task."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = pafs.FileSystem.from_uri(folder)
         unpack, at, file, table, plain = zstandard.ZstdDecompressor(), (None, None), None, [], b""
@@ -186,5 +186,7 @@ def read_records(manifest: DataFrame, folder: str) -> DataFrame:
                     rows, held = [], 0
         yield pack()
 
-    frames = manifest.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "start")
+    listed = manifest.agg(F.sum("length")).first()[0] or 0
+    tasks = -(-listed // task_bytes) or 1  # a number, for the rows of the manifest do not show how much is read for them
+    frames = manifest.repartition(tasks, "bundle", "frame").sortWithinPartitions("bundle", "frame", "start")
     return frames.mapInArrow(read, RECORD)
