@@ -169,18 +169,19 @@ raw as (select k, id, regexp_extract_all(coalesce(text, ''), '\p{N}+(?:[.,]\p{N}
 slots as (
   select k, id, r, list_transform(r, lambda w, i: case
     when w[1] between '0' and '9' then '<number>'
-    when lower(w) = w then w
+    when lower(w) = w then case when i > 1 and r[i - 1][1] between '0' and '9' and w in (UNITS) then '<unit>' else w end
     when i > 1 and length(w) > 1 and lower(w[1]) <> w[1] and lower(w[2:]) = w[2:] and r[i - 1] not in ('.', '!', '?', chr(10)) then '<name>'
     else lower(w) end) s from raw),
 plain as (
   select k, id, list_filter(r, lambda w: w not in ('.', '!', '?', chr(10))) r, list_filter(s, lambda w: w not in ('.', '!', '?', chr(10))) s from slots),
+widths as (select distinct least(8, len(s)) w from plain where k = 'b' and len(s) > 0),
 wins as (
-  select k, id, "at", list_slice(plain.r, "at" + 1, "at" + 8) r, list_slice(plain.s, "at" + 1, "at" + 8) s, len(plain.s) - 7 n
-  from plain, unnest(range(len(plain.s) - 7)) t("at")),
+  select k, id, w, "at", list_slice(p.r, "at" + 1, "at" + w) r, list_slice(p.s, "at" + 1, "at" + w) s, len(p.s) - w + 1 n
+  from (select * from plain join widths on w <= len(s) and (k = 'd' or w = least(8, len(s)))) p, unnest(range(len(p.s) - w + 1)) t("at")),
 met as (
   select d.id doc_id, b.id item_id, b.n, b."at", d."at" - b."at" shift,
-    list_filter(list_transform(range(1, 9), lambda i: {'kind': b.s[i], 'said': b.r[i], 'found': d.r[i]}), lambda x: starts_with(x.kind, '<')) p
-  from wins d join wins b on d.s = b.s and d.k = 'd' and b.k = 'b'
+    list_filter(list_transform(range(1, b.w + 1), lambda i: {'kind': b.s[i], 'said': b.r[i], 'found': d.r[i]}), lambda x: starts_with(x.kind, '<')) p
+  from wins d join wins b on d.w = b.w and d.s = b.s and d.k = 'd' and b.k = 'b'
   where len(list_filter(b.s, lambda w: not starts_with(w, '<'))) >= 4),
 aligned as (
   select doc_id, item_id, n, shift, count(distinct "at") windows, list_distinct(flatten(list(list_transform(p, lambda x: {'said': x.said, 'found': x.found})))) p
@@ -188,8 +189,7 @@ aligned as (
 select doc_id, item_id, max(windows)::bigint windows, max(windows / n) coverage,
   bool_or(len(list_filter(p, lambda x: x.said <> x.found)) = 0) "exact"
 from aligned where windows >= 0.3 * n and len(list_distinct(list_transform(p, lambda x: x.said))) = len(p)
-  and len(list_distinct(list_transform(p, lambda x: x.found))) = len(p)
-group by all""",
+group by all""".replace("UNITS", ", ".join(f"'{unit}'" for words in decontaminate.UNITS.values() for unit in words)),
     "op4_exact_dedup": """
 select doc_id, max(doc_id) over g keep_id, count(*) over g group_size, doc_id = max(doc_id) over g kept,
   sha256(coalesce(text, '')) text_sha256

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sessionlens.llm import quality, queries, url_filter
+from sessionlens.llm import decontaminate, quality, queries, url_filter
 
 TABLES = {
     "documents": pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("lang", pa.string()), ("text", pa.string()), ("size", pa.string())]),
@@ -157,6 +157,38 @@ def test_benchmark_questions_are_found(spark, folder):
     assert found[last].exact and not found[last - 1].exact
 
 
+def test_changed_questions_are_found_along_consistent_slots(spark, tmp_path):
+    runner = "A runner covers 200 meters in 25 seconds and then rests for 3 minutes before the next lap begins"
+    benchmark = [(1, runner), (2, "what is the boiling point"), (3, "one two 3"), (4, "Then 7 and 7 are asked of Paris and Rome in this question")]
+    texts = [runner.replace("200 meters", "90 yards").replace("25", "12").replace("3", "8"),  # other numbers, another unit
+             runner.replace("200", "25"),  # two values of the item become one
+             "Then 8 and 9 are asked of Paris and Rome in this question",  # one value of the item becomes two
+             "Then 9 and 9 are asked of Oslo and Bonn in this question", "He asked: what is the boiling point of 5 liters?",
+             "nothing of this kind is in here", None, "one two 3", runner + ". " + runner.replace("200", "300")]
+    folder = write(tmp_path, [(i, "web", "en", t, "clash") for i, t in enumerate(texts, 1)] + [(1, "web", "en", texts[0], "clash")], [], benchmark, [])
+    docs, items = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
+    columns = ["doc_id", "item_id", "windows", "coverage", "exact"]
+    rows = decontaminate.find_items(docs, items).select(columns).toPandas()
+    assert {(r.doc_id, r.item_id) for r in rows.itertuples()} == {(1, 1), (2, 1), (4, 4), (5, 2), (9, 1)}
+    assert {r.doc_id for r in rows.itertuples() if r.exact} == {5, 9}
+    shuffled = decontaminate.find_items(docs, items, broadcast_most=0)
+    assert in_order(shuffled.select(columns).toPandas()) == in_order(rows)
+    assert {r.doc_id for r in decontaminate.without_items(docs, shuffled, broadcast_most=0).collect()} == {3, 6, 7, 8}
+    db = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        db.sql(f"create view {table} as select * from '{folder}/{table}.parquet'")
+    assert in_order(db.sql(queries.ORACLE["op3_decontamination"]).df()) == in_order(rows)
+
+
+def test_windows_move_without_their_texts(spark):
+    rows = spark.createDataFrame([(1, QUESTION)], "_row bigint, _text string")
+    wanted = spark.createDataFrame([(8, 1)], "_width int, _hash bigint")
+    for small in (True, False):
+        plan = decontaminate.window_hits(rows, wanted, 8, small)._jdf.queryExecution().executedPlan().toString()
+        moved = re.search(r"\[([^\]]*)\], false, \[_place", plan)  # what the rows of windows carry
+        assert re.fullmatch(r"_row#\d+L", moved[1]), moved[1]
+
+
 def test_pipeline_stages_keep_the_columns_and_take_effect(spark, folder, empty):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     columns = docs.columns
