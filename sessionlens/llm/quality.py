@@ -30,6 +30,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from sessionlens.llm.common import LOWER, blocks, byte_runs, mixed, prefix_hash, range_hash, text_bytes
 
 BITS = 18
+PIECE = 1 << 20  # bytes of text hashed at once: a task's temporaries are some fifty times as large
 SIGNS = np.full(256, 3, np.uint8)
 SIGNS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 SIGNS[48:58] = 2
@@ -85,7 +86,7 @@ def _packed(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
-            for lo, hi in blocks(offsets):
+            for lo, hi in blocks(offsets, PIECE):
                 at, feature, value = hashed_features(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], bits)
                 rows = [(feature[at[i]:at[i + 1]].tobytes(), value[at[i]:at[i + 1]].tobytes()) for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()),
@@ -138,7 +139,7 @@ def score(docs: DataFrame, weights: np.ndarray, *, text: str = "text", threshold
         for batch in batches:
             data, offsets = text_bytes(within(batch))
             sums = np.empty(batch.num_rows)
-            for lo, hi in blocks(offsets):
+            for lo, hi in blocks(offsets, PIECE):
                 at, feature, value = hashed_features(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], bits)
                 added = np.concatenate([[0.0], np.cumsum(w[feature] * value.astype(np.float64))])
                 sums[lo:hi] = np.round(added[at[1:]] - added[at[:-1]], 9) + 0.3 * float(w[0])
