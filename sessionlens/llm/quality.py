@@ -104,18 +104,18 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
         .withColumn("_turn", turn).orderBy("_turn").limit(sample)
     chosen = docs.join(F.broadcast(marked), docs[key] == F.col("_key"))  # at most ``sample`` keys
     features = chosen.select(F.col(text).alias("text"), "_label", "_turn").mapInArrow(_packed(bits), "feature binary, value binary, label int, turn bigint")
-    epoch = F.explode(F.array(*map(F.lit, range(epochs)))).alias("epoch")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Ftrl((1 << bits) + 1)
-        for batch in batches:
-            for feature, value, y in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                at = np.concatenate([[0], np.frombuffer(feature, np.int32)])
-                model.learn(at, np.concatenate([[0.3], np.frombuffer(value, np.float32)]), y)
+        model, held = Ftrl((1 << bits) + 1), list(batches)  # the packed sample; each epoch reads it in the same order
+        for _ in range(epochs):
+            for batch in held:
+                for feature, value, y in zip(*(batch.column(i) for i in range(3))):
+                    at = np.concatenate([[0], np.frombuffer(feature.as_buffer(), np.int32)])
+                    model.learn(at, np.concatenate([[0.3], np.frombuffer(value.as_buffer(), np.float32)]), y.as_py())
         weights = model.weights(slice(None)).astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], ["weights"])
 
-    ordered = features.select("feature", "value", "label", epoch, "turn").repartition(1).sortWithinPartitions("epoch", "turn", "feature")
+    ordered = features.repartition(1).sortWithinPartitions("turn", "feature")
     rows = ordered.mapInArrow(learn, "weights binary").collect()  # one row of 2 ** bits floats
     return np.frombuffer(rows[0][0], np.float32) if rows else np.zeros((1 << bits) + 1, np.float32)
 
