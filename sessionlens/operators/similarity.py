@@ -91,19 +91,33 @@ def with_unit_vector(frame: DataFrame, array: str, name: str = "vec") -> DataFra
 
 
 def _best(queries: np.ndarray, history: np.ndarray, k: int):
-    """(query, row, similarity) of the k best rows, ties by row number; rows come in tie order."""
+    """(query, row, similarity) of the k best rows, ties by row number; rows come in tie order.
+
+    Both sides are taken in blocks and only the k best so far are kept, so memory does
+    not grow with the history.
+    """
     found = []
     for part in blocks(len(queries)):
-        scores = np.round(queries[part] @ history.T, 9) + 0.0
-        take = min(k, scores.shape[1])
-        floor = np.partition(scores, scores.shape[1] - take, axis=1)[:, scores.shape[1] - take]
-        i, j = np.nonzero(scores >= floor[:, None])
-        s = scores[i, j]
-        order = np.lexsort((j, -s, i))
-        i, j, s = i[order], j[order], s[order]
-        first = np.searchsorted(i, i, side="left")
-        keep = np.arange(len(i)) - first < take
-        found.append((i[keep] + part.start, j[keep], s[keep]))
+        own = queries[part]
+        floor = np.full(len(own), -np.inf)  # similarity of the k-th best so far
+        i, j, s = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        for there in blocks(len(history), TILE_ROWS):
+            scores = own @ history[there].T
+            if not there.start and k < scores.shape[1]:
+                least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k] - 1e-9
+            else:  # of equal similarities the earlier row counts; rounding moves one by half of 1e-9
+                least = floor + 4e-10
+            a, b = np.nonzero(scores >= least[:, None])
+            if not len(a):
+                continue
+            i, j = np.concatenate([i, a]), np.concatenate([j, b + there.start])
+            s = np.concatenate([s, np.round(scores[a, b], 9) + 0.0])
+            order = np.lexsort((j, -s, i))
+            i, j, s = i[order], j[order], s[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i, side="left")
+            floor[i[place == k - 1]] = s[place == k - 1]
+            i, j, s = i[place < k], j[place < k], s[place < k]
+        found.append((i + part.start, j, s))
     return [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, int)] * 2 + [np.zeros(0)]
 
 

@@ -221,3 +221,19 @@ def test_lone_cluster_member_is_an_unknown_failure(spark):
                                   "session_id string, anomaly_score double, is_anomaly boolean, cluster_id bigint")
     got = {r["session_id"]: r["is_unknown_failure"] for r in anomaly.finish_records(frame).collect()}
     assert got == {"a": True, "b": False, "c": False, "d": True, "e": True}
+
+
+def test_the_best_matches_of_a_large_history_are_found_in_blocks():
+    import tracemalloc
+    rng = np.random.default_rng(3)
+    asked, history = rng.normal(size=(64, 4)).round(1), rng.normal(size=(60_000, 4)).round(1)
+    asked[0] = 0  # ties with every row
+    tracemalloc.start()
+    i, j, s = similarity._best(asked, history, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    scores = np.round(asked @ history.T, 9) + 0.0
+    want = np.argsort(-scores, axis=1, kind="stable")[:, :3]
+    assert (j.reshape(64, 3) == want).all() and (i.reshape(64, 3) == np.arange(64)[:, None]).all()
+    assert np.array_equal(s.reshape(64, 3), np.take_along_axis(scores, want, 1))
+    assert peak < scores.nbytes  # 31 MB; the product of all rows was held several times
