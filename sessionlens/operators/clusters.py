@@ -1,10 +1,10 @@
-"""Exact DBSCAN on pivot tiles.
+"""Exact DBSCAN on packed blocks of neighbouring points.
 
 Equal vectors are merged first (with their weight).  A point that already finds
-``min_samples`` neighbours in its own tile is core without looking further, and
-tiles that belong to one component are not visited again by that component, so
-dense regions cost about one tile per point.  Components travel as edges between
-tile-local components; neighbour pairs are never materialised.
+``min_samples`` neighbours in its own block is core without looking further; the
+others look into all blocks they can reach.  Blocks meet without a shuffle (see
+``kd_blocks``); degrees, links between the components of two blocks and the
+components a border point touches are all that leaves a task.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from sessionlens.functions.stats import number_rows
-from sessionlens.operators.tiles import TILE_ROWS, Cells, blocks, matrix, nothing, route, tile_points, visit, within
+from sessionlens.operators.kd_blocks import BLOCK_ROWS, Block, close, each, meet, pack, reached, zoned
+from sessionlens.operators.tiles import blocks
 from sessionlens.session import cut_lineage
 
 
@@ -40,147 +41,129 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return stars.selectExpr("u node", "v root").unionByName(stars.selectExpr("v node", "v root").distinct())
 
 
-def _merge(frame: DataFrame, column: str, edges: DataFrame) -> DataFrame:
-    """Replace component ids in ``column`` by the roots that ``edges`` connect them to."""
-    if edges.isEmpty():
-        return frame
-    roots = connected_components(edges)
-    return (frame.join(roots.withColumnRenamed("node", column), column, "left")
-            .withColumn(column, F.coalesce("root", column)).drop("root"))
-
-
-def _local_components(eps: float):
-    def run(tile: pd.DataFrame) -> pd.DataFrame:
-        tile = tile.sort_values("pid").reset_index(drop=True)
-        points, pid = matrix(tile["vec"]), tile["pid"].to_numpy()
-        comp = np.full(len(pid), -1, dtype="int64")
-        left = np.arange(len(pid))
-        while len(left):
-            wave, root = left[:1], pid[left[0]]
-            comp[wave] = root
-            left = left[1:]
-            while len(wave) and len(left):
-                hit = np.zeros(len(left), dtype=bool)
-                for part in blocks(len(wave)):
-                    hit |= within(points[wave[part]], points[left], eps).any(0)
-                wave, left = left[hit], left[~hit]
-                comp[wave] = root
-        return pd.DataFrame({"pid": pid, "comp": comp})
-    return run
-
-
-def dbscan(rows: DataFrame, eps: float = 0.8, min_samples: int = 5, order: str = "ord", tile_rows: int = TILE_ROWS,
+class _Sets:
+    """Disjoint sets of a block's components; the smallest number is the root."""
+
+    def __init__(self, numbers: np.ndarray):
+        self.names, self.at = np.unique(numbers, return_inverse=True)
+        self.root = np.arange(len(self.names))
+
+    def of(self, rows) -> np.ndarray:
+        return self.root[self.at[rows]]
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+        """Unite the sets of roots a[i] and b[i]; the pairs that were apart, by name."""
+        new = []
+        for x, y in set(zip(a.tolist(), b.tolist())):
+            x, y = int(self.root[x]), int(self.root[y])
+            if x != y:
+                new.append((int(self.names[x]), int(self.names[y])))
+                self.root[self.root == max(x, y)] = min(x, y)
+        return new
+
+
+def _touch(left: Block, right: Block, sets: _Sets, shift: int, eps: float) -> list[tuple[int, int]]:
+    """Links between the rows of two blocks; right's rows follow left's in ``sets`` by ``shift``.
+
+    Rows that belong to the only component of a leaf already are not compared with it.
+    """
+    found, every = [], np.arange(len(left.vec))
+    for part, rows in reached(left, every, right, eps):
+        for some in blocks(len(rows), 512):
+            there = sets.of(slice(part.start + shift, part.stop + shift))
+            own = rows[some]
+            if (there == there[0]).all():
+                own = own[sets.of(own) != there[0]]
+            for i, j in close(left, own, right, part, eps) if len(own) else ():
+                a, b = sets.of(i), sets.of(j + shift)
+                apart = a != b
+                found += sets.link(a[apart], b[apart])
+    return found
+
+
+def dbscan(rows: DataFrame, eps: float = 0.8, min_samples: int = 5, order: str = "ord", tile_rows: int = BLOCK_ROWS,
            pivots: int | None = None) -> DataFrame:
     """Add ``cluster_id`` to ``rows`` (``vec`` array<double>, ``order``); noise is -1.
 
     Neighbours are within ``eps`` (closed), the point itself included.  Clusters are
     numbered by their first core row in ``order``; a border row joins the lowest
-    numbered cluster among its core neighbours.
+    numbered cluster among its core neighbours.  ``pivots`` is the number of zones
+    (default: one per block of ``tile_rows``).
     """
     merged = rows.groupBy("vec").agg(F.count("*").alias("w"), F.min(order).alias("first"))
     points = cut_lineage(merged.withColumn("pid", F.monotonically_increasing_id()))
     count = points.count()
     if count == 0:
         return rows.withColumn("cluster_id", F.lit(-1).cast("bigint"))
-    placed, cells = tile_points(points.select("pid", "vec", "w"), count, tile_rows, pivots)
-    tiles = cut_lineage(placed)
-    core = cut_lineage(_core_points(tiles, cells, eps, min_samples, tile_rows))
-    labelled = _label(points, tiles, cells, core, eps, tile_rows)
+    points = cut_lineage(zoned(points, pivots or -(-count // tile_rows)))
+    degrees = cut_lineage(_degrees(points, count, eps, min_samples, tile_rows))
+    labelled = _label(points, degrees, eps, min_samples, tile_rows)
     found = points.select("pid", "vec").join(labelled, "pid").select("vec", "cluster_id")
     return rows.join(found, "vec", "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1)).cast("bigint"))
 
 
-def _reach(eps: float):
-    return lambda rows: np.full(len(rows), eps)
+def _degrees(points: DataFrame, count: int, eps: float, min_samples: int, tile_rows: int) -> DataFrame:
+    """(pid, w, degree); a degree of ``min_samples`` or more need not be the whole one."""
+    def weigh(left: Block, rows: np.ndarray, right: Block) -> np.ndarray:
+        total, weight = np.zeros(len(left.vec), dtype="int64"), right.of["w"]
+        for part, some in reached(left, rows, right, eps):
+            for i, j in close(left, some, right, part, eps):
+                total += np.bincount(i, weight[j], len(total)).astype("int64")
+        return total
 
+    def own(block: Block) -> pd.DataFrame:
+        degree = weigh(block, np.arange(len(block.vec)), block)
+        return pd.DataFrame([{"vec": block.vec.tobytes(), "starts": block.starts.tobytes(), "dim": block.vec.shape[1],
+                              "pid": block.of["pid"].tobytes(), "w": block.of["w"].tobytes(), "degree": degree.tobytes(), "block": block.number}])
+
+    def across(left: Block, right: Block) -> pd.DataFrame:
+        total = weigh(left, np.flatnonzero(left.of["degree"] < min_samples), right)
+        hit = np.flatnonzero(total)
+        return pd.DataFrame({"pid": left.of["pid"][hit], "w": 0, "degree": total[hit]})
+
+    packed = pack(points, count, "pid", "w", rows=tile_rows)
+    near = cut_lineage(each(packed, ("pid", "w"), own, "vec binary, starts binary, dim int, pid binary, w binary, degree binary, block bigint"))
+    schema, names = "pid bigint, w bigint, degree bigint", ("pid", "w", "degree")
+    listed = each(near, names, lambda b: pd.DataFrame({n: b.of[n] for n in names}), schema)
+    if near.count() > 1:  # rows are blocks
+        listed = listed.unionByName(meet(near, near, names, names, across, schema, "l_block <> r_block"))
+    return listed.groupBy("pid").agg(F.sum("w").alias("w"), F.sum("degree").alias("degree"))
 
-def _core_points(tiles: DataFrame, cells: Cells, eps: float, min_samples: int, tile_rows: int) -> DataFrame:
-    """(pid) of all core points."""
-    def weigh(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
-        points, others, weight = matrix(left["vec"]), matrix(right["vec"]), right["w"].to_numpy().astype("int64")
-        total = np.zeros(len(left), dtype="int64")
-        if len(right):
-            for part in blocks(len(left)):
-                total[part] = within(points[part], others, eps) @ weight
-        return total
 
-    def inside(tile: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"pid": tile["pid"], "degree": weigh(tile, tile)})
-
-    def across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"pid": left["pid"], "degree": weigh(left, right)})
-
-    near = cut_lineage(tiles.groupBy("cell", "salt").applyInPandas(inside, "pid bigint, degree bigint"))
-    core = near.where(F.col("degree") >= min_samples).select("pid")
-    if len(cells.pivots) == 1 and cells.salts[0] <= 1:
-        return core
-    open_points = tiles.join(near.where(F.col("degree") < min_samples).select("pid"), "pid").select("pid", "vec")
-    going = cut_lineage(route(open_points, cells, _reach(eps)))
-    total = visit(going, tiles, cells, "pid", across, "pid bigint, degree bigint", tile_rows, _reach(eps))
-    return core.unionByName(total.groupBy("pid").agg(F.sum("degree").alias("degree"))
-                            .where(F.col("degree") >= min_samples).select("pid"))
-
-
-def _links(eps: float):
-    """Edges between the component of a visitor and the components it touches in a tile."""
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        edges: set[tuple[int, int]] = set()
-        if len(left) and len(right):
-            others, there = matrix(right["vec"]), right["comp"].to_numpy()
-            for mine, group in left.groupby("comp"):
-                points = matrix(group["vec"])
-                rest = there != mine
-                for part in blocks(len(points)):
-                    if not rest.any():
-                        break  # every component of this tile is linked already
-                    cols = np.nonzero(rest)[0]
-                    hit = np.unique(there[cols[within(points[part], others[cols], eps).any(0)]])
-                    edges.update((int(mine), int(c)) for c in hit)
-                    rest &= ~np.isin(there, hit)
-        return pd.DataFrame(sorted(edges), columns=["a", "b"], dtype="int64")
-    return compare
-
-
-def _label(points: DataFrame, tiles: DataFrame, cells: Cells, core: DataFrame, eps: float, tile_rows: int) -> DataFrame:
+def _label(points: DataFrame, degrees: DataFrame, eps: float, min_samples: int, tile_rows: int) -> DataFrame:
     """(pid, cluster_id) of core and border points."""
-    cored = tiles.join(core, "pid")
-    local = cored.groupBy("cell", "salt").applyInPandas(_local_components(eps), "pid bigint, comp bigint")
-    held = cut_lineage(cored.join(local, "pid").select("pid", "vec", "cell", "salt", "comp"))
-    if len(cells.pivots) > 1 or cells.salts[0] > 1:
-        # one representative per local component links most of them
-        few = cut_lineage(route(held.where("pid = comp").select("pid", "vec", "comp"), cells, _reach(eps)))
-        edges = cut_lineage(visit(few, held, cells, "pid", _links(eps), "a bigint, b bigint", tile_rows, _reach(eps)).distinct())
-        held = cut_lineage(_merge(held, "comp", edges))
-        # all core points look only where another component is left
-        low = {r["cell"]: (r["lo"], r["hi"]) for r in held.groupBy("cell").agg(
-            F.min("comp").alias("lo"), F.max("comp").alias("hi")).collect()}
-        lo = np.array([low.get(c, (-1, -1))[0] for c in range(len(cells.pivots))])
-        hi = np.array([low.get(c, (-1, -1))[1] for c in range(len(cells.pivots))])
-
-        def settled(rows: pd.DataFrame, mask: np.ndarray) -> np.ndarray:
-            own = rows["comp"].to_numpy()[:, None]
-            return ((lo[None, :] == own) & (hi[None, :] == own)) | (lo < 0)[None, :]
-
-        going = cut_lineage(route(held.select("pid", "vec", "comp"), cells, _reach(eps), settled))
-        edges = cut_lineage(visit(going, held, cells, "pid", _links(eps), "a bigint, b bigint", tile_rows, _reach(eps)).distinct())
-        held = cut_lineage(_merge(held, "comp", edges))
-    starts = held.join(points.select("pid", "first"), "pid").groupBy("comp").agg(F.min("first").alias("start"))
+    core = degrees.where(F.col("degree") >= min_samples).select("pid")
+    edge = degrees.where((F.col("degree") < min_samples) & (F.col("degree") > F.col("w"))).select("pid")  # others have no neighbour
+
+    def local(block: Block) -> pd.DataFrame:
+        sets = _Sets(block.of["pid"])
+        _touch(block, block, sets, 0, eps)
+        comp = sets.names[sets.root[sets.at]]
+        return pd.DataFrame([{"vec": block.vec.tobytes(), "starts": block.starts.tobytes(), "dim": block.vec.shape[1],
+                              "pid": block.of["pid"].tobytes(), "comp": comp.tobytes(), "block": block.number}])
+
+    def links(left: Block, right: Block) -> pd.DataFrame:
+        sets = _Sets(np.concatenate([left.of["comp"], right.of["comp"]]))
+        return pd.DataFrame(_touch(left, right, sets, len(left.vec), eps), columns=["a", "b"], dtype="int64")
+
+    def adopt(left: Block, right: Block) -> pd.DataFrame:
+        found, every, comp = set(), np.arange(len(left.vec)), right.of["comp"]
+        for part, some in reached(left, every, right, eps):
+            for i, j in close(left, some, right, part, eps):
+                found.update(zip(left.of["pid"][i].tolist(), comp[j].tolist()))  # fewer than min_samples a row
+        return pd.DataFrame(sorted(found), columns=["pid", "comp"], dtype="int64")
+
+    names = ("pid", "comp")
+    packed = pack(points.join(core, "pid"), core.count(), "pid", rows=tile_rows)
+    held = cut_lineage(each(packed, ("pid",), local, "vec binary, starts binary, dim int, pid binary, comp binary, block bigint"))
+    listed = cut_lineage(each(held, names, lambda b: pd.DataFrame({n: b.of[n] for n in names}), "pid bigint, comp bigint"))
+    border = pack(points.join(edge, "pid"), edge.count(), "pid", rows=tile_rows)
+    touched = cut_lineage(meet(border, held, ("pid",), names, adopt, "pid bigint, comp bigint").distinct())
+    if held.count() > 1:  # rows are blocks
+        edges = cut_lineage(meet(held, held, names, names, links, "a bigint, b bigint", "l_block < r_block").distinct())
+        if not edges.isEmpty():
+            roots = cut_lineage(connected_components(edges).withColumnRenamed("node", "comp"))
+            listed, touched = (f.join(roots, "comp", "left").select("pid", F.coalesce("root", "comp").alias("comp")) for f in (listed, touched))
+    starts = listed.join(points.select("pid", "first"), "pid").groupBy("comp").agg(F.min("first").alias("start"))
     numbers = number_rows(starts, "start", name="cluster_id").select("comp", "cluster_id")
-    held = cut_lineage(held.join(numbers, "comp").select("pid", "vec", "cell", "salt", "cluster_id"))
-
-    def adopt(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return nothing("pid", "cluster_id")
-        right = right.sort_values("cluster_id")
-        mine, others, number = matrix(left["vec"]), matrix(right["vec"]), right["cluster_id"].to_numpy()
-        best = np.full(len(left), -1, dtype="int64")
-        for part in blocks(len(left)):
-            near = within(mine[part], others, eps)
-            best[part] = np.where(near.any(1), number[near.argmax(1)], -1)
-        return pd.DataFrame({"pid": left["pid"].to_numpy(), "cluster_id": best})[best >= 0]
-
-    edge_points = tiles.join(core, "pid", "left_anti").select("pid", "vec")
-    going = cut_lineage(route(edge_points, cells, _reach(eps)))
-    border = visit(going, held, cells, "pid", adopt, "pid bigint, cluster_id bigint", tile_rows, _reach(eps)).groupBy("pid").agg(
-        F.min("cluster_id").alias("cluster_id"))
-    return held.select("pid", "cluster_id").unionByName(border)
+    return listed.unionByName(touched).join(numbers, "comp").groupBy("pid").agg(F.min("cluster_id").alias("cluster_id"))

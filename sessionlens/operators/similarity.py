@@ -4,12 +4,15 @@ Vectors are standardised with history statistics and scaled to unit length.
 Matches are ordered by similarity (compared at nine decimals), then by session
 id and history row.
 
-Two plans with equal results:
+Plans with equal results:
 
 * history that a size check proves small: broadcast it and answer each batch of
   queries by one matrix product, without any shuffle of the queries;
 * larger history: distinct vectors in pivot tiles (``tiles``), a first look at
   the nearest cell for a lower bound and a second at the cells that may beat it.
+  Where these are many, as in high dimensions, copying each query to every cell
+  would outgrow the tables; there packed blocks meet without a shuffle
+  (``kd_blocks``).
 
 Either way each distinct history vector keeps only its k first sessions: no
 other one can be among the k best.
@@ -22,11 +25,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sessionlens.functions.numbers import clamp01, fixed, shortest
+from sessionlens.functions.stats import number_rows
+from sessionlens.operators.kd_blocks import Block, meet, pack
 from sessionlens.operators.tiles import TILE_ROWS, blocks, home_only, matrix, nearest, nothing, route, tile_points, visit
 from sessionlens.schema import SIMILARITY_FEATURES
 from sessionlens.session import cut_lineage
 
 BROADCAST_BYTES = 64 << 20  # history that is sent to all tasks: vectors and texts
+VISIT_BYTES = 256 << 20  # visits of a second look that are made whatever their share
+VISIT_SHARE = 0.1  # of all queries x cells; beyond it tiles no longer pay
+HISTORY_BLOCK = 1 << 15  # history rows of a packed block
 MATCH = "array<struct<session_id: string, similarity_score: double, failure_type: string, summary: string>>"
 
 
@@ -164,15 +172,38 @@ def _lift(vec: str, extra: int) -> str:
     return f"concat({vec}, case when forall({vec}, x -> x = 0) then array({own}) else array(0.0D, 0.0D) end)"
 
 
-def _tiled_matches(queries: DataFrame, members: DataFrame, k: int, dimension: int, tile_rows: int,
-                   pivots: int | None) -> DataFrame:
-    """Top-k per distinct query vector; returns (vec, similar)."""
-    points = cut_lineage(
-        members.where("rank = 1").selectExpr(f"{_lift('vec', 0)} vec", "session_id", "row_id",
-                                             "monotonically_increasing_id() pid"))
+def _block_matches(asked: DataFrame, points: DataFrame, k: int, rows: int = HISTORY_BLOCK) -> DataFrame:
+    """(qid, pid, score) of the k best of ``points`` for each of ``asked``, by blocks that all meet."""
+    zone = F.pmod(F.xxhash64("vec"), F.lit(1 << 20)).cast("int").alias("zone")
+    known = cut_lineage(number_rows(points.select("pid", "vec", "session_id", "row_id"), "session_id", "row_id", "pid", name="ord").select("pid", "vec", "ord"))
+    left = pack(asked.select("qid", "vec", zone), asked.count(), "qid", rows=rows // 2)
+    right = pack(known.select("ord", "vec", zone), known.count(), "ord", rows=rows)
+
+    def compare(queries: Block, history: Block) -> pd.DataFrame:
+        order = history.of["ord"].argsort()
+        i, j, s = _best(queries.vec, history.vec[order], k)
+        return pd.DataFrame({"qid": queries.of["qid"][i], "ord": history.of["ord"][order[j]], "score": s})
+
+    found = meet(left, right, ("qid",), ("ord",), compare, "qid bigint, ord bigint, score double")
+    best = Window.partitionBy("qid").orderBy(F.desc("score"), "ord")
+    top = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+    return top.join(known.select("pid", "ord"), "ord").select("qid", "pid", "score")
+
+
+def _visits(bounded: DataFrame, cells, radius) -> int:
+    """How many cells all queries together must look into."""
+    def run(batches):
+        n = 0
+        for batch in batches:
+            points = matrix(batch["vec"])
+            n += sum(int(cells.reach(points[part], radius(batch.iloc[part])).sum()) for part in blocks(len(batch)))
+        yield pd.DataFrame({"n": [n]})
+    return bounded.mapInPandas(run, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
+def _tile_matches(asked: DataFrame, points: DataFrame, k: int, tile_rows: int, pivots: int | None) -> DataFrame:
+    """(qid, pid, score) of the k best by pivot tiles, unless they would be visited too often."""
     tiles, cells = tile_points(points, points.count(), tile_rows, pivots)
-    asked = cut_lineage(queries.select(F.col("vec").alias("query")).distinct()
-                        .selectExpr("query", "monotonically_increasing_id() qid", f"{_lift('query', 1)} vec"))
     schema = "qid bigint, pid bigint, session_id string, row_id bigint, score double"
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -191,6 +222,8 @@ def _tiled_matches(queries: DataFrame, members: DataFrame, k: int, dimension: in
     kth = first.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("qid", F.col("score").alias("kth"))
     bounded = narrow.join(kth, "qid", "left").withColumn("kth", F.coalesce("kth", F.lit(-1.0)))
 
+    dimension = len(cells.pivots[0])
+
     def radius(rows: pd.DataFrame) -> np.ndarray:
         return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (rows["kth"].to_numpy() - 2e-9)))
 
@@ -200,9 +233,23 @@ def _tiled_matches(queries: DataFrame, members: DataFrame, k: int, dimension: in
         seen[np.arange(len(rows)), nearest(matrix(rows["vec"]), cells.pivots)[0]] = True
         return seen & (cells.salts <= 1)[None, :]
 
+    visits = _visits(bounded, cells, radius)
+    if visits * (8 * dimension + 32) > VISIT_BYTES and visits > VISIT_SHARE * asked.count() * len(cells.pivots):
+        return _block_matches(asked, points, k)
     onward = cut_lineage(route(bounded, cells, radius, at_home))
     second = visit(onward, tiles, cells, "qid", compare, schema, tile_rows, radius, seen=True)
-    top = first.unionByName(second).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+    return first.unionByName(second).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("qid", "pid", "score")
+
+
+def _tiled_matches(queries: DataFrame, members: DataFrame, k: int, dimension: int, tile_rows: int,
+                   pivots: int | None, only_blocks: bool = False) -> DataFrame:
+    """Top-k per distinct query vector; returns (vec, similar)."""
+    points = cut_lineage(
+        members.where("rank = 1").selectExpr(f"{_lift('vec', 0)} vec", "session_id", "row_id",
+                                             "monotonically_increasing_id() pid"))
+    asked = cut_lineage(queries.select(F.col("vec").alias("query")).distinct()
+                        .selectExpr("query", "monotonically_increasing_id() qid", f"{_lift('query', 1)} vec"))
+    top = _block_matches(asked, points, k) if only_blocks else _tile_matches(asked, points, k, tile_rows, pivots)
     # from vectors back to the sessions that share them
     owners = points.select("pid", F.slice("vec", 1, dimension).alias("vec")).join(top, "pid").select("qid", "vec", "score")
     rows = owners.join(members.select("vec", "session_id", "row_id", "failure_type", "summary"), "vec")
@@ -222,13 +269,13 @@ def top_matches(queries: DataFrame, history: DataFrame, k: int = 5, plan: str =
     """Add ``similar`` to ``queries``; both sides carry a unit vector ``vec``.
 
     ``history`` has session_id, row_id, failure_type, summary and vec.  ``plan`` is
-    ``auto`` (broadcast behind a size check), ``broadcast`` or ``tiles``.
+    ``auto`` (broadcast behind a size check), ``broadcast``, ``tiles`` or ``blocks``.
     """
     nothing = queries.withColumn("similar", F.array().cast(MATCH))
     if k <= 0:
         return nothing
     members = _first_members(history, k)
-    if plan != "tiles":
+    if plan not in ("tiles", "blocks"):
         # the bytes of what would be sent are added up; only a history that fits is collected
         members = cut_lineage(members)
         text = " + ".join(f"coalesce(octet_length({c}), 0L)" for c in ("session_id", "failure_type", "summary"))
@@ -244,7 +291,7 @@ def top_matches(queries: DataFrame, history: DataFrame, k: int = 5, plan: str =
     sample = members.select("vec").first()
     if sample is None:
         return nothing
-    answers = _tiled_matches(queries, members, k, len(sample["vec"]), tile_rows, pivots)
+    answers = _tiled_matches(queries, members, k, len(sample["vec"]), tile_rows, pivots, plan == "blocks")
     return queries.join(answers, "vec", "left")
 
 

@@ -237,3 +237,47 @@ def test_the_best_matches_of_a_large_history_are_found_in_blocks():
     assert (j.reshape(64, 3) == want).all() and (i.reshape(64, 3) == np.arange(64)[:, None]).all()
     assert np.array_equal(s.reshape(64, 3), np.take_along_axis(scores, want, 1))
     assert peak < scores.nbytes  # 31 MB; the product of all rows was held several times
+
+
+def test_blocks_that_meet_give_the_matches_of_tiles_and_nothing_is_copied_per_tile(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(int(i), str(i), int(i), None, None, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(rng.normal(size=(400, 24)).round(1))]
+    rows += [(400 + i, str(400 + i), 400 + i, None, None, rows[i][5]) for i in range(20)]
+    items = cut_lineage(spark.createDataFrame(rows, "vec_id int, session_id string, row_id bigint, failure_type string, summary string, vec array<double>"))
+
+    def answers(**options):
+        found = similarity.top_matches(items.select("vec_id", "vec"), items.drop("vec_id"), 4, **options)
+        return sorted((r["vec_id"], [(m["session_id"], round(m["similarity_score"], 8)) for m in r["similar"]]) for r in found.collect())
+
+    want, routed = answers(), []
+    monkeypatch.setattr(similarity, "HISTORY_BLOCK", 64)
+    monkeypatch.setattr(similarity._block_matches, "__defaults__", (64,))
+    assert answers(plan="blocks") == want
+    monkeypatch.setattr(similarity, "VISIT_BYTES", 0)
+    monkeypatch.setattr(similarity, "route", lambda *a, **b: routed.append(1) or tiles.route(*a, **b))
+    assert answers(plan="tiles", tile_rows=40, pivots=10) == want
+    assert not routed  # in so many dimensions a second look would copy every query to nearly every cell
+
+
+def test_points_of_blocks_meet_without_a_shuffle_and_lose_no_neighbour(spark):
+    from sessionlens.operators import kd_blocks
+    rng = np.random.default_rng(4)
+    x = np.unique(np.vstack([rng.normal(size=(900, 3)).round(2), rng.integers(0, 3, (300, 3)).astype(float)]), axis=0)
+    points = cut_lineage(spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "pid bigint, vec array<double>"))
+    packed = kd_blocks.pack(kd_blocks.zoned(points, 4), len(x), "pid", rows=300)
+    assert packed.count() >= 4
+
+    def count(left, right):
+        total = np.zeros(len(left.vec), int)
+        for part, rows in kd_blocks.reached(left, np.arange(len(left.vec)), right, 0.5):
+            assert len(rows) and part.stop - part.start <= kd_blocks.LEAF_ROWS
+            for i, j in kd_blocks.close(left, rows, right, part, 0.5):
+                total += np.bincount(i, minlength=len(total))
+        return pd.DataFrame({"pid": left.of["pid"], "n": total})
+
+    met = kd_blocks.meet(packed, packed, ("pid",), ("pid",), count, "pid bigint, n bigint")
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    found = {r["pid"]: r["n"] for r in met.groupBy("pid").agg(F.sum("n").alias("n")).collect()}
+    want = (np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= 0.5).sum(1)
+    assert [found[i] for i in range(len(x))] == want.tolist()
