@@ -27,12 +27,14 @@ def _row_numbers(bad: DataFrame, every: DataFrame, first: int) -> DataFrame:
     """Row numbers within the file for the rows in ``bad``.
 
     Positions in a block are shifted by the rows of the earlier blocks; only bad
-    rows are joined, so reading good data never pays for this.
+    rows are joined, so reading good data never pays for this.  The blocks (one row
+    per split of a file) are the side that is broadcast: the size of parsed text is
+    estimated far too small, and the bad rows would pass through the driver.
     """
     blocks = every.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("row_id").alias("base"))
     earlier = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
     placed = blocks.withColumn("earlier", earlier)
-    return bad.join(placed, ["file", "block"]).selectExpr(
+    return bad.join(F.broadcast(placed), ["file", "block"]).selectExpr(
         f"earlier + row_id - base + {first} row_number", "message", "file")
 
 

@@ -539,3 +539,12 @@ def test_stream_gives_the_batch_diagnoses(spark, tmp_path):
 def test_with_issues_needs_no_action_on_valid_rows(sessions):
     assert with_issues(sessions(record(1))).first()["issues"] == []
     assert len(FEATURES) == 31
+
+
+def test_bad_rows_are_never_broadcast(spark, tmp_path):
+    path = tmp_path / "bad.jsonl"
+    path.write_text("".join('{"session_id": "%d"}\n' % i for i in range(50)) + "\n{}\n")
+    issues = readers.read_sessions(spark, str(path)).issues
+    assert [r["row_number"] for r in issues.orderBy("row_number").collect()] == [*range(1, 51), 52]
+    plan = issues._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
