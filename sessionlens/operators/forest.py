@@ -30,6 +30,7 @@ from sessionlens.session import cut_lineage
 TASK_ROWS = 1 << 16  # rows of a node that one task finishes
 HISTOGRAM_BYTES = 64 << 20
 BROADCAST_BYTES = 128 << 20  # a larger forest is brought to the rows by a shuffle
+WALK_ROWS = 1 << 15  # rows that meet a copy of their subtree in one task
 #: Poisson(1): chance of at most 0, 1, 2 ... copies
 COPIES = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
 NODES = "feature array<int>, cut array<double>, left array<int>, right array<int>, share array<double>"
@@ -312,20 +313,41 @@ class Forest:
 
         return frame.withColumn("prediction", predict(vector_to_array("features")))
 
-    def _shuffled(self, frame: DataFrame, tops: list) -> DataFrame:
-        """Rows meet the subtrees of their nodes in a shuffle; the shares of a row are added up again."""
+    def _spread(self, load: DataFrame) -> DataFrame:
+        """The subtrees that rows enter, one copy for each ``salt`` of ``load`` (tree, node, chunks)."""
+        return self.subtrees.join(F.broadcast(load), ["tree", "node"]).withColumn(
+            "salt", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+
+    def _shuffled(self, frame: DataFrame, tops: list, walk_rows: int = WALK_ROWS) -> DataFrame:
+        """Rows meet the subtrees of their nodes in a shuffle; the shares of a row are added up again.
+
+        A subtree is copied only as often as its rows need more than one task.
+        """
         classes, prior = len(self.prior), self.prior
         rows = cut_lineage(frame.withColumn("_n", F.monotonically_increasing_id()))
         asked = rows.select("_n", vector_to_array("features").alias("x"))
 
-        def enter(batches):
+        def counted(batches):
             for b in batches:
                 if len(b):
                     x = np.vstack(b["x"].to_numpy()).astype(np.float32).astype(float)
+                    found = [(tree, *np.unique(descend(split, x), return_counts=True)) for tree, (split, _) in enumerate(tops)]
+                    yield pd.DataFrame([(t, int(node), int(n)) for t, nodes, sizes in found for node, n in zip(nodes, sizes)], columns=["tree", "node", "n"])
+
+        load = cut_lineage(asked.mapInPandas(counted, "tree int, node int, n bigint").groupBy("tree", "node").agg(
+            F.ceil(F.sum("n") / walk_rows).cast("int").alias("chunks")))  # one row per end node of the tops
+        chunks = {(r["tree"], r["node"]): r["chunks"] for r in load.where("chunks > 1").collect()}
+
+        def enter(batches):
+            for b in batches:
+                if len(b):
+                    short = np.vstack(b["x"].to_numpy()).astype(np.float32)
+                    x, packed, number = short.astype(float), [v.tobytes() for v in short], b["_n"].to_numpy()
                     for tree, (split, leaves) in enumerate(tops):
                         at = descend(split, x)
                         known = [(leaves[n] if n in leaves else None) for n in at.tolist()]
-                        yield pd.DataFrame({"_n": b["_n"], "x": b["x"], "tree": tree, "node": at.astype("int32"), "share": known})
+                        salt = number % np.array([chunks.get((tree, n), 1) for n in at.tolist()])
+                        yield pd.DataFrame({"_n": number, "x": packed, "tree": tree, "node": at.astype("int32"), "salt": salt.astype("int32"), "share": known})
 
         def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left):
@@ -333,14 +355,13 @@ class Forest:
             if not len(right):
                 return pd.DataFrame({"_n": left["_n"], "share": [s if s is not None else prior for s in left["share"]]})
             sub = right.iloc[0]
-            end = descend(tuple(sub[c] for c in ("feature", "cut", "left", "right")), np.vstack(left["x"].to_numpy()).astype(np.float32).astype(float))
+            x = np.frombuffer(b"".join(left["x"]), np.float32).reshape(len(left), -1).astype(float)
+            end = descend(tuple(sub[c] for c in ("feature", "cut", "left", "right")), x)
             return pd.DataFrame({"_n": left["_n"], "share": list(np.asarray(sub["share"]).reshape(-1, classes)[end])})
 
-        salted = F.pmod("_n", F.lit(64)).cast("int")
-        entered = asked.mapInPandas(enter, "_n bigint, x array<double>, tree int, node int, share array<double>").withColumn("salt", salted)
-        spread = self.subtrees.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
         keys = ("tree", "node", "salt")
-        shares = entered.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(walk, "_n bigint, share array<double>")
+        entered = asked.mapInPandas(enter, "_n bigint, x binary, tree int, node int, salt int, share array<double>")
+        shares = entered.groupBy(*keys).cogroup(self._spread(load).groupBy(*keys)).applyInPandas(walk, "_n bigint, share array<double>")
         sums = shares.groupBy("_n").agg(*(F.sum(F.col("share")[i]).alias(f"s{i}") for i in range(classes)))
         best = sums.select("_n", (F.array_position(F.array(*(f"s{i}" for i in range(classes))), F.greatest(*(f"s{i}" for i in range(classes)), F.lit(-1.0))) - 1)
                            .cast("double").alias("prediction"))

@@ -548,3 +548,16 @@ def test_bad_rows_are_never_broadcast(spark, tmp_path):
     assert [r["row_number"] for r in issues.orderBy("row_number").collect()] == [*range(1, 51), 52]
     plan = issues._jdf.queryExecution().executedPlan().toString()
     assert "BuildRight" in plan and "BuildLeft" not in plan
+
+
+def test_a_subtree_is_copied_only_as_often_as_its_rows_need(spark):
+    frame, x, label = learnable(spark)
+    model = forest.RandomForest(trees=4, seed=3, task_rows=400).fit(frame.repartition(4))
+    tops = [((t.feature, t.value, t.left, t.right), t.share) for t in model.tops]
+    spread, copies = model._spread, []
+    model._spread = lambda load: copies.append(spread(load).count()) or spread(load)
+    rows = {r["row"]: r["prediction"] for r in model.transform(frame).collect()}
+    for walk_rows in (1 << 15, 100):
+        assert rows == {r["row"]: r["prediction"] for r in model._shuffled(frame, tops, walk_rows).collect()}
+    shipped = sum(len(t.shipped) for t in model.tops)
+    assert copies[0] == shipped and shipped < copies[1] <= len(x) * 4 / 100 + shipped  # not 64 of each
