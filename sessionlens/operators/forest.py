@@ -30,6 +30,10 @@ from sessionlens.session import cut_lineage
 TASK_ROWS = 1 << 16  # rows of a node that one task finishes
 HISTOGRAM_BYTES = 64 << 20
 BROADCAST_BYTES = 128 << 20  # a larger forest is brought to the rows by a shuffle
+TOGETHER_ROWS = 1 << 19  # rows of the nodes that a task grows side by side
+STEP_ROWS = 1 << 14  # rows that a step looks at, unless one node has more
+DRAWN = 64  # orders of features drawn at once
+INFINITE = 0xFF800000  # keys above it are no numbers
 WALK_ROWS = 1 << 15  # rows that meet a copy of their subtree in one task
 #: Poisson(1): chance of at most 0, 1, 2 ... copies
 COPIES = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
@@ -55,46 +59,192 @@ def gini_gain(left: np.ndarray, total: np.ndarray) -> np.ndarray:
     return np.where((n_left > 0) & (n_right > 0), gain, -1.0)
 
 
+def ordered(x: np.ndarray) -> np.ndarray:
+    """Whole numbers that sort as the float32 values do; what is no number comes last."""
+    x = np.where(np.isnan(x), np.float32(np.nan), np.asarray(x, np.float32) + np.float32(0))
+    bits = x.view(np.uint32)
+    return np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31))
+
+
+def value_of(key: np.ndarray) -> np.ndarray:
+    """The values behind :func:`ordered`."""
+    return np.where(key >> 31, key & np.uint32(0x7FFFFFFF), ~key).view(np.float32).astype(float)
+
+
+class Grower:
+    """Whole trees on raw values, grown side by side: a step splits the next node of every tree.
+
+    A tree takes its nodes from the left, parents first, and each mixed node draws the
+    next order of features from the tree's own random numbers, so what grows beside a
+    tree does not change it.  Nodes of one table are runs of ``order``; a tree of r rows
+    has room for 2 r nodes (feature -1 is a leaf).
+    """
+
+    def __init__(self, groups: list[tuple], classes: int, randoms: list[np.random.Generator]):
+        """``groups``: (values, label, weight) of each tree; the list is emptied."""
+        sizes = np.array([len(label) for _, label, _ in groups])
+        n, self.d, self.classes, self.randoms = int(sizes.sum()), groups[0][0].shape[1], classes, randoms
+        self.few = max(1, int(math.sqrt(self.d)))
+        self.base = 2 * (sizes.cumsum() - sizes)
+        self.used = np.ones(len(sizes), int)
+        self.flat, label, weight = np.empty(n * self.d, np.uint32), np.empty(n, np.int32), np.empty(n, np.int32)
+        self.total = np.zeros((2 * n, classes), np.int32)
+        groups.reverse()
+        for node, size in zip(self.base.tolist(), sizes.tolist()):
+            at = node // 2
+            x, label[at:at + size], weight[at:at + size] = groups.pop()
+            self.flat[at * self.d:(at + size) * self.d] = ordered(x).ravel()
+            self.total[node] = np.bincount(label[at:at + size], weight[at:at + size], classes)
+        self.gaps = self.flat.max() > INFINITE
+        self.label_bits = classes.bit_length()
+        self.tail = self.label_bits + int(weight.max()).bit_length()
+        self.cell = (weight << self.label_bits) + label
+        self.order = np.arange(n, dtype=np.int32)
+        self.feature, self.left, self.next = (np.full(2 * n, -1, np.int32) for _ in range(3))
+        self.begin, self.size = np.zeros(2 * n, np.int32), np.zeros(2 * n, np.int32)
+        self.low, self.high = np.zeros(2 * n, np.uint32), np.zeros(2 * n, np.uint32)
+        self.gains = np.zeros((len(sizes), self.d))
+        self.parts = -(-self.d // self.few)
+        self.drawn, self.part = np.zeros((len(sizes), DRAWN, self.parts, self.few), np.int32), np.zeros(len(sizes), int)
+        self.draws = np.full(len(sizes), DRAWN)
+        self.begin[self.base], self.size[self.base] = self.base // 2, sizes
+        self.now = np.where((self.total[self.base] > 0).sum(1) > 1, self.base, -1)  # the next mixed node of each tree
+
+    def run(self) -> None:
+        while len(who := np.flatnonzero(self.now >= 0)):
+            large = who[self.size[self.now[who]] > STEP_ROWS // len(who)]
+            self._split(large[:1] if len(large) else who)
+
+    def _split(self, who: np.ndarray) -> None:
+        """Split the next nodes of the trees ``who``; one that its first features cannot part waits for the next step with further ones."""
+        for g in who[self.draws[who] == DRAWN].tolist():  # the same as one permutation after the other
+            order = self.randoms[g].permuted(np.tile(np.arange(self.d), (DRAWN, 1)), axis=1)
+            self.drawn[g] = np.pad(order, ((0, 0), (0, self.parts * self.few - self.d)), mode="edge").reshape(DRAWN, self.parts, self.few)
+            self.draws[g] = 0
+        node, drawn = self.now[who], self.drawn[who, self.draws[who], self.part[who]]
+        found = self._best(who, node, drawn)
+        if not found.all():
+            late, node = who[~found], node[~found]
+            some = self._first_part(late, node)
+            self.part[late] = some
+            self.now[late[some < 0]] = self.next[node[some < 0]]  # equal in all features: a leaf
+            found[~found] = some < 0
+        self.draws[who[found]] += 1
+        self.part[who[found]] = 0
+
+    def _first_part(self, who: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Which part of the features drawn is the first to hold one that parts the rows; -1 for none."""
+        size = self.size[node]
+        start = size.cumsum() - size
+        key = self.flat.reshape(-1, self.d)[self.order[(self.begin[node] - start).repeat(size) + np.arange(size.sum())]]
+        low = np.minimum.reduceat(key, start)
+        high = np.maximum.reduceat(np.where(key > INFINITE, 0, key) if self.gaps else key, start)
+        able = np.take_along_axis(high > low, self.drawn[who, self.draws[who]].reshape(len(who), -1).astype(np.int64), 1)
+        able = able.reshape(len(who), self.parts, self.few).any(2)
+        return np.where(able.any(1), able.argmax(1), -1)
+
+    def _best(self, who: np.ndarray, node: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+        """Split those nodes that a drawn feature can part, at the best place; which they are."""
+        begin, size, total = self.begin[node], self.size[node], self.total[node].astype(np.int64)
+        end, alone = size.cumsum(), len(who) == 1
+        n = int(end[-1])
+        of = np.zeros(1, np.int64) if alone else np.arange(len(who)).repeat(size)
+        place = (begin - end + size)[of] + np.arange(n)
+        rows = self.order[place]
+        start = rows * np.int64(self.d)
+        # a row per feature: node, value, weight and label in one number
+        packed = self.flat[start + drawn.T[:, of]].astype(np.int64)
+        packed <<= self.tail
+        packed += (of << (32 + self.tail)) + self.cell[rows]
+        packed.sort(1)
+        value = packed >> self.tail  # and node
+        parts = np.zeros(packed.shape, bool)
+        np.greater(value[:, 1:], value[:, :-1], out=parts[:, :-1])
+        if self.gaps:
+            parts[:, :-1] &= (value[:, 1:] & 0xFFFFFFFF) <= INFINITE
+        parts[:, end - 1] = False
+        i = parts.T.ravel().nonzero()[0]  # by rows below, then in the order drawn
+        split = np.zeros(len(who), bool)
+        if not len(i):
+            return split
+        at = i // len(parts)
+        f = i - at * len(parts)
+        s = of if alone else of[at]
+        i = at + f * n
+        packed &= (1 << self.tail) - 1
+        label, weight = packed & ((1 << self.label_bits) - 1), packed >> self.label_bits
+        # counts of several classes share a number; own: rows of the same class so far
+        bits = int(total.max()).bit_length()
+        ones, many = (1 << bits) - 1, 63 // bits
+        counts = []
+        for k in range(0, self.classes, many):
+            shift, add = label * bits, weight
+            if self.classes > many:
+                here = (label >= k) & (label < k + many)
+                shift, add = np.where(here, (label - k) * bits, 0), np.where(here, weight, 0)
+            whole = (total[:, k:k + many] << (np.arange(min(many, self.classes - k)) * bits)).sum(1)
+            below = (add << shift).cumsum(1)
+            below -= (whole.cumsum() - whole)[of]
+            found = (below >> shift) & ones
+            own = np.where(here, found, own) if k else found
+            counts.append(below.ravel())
+        weights, squares = total.sum(1), (total * total).sum(1)
+        before = (squares.cumsum() - squares)[s]
+        n_below = weight.cumsum(1).ravel()[i] - (weights.cumsum() - weights)[s]
+        square_below = (weight * (2 * own - weight)).cumsum(1).ravel()[i] - before
+        crossed = (weight * total.ravel()[label + of * self.classes]).cumsum(1).ravel()[i] - before
+        gain = square_below / n_below + (squares[s] - 2 * crossed + square_below) / (weights[s] - n_below) - (squares / weights)[s]
+        if alone:
+            hit = gain.argmax()[None]
+        else:
+            new = np.concatenate(([True], s[1:] > s[:-1])).nonzero()[0]
+            most = np.maximum.reduceat(gain, new).repeat(np.concatenate((new[1:], [len(s)])) - new)
+            hit = (gain == most).nonzero()[0]
+            s = s[hit]
+            first = np.concatenate(([True], s[1:] > s[:-1]))
+            hit, s = hit[first], s[first]
+        f, at = f[hit], i[hit]
+        low, high = value.ravel()[at] & 0xFFFFFFFF, value.ravel()[at + 1] & 0xFFFFFFFF
+        left_rows = at - f * n - (end - size)[s] + 1
+        feature = drawn[s, f]
+        below = np.hstack([(c[at, None] >> (np.arange(min(many, self.classes - j * many)) * bits)) & ones for j, c in enumerate(counts)])
+        split[s] = True
+        to, goal = np.zeros(len(who), np.int64), np.full(len(who), 1 << 32)
+        to[s], goal[s] = feature, low
+        above = self.flat[start + to[of]] > goal[of]
+        self.order[place] = np.concatenate((rows[~above], rows[above])) if alone else rows[(2 * of + above).astype(np.uint16).argsort(kind="stable")]
+        who, node = who[s], node[s]
+        self.gains[who, feature] += np.maximum(gain[hit], 0.0)
+        self.feature[node], self.low[node], self.high[node] = feature, low, high
+        self.left[node] = self.used[who]
+        left = self.base[who] + self.used[who]
+        right = left + 1
+        self.used[who] += 2
+        self.total[left], self.total[right] = below, self.total[node] - below
+        self.begin[left], self.begin[right] = self.begin[node], self.begin[node] + left_rows
+        self.size[left], self.size[right] = left_rows, self.size[node] - left_rows
+        mixed_left, mixed_right = ((self.total[c] > 0).sum(1) > 1 for c in (left, right))
+        after = self.next[node]
+        self.next[right] = after
+        self.next[left] = np.where(mixed_right, right, after)
+        self.now[who] = np.where(mixed_left, left, np.where(mixed_right, right, after))
+        return split
+
+    def tree(self, g: int) -> tuple[dict, np.ndarray]:
+        """The nodes of a tree in arrays and the gain per feature."""
+        room = slice(self.base[g], self.base[g] + self.used[g])
+        low, high, left, total = value_of(self.low[room]), value_of(self.high[room]), self.left[room], self.total[room]
+        with np.errstate(invalid="ignore"):
+            middle = low + (high - low) / 2
+        return {"feature": self.feature[room], "cut": np.where((low <= middle) & (middle < high), middle, low), "left": left,
+                "right": np.where(left < 0, left, left + 1), "share": total / total.sum(1, keepdims=True)}, self.gains[g]
+
+
 def grow(x: np.ndarray, label: np.ndarray, weight: np.ndarray, classes: int, random: np.random.Generator) -> tuple[dict, np.ndarray]:
-    """A whole tree on raw values: nodes in arrays (feature -1 is a leaf) and the gain per feature."""
-    d = x.shape[1]
-    few = max(1, int(math.sqrt(d)))
-    held = np.zeros((len(x), classes))
-    held[np.arange(len(x)), label] = weight
-    nodes: dict[str, list] = {"feature": [], "cut": [], "left": [], "right": [], "share": []}
-    gains = np.zeros(d)
-    stack = [(np.arange(len(x)), -1, "left")]
-    while stack:
-        rows, parent, side = stack.pop()
-        at = len(nodes["feature"])
-        if parent >= 0:
-            nodes[side][parent] = at
-        counts = held[rows]
-        total = counts.sum(0)
-        best = (1e-12, -1, 0.0)
-        if (total > 0).sum() > 1:
-            order = random.permutation(d)
-            for first in range(0, d, few):
-                some = order[first:first + few]
-                values = x[np.ix_(rows, some)]
-                by = values.argsort(0, kind="stable")
-                values = np.take_along_axis(values, by, 0)
-                gain = gini_gain(counts[by].cumsum(0)[:-1], total)
-                gain = np.where(values[1:] > values[:-1], gain, -1.0)
-                if gain.size and gain.max() > -1.0:  # a split there is, even if it gains nothing
-                    i, j = np.unravel_index(int(gain.argmax()), gain.shape)
-                    low, high = float(values[i, j]), float(values[i + 1, j])
-                    middle = low + (high - low) / 2
-                    best = (max(float(gain[i, j]), 0.0), int(some[j]), middle if low <= middle < high else low)
-                    break
-        for name, value in (("feature", best[1]), ("cut", best[2]), ("left", -1), ("right", -1), ("share", total / total.sum())):
-            nodes[name].append(value)
-        if best[1] >= 0:
-            gains[best[1]] += best[0]
-            below = x[rows, best[1]] <= best[2]
-            stack.append((rows[~below], at, "right"))
-            stack.append((rows[below], at, "left"))
-    return nodes, gains
+    """A whole tree on raw values (float32): nodes in arrays (feature -1 is a leaf) and the gain per feature."""
+    grower = Grower([(x, label, weight)], classes, [random])
+    grower.run()
+    return grower.tree(0)
 
 
 class Top:
@@ -180,16 +330,38 @@ class RandomForest:
                             yield pd.DataFrame([(t, n, x[i].astype(np.float32).tobytes(), label[i].tobytes(), w[i].astype(np.int32).tobytes()) for t, n, i in found],
                                                columns=["tree", "node", "x", "label", "w"])
 
-        def finish(group: pd.DataFrame) -> pd.DataFrame:
-            tree, node = int(group["tree"].iloc[0]), int(group["node"].iloc[0])
-            x = np.concatenate([np.frombuffer(v, np.float32) for v in group["x"]]).reshape(-1, d).astype(float)
-            label, w = (np.concatenate([np.frombuffer(v, np.int32) for v in group[c]]) for c in ("label", "w"))
-            nodes, gain = grow(x, label, w, classes, np.random.default_rng([seed, tree, node]))
-            share = np.concatenate(nodes.pop("share"))
-            return pd.DataFrame({"tree": [tree], "node": [node], **{k: [v] for k, v in nodes.items()}, "share": [share], "gain": [gain]})
+        def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            keys, groups, pieces = [], [], []
+
+            def close():
+                x, label, w = (np.concatenate(c) for c in zip(*pieces))
+                groups.append((x.reshape(-1, d), label, w))
+                pieces.clear()
+
+            def grown():
+                grower = Grower(groups, classes, [np.random.default_rng([seed, tree, node]) for tree, node in keys])
+                grower.run()
+                for i, (tree, node) in enumerate(keys):
+                    nodes, gain = grower.tree(i)
+                    yield pd.DataFrame({"tree": [tree], "node": [node], **{k: [v.ravel()] for k, v in nodes.items()}, "gain": [gain]})
+                keys.clear()
+
+            for b in batches:
+                for tree, node, x, label, w in zip(b["tree"].tolist(), b["node"].tolist(), b["x"], b["label"], b["w"]):
+                    if keys and keys[-1] != (tree, node):
+                        close()
+                        if sum(len(g[1]) for g in groups) >= TOGETHER_ROWS:
+                            yield from grown()
+                    if not keys or keys[-1] != (tree, node):
+                        keys.append((tree, node))
+                    pieces.append((np.frombuffer(x, np.float32), np.frombuffer(label, np.int32), np.frombuffer(w, np.int32)))
+            if keys:
+                close()
+                yield from grown()
 
         shipped = blocks.mapInPandas(ship, "tree int, node int, x binary, label binary, w binary")
-        subtrees = cut_lineage(shipped.groupBy("tree", "node").applyInPandas(finish, f"tree int, node int, {NODES}, gain array<double>"))
+        met = shipped.repartition("tree", "node").sortWithinPartitions("tree", "node")
+        subtrees = cut_lineage(met.mapInPandas(finish, f"tree int, node int, {NODES}, gain array<double>"))
         for r in subtrees.selectExpr("tree", "posexplode(gain) as (f, g)").groupBy("tree", "f").agg(F.sum("g").alias("g")).collect():
             gains[r["tree"], r["f"]] += r["g"]  # trees x features
         share = gains / np.where(gains.sum(1, keepdims=True) > 0, gains.sum(1, keepdims=True), 1.0)
@@ -198,6 +370,8 @@ class RandomForest:
     def _grow_tops(self, blocks: DataFrame, opened, tops: list[Top], gains: np.ndarray, cuts: list[np.ndarray], classes: int) -> None:
         d, seed = len(cuts), self.seed
         few = max(1, int(math.sqrt(d)))
+        # every task sends one histogram per node: no more tasks than cores, or their bytes grow with rows times nodes
+        together = blocks.coalesce(blocks.sparkSession.sparkContext.defaultParallelism)
         waiting = [(t, 0, False) for t in range(len(tops))]  # (tree, node, look at all features)
         while waiting:
             wide = waiting[0][2]
@@ -239,7 +413,7 @@ class RandomForest:
                     out.append((i, int(f), int(c), float(gain[f, c]), left[f, c].tolist(), (total - left[f, c]).tolist()))
                 yield pd.DataFrame(out, columns=["slot", "f", "c", "gain", "below", "above"])
 
-            parts = blocks.mapInPandas(count, "slot int, h binary").repartition("slot")
+            parts = together.mapInPandas(count, "slot int, h binary").repartition("slot")
             chosen = parts.mapInPandas(choose, "slot int, f int, c int, gain double, below array<double>, above array<double>").collect()  # one row per node
             keys = list(drawn)
             for r in chosen:

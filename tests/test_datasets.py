@@ -470,6 +470,68 @@ def test_forest_does_not_depend_on_partitions_and_learns(spark):
     assert gains.sum() == pytest.approx(1) and gains[:2].sum() > 0.8
 
 
+def plain_tree(x, label, weight, classes, random):
+    """Node by node, from the left: (feature, cut) and the shares of leaves."""
+    d = x.shape[1]
+    few = max(1, int(d ** 0.5))
+    found, todo = [], [np.arange(len(x))]
+    while todo:
+        rows = todo.pop()
+        total = np.bincount(label[rows], weight[rows], classes)
+        best = None
+        if (total > 0).sum() > 1:
+            order = random.permutation(d)
+            for first in range(0, d, few):
+                for place, f in enumerate(order[first:first + few]):
+                    values = np.unique(x[rows, f][~np.isnan(x[rows, f])])
+                    for low, high in zip(values, values[1:]):
+                        side = x[rows, f] <= low
+                        left = np.bincount(label[rows[side]], weight[rows[side]], classes)
+                        right = total - left
+                        gain = (left ** 2).sum() / left.sum() + (right ** 2).sum() / right.sum() - (total ** 2).sum() / total.sum()
+                        key = (-gain, side.sum(), place)
+                        if best is None or key < best[0]:
+                            best = (key, int(f), low + (high - low) / 2)
+                if best:
+                    break
+        if best is None:
+            found.append(tuple(total / total.sum()))
+        else:
+            found.append(best[1:])
+            below = x[rows, best[1]] <= best[2]
+            todo += [rows[~below], rows[below]]
+    return found
+
+
+def test_trees_side_by_side_are_the_trees_grown_alone():
+    random = np.random.default_rng(5)
+    groups = []
+    for g in range(24):
+        n = int(random.integers(1, 60))
+        x = np.round(random.normal(size=(n, 11)) * 2)
+        x[:, 1:8] = np.minimum(np.abs(x[:, 1:8]), g % 2)  # features that often cannot part a node
+        if g % 5 == 4:
+            x[random.random(x.shape) < 0.1] = np.nan
+        x = x[random.integers(0, n, n)]  # rows that are equal, with unequal labels
+        groups.append((x, random.integers(0, 30 if g == 7 else 3, n), random.integers(1, 4, n)))
+    grower = forest.Grower([(x.astype(np.float32), l, w) for x, l, w in groups], 30, [np.random.default_rng([1, g]) for g in range(24)])
+    steps, best = [], grower._best
+    grower._best = lambda who, *a: steps.append(len(who)) or best(who, *a)
+    grower.run()
+    splits = []
+    for g, group in enumerate(groups):
+        nodes, _ = grower.tree(g)
+        found, todo = [], [0]
+        while todo:
+            i = todo.pop()
+            leaf = nodes["feature"][i] < 0
+            found.append(tuple(nodes["share"][i]) if leaf else (int(nodes["feature"][i]), float(nodes["cut"][i])))
+            todo += [] if leaf else [nodes["right"][i], nodes["left"][i]]
+        assert found == plain_tree(*group, 30, np.random.default_rng([1, g]))
+        splits.append(len(found) // 2)
+    assert len(steps) <= 3 * max(splits) < sum(splits)  # not a step for every node of every tree
+
+
 def test_forest_splits_large_nodes_before_it_ships_them(spark):
     frame, x, label = learnable(spark)
     model = forest.RandomForest(trees=6, seed=3, task_rows=200).fit(frame.repartition(4))
