@@ -162,7 +162,7 @@ def dbscan(rows: DataFrame, eps: float = 0.8, min_samples: int = 5, order: str =
     cores = rows.sparkSession.sparkContext.defaultParallelism
 
     def packed(some: DataFrame, number: int, *names: str, zones: tuple = tree, **options) -> DataFrame:
-        size = min(tile_rows, max(-(-tile_rows // 4), -(-number // (4 * cores))))  # smaller blocks where there are few
+        size = min(tile_rows, max(-(-tile_rows // 2), -(-number // (4 * cores))))  # smaller blocks where there are few
         return pack(zoned(some, zones), number, *names, rows=size, radius=eps, **options)
 
     inside = {"work": lambda b: _inside(b, eps, min_samples), "adds": ("comp", "root")}

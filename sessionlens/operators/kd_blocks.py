@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from sessionlens.operators.tiles import MAX_PIVOTS, SLACK, blocks, matrix
 from sessionlens.session import cut_lineage
 
-BLOCK_ROWS = 1 << 15
+BLOCK_ROWS = 1 << 14
 LEAF_ROWS = 128
 SAMPLE_ROWS = 8 * MAX_PIVOTS  # fixed bound on what the driver sees of the points
 CUT_ROWS = 256  # rows that judge a cut
-TASK_BLOCKS, TASKS = 4, 12  # of a meeting: partitions of the right per task, least tasks per core
+TASK_BLOCKS, TASKS = 8, 12  # of a meeting: partitions of the right per task, least tasks per core
 
 
 def _sparse_cut(points: np.ndarray, radius: float) -> tuple[int, float] | None:

@@ -281,3 +281,64 @@ def test_points_of_blocks_meet_without_a_shuffle_and_lose_no_neighbour(spark):
     found = {r["pid"]: r["n"] for r in met.groupBy("pid").agg(F.sum("n").alias("n")).collect()}
     want = (np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= 0.5).sum(1)
     assert [found[i] for i in range(len(x))] == want.tolist()
+
+
+def test_cuts_between_whole_numbers_leave_few_leaves_to_compare():
+    from sessionlens.operators import kd_blocks
+    rng = np.random.default_rng(5)
+    x = np.hstack([rng.integers(0, 2, (4000, 6)) * 2.0, rng.normal(0, 3, (4000, 4))])  # the spread is widest elsewhere
+
+    def compared(**options):
+        order, starts = kd_blocks.kd_order(x, 64, **options)
+        assert sorted(order) == list(range(len(x)))
+        low, high = kd_blocks.Block(x[order], starts, {}).boxes
+        away = np.maximum(np.maximum(low[:, None] - high, low - high[:, None]), 0)
+        return ((away ** 2).sum(2) <= 1.0).mean()
+
+    assert compared(radius=1.0) < compared() / 4
+
+
+def test_blocks_out_of_reach_do_not_meet_and_tasks_grow_with_the_blocks(spark):
+    from sessionlens.operators import kd_blocks
+    points = cut_lineage(spark.createDataFrame([(i, [float(i // 100 * 10), i % 100 / 100]) for i in range(6400)], "pid bigint, vec array<double>"))
+    packed = kd_blocks.pack(kd_blocks.zoned(points, kd_blocks.zone_tree(points, 64, 1.0)), 6400, "pid", rows=50, radius=1.0)
+    number = packed.count()
+
+    def seen(left, right):
+        return pd.DataFrame({"a": [left.number], "b": [right.number]})
+
+    met = kd_blocks.meet(packed, packed, ("pid",), ("pid",), seen, "a bigint, b bigint", radius=1.0)
+    assert met.rdd.getNumPartitions() < number * number / 8
+    pairs = met.collect()
+    assert {(r["a"], r["a"]) for r in pairs} <= {(r["a"], r["b"]) for r in pairs} and number <= len(pairs) < 8 * number
+
+
+def test_pairs_at_the_very_radius_are_near_far_from_the_origin():
+    from sessionlens.operators import kd_blocks
+    x = np.array([[a, b, 4000.0] for a in range(20) for b in range(20)]) + [[7000.0, -9000.0, 0.0]]
+    block = kd_blocks.Block(x, np.arange(0, 400, 50), {})
+    assert block.brief.dtype == np.float32  # too coarse for these coordinates by itself
+    for radius, least in ((1.0, 5), (2.0 ** 0.5 - 1e-9, 5), (1.0 - 1e-9, 1)):
+        total = np.zeros(400, int)
+        for part, rows in kd_blocks.reached(block, np.arange(400), block, radius):
+            for i, j in kd_blocks.close(block, rows, block, part, radius):
+                total += np.bincount(i, minlength=400)
+        assert total.max() == least and total.tolist() == (np.sqrt(((x[:, None] - x) ** 2).sum(2)) <= radius).sum(1).tolist()
+
+
+def test_rows_that_are_not_core_alone_look_beyond_their_blocks(spark):
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(0, .05, (300, 4)), rng.normal(2, .05, (300, 4)), rng.uniform(-6, 6, (40, 4)),
+                   np.repeat(rng.uniform(-6, 6, (30, 4)), 2, 0), np.linspace(0, 2, 60)[:, None] + rng.normal(0, .02, (60, 4))]).round(3)
+    rng.shuffle(x)
+    frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "ord long, vec array<double>")
+    asked = []
+    meet = clusters.meet
+    clusters.meet = lambda left, right, *a, **b: asked.append(left.selectExpr("sum(length(pid)) div 8").first()[0]) or meet(left, right, *a, **b)
+    try:
+        got = {r["ord"]: r["cluster_id"] for r in clusters.dbscan(frame, .3, 4, tile_rows=64).collect()}
+    finally:
+        clusters.meet = meet
+    want = brute(x, .3, 4)
+    assert [got[i] for i in range(len(x))] == want.tolist()
+    assert max(asked) < len(x) / 3  # the 660 rows of the dense parts stay at home
